@@ -123,11 +123,15 @@ class Pointwise(FieldExpr):
                 columns.append(leaf.array_column())
             slot[id(leaf)] = k
 
-        def at(v, p):
-            cell = [v] + [F.get(c, p) for c in columns[1:]]
-            return self._scalar({key: cell[k] for key, k in slot.items()})
-
-        return F.transform(columns[0], at)
+        # the arrays are arguments of the function, never captured by the lambda: a
+        # captured derivative would put a Python kernel inside it
+        point = lambda *cell: self._scalar({key: cell[k] for key, k in slot.items()})
+        if len(columns) == 1:
+            return F.transform(columns[0], lambda a: point(a))
+        if len(columns) == 2:
+            return F.zip_with(columns[0], columns[1], lambda a, b: point(a, b))
+        zipped = F.arrays_zip(*[c.alias(f"c{k}") for k, c in enumerate(columns)])
+        return F.transform(zipped, lambda t: point(*[t[f"c{k}"] for k in range(len(columns))]))
 
     def node_column(self):
         return self._scalar({id(leaf): leaf.node_column() for leaf in self._inputs()})

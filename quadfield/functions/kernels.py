@@ -66,6 +66,29 @@ def resample(f, m: int, kind: str = "uniform") -> Column:
     return apply(_c(f))
 
 
+def resample_levels(f, m) -> Column:
+    """Uniform resampling with a number of points per row (``m``), grouped by level in each batch."""
+
+    @F.arrow_udf("array<double>")
+    def apply(v: pa.Array, pm: pa.Array) -> pa.Array:
+        level = pm.to_numpy(zero_copy_only=False).astype(int)
+
+        def one(mat, rows):
+            cube, lv = _square(mat), level[rows]
+            parts, back, base = [], np.empty(len(rows), dtype=np.int64), 0
+            for k in np.unique(lv):
+                at = np.nonzero(lv == k)[0]
+                j = basis.resample_matrix(cube.shape[1], int(k), "uniform")
+                parts.append(to_list(_flat2(j @ cube[at] @ j.T)))
+                back[at] = base + np.arange(len(at))
+                base += len(at)
+            return pa.concat_arrays(parts).take(pa.array(back))
+
+        return map_matrices(one, [v], _LIST)
+
+    return apply(_c(f), _c(m))
+
+
 def modal(f) -> Column:
     """Legendre coefficients ``V^-1 f V^-T`` (row-major, ``k_r`` fastest)."""
 

@@ -202,7 +202,7 @@ def split_chains(chains: DataFrame, angle: float = 90.0, prefix: str = "B") -> D
     Open chains come first, by their first edge, then loops by their smallest edge.
     A loop with corners starts right after its last corner and yields open pieces; a
     smooth loop stays closed.  Output: ``boundary_edges`` with ``boundary`` (name),
-    ``number`` and ``seq`` (0-based, in traversal order).
+    ``number``, ``seq`` and ``pos`` (0-based, in traversal order) and ``chain`` 0.
     """
     c = F.col
     cut = c("turn").isNull() | (c("turn") >= angle - ANGLE_TOL)
@@ -218,8 +218,8 @@ def split_chains(chains: DataFrame, angle: float = 90.0, prefix: str = "B") -> D
     offset = running_sum(order, ["case"], "_order", "_pieces", "_before").select("case", "head", "_before")
     named = first.join(offset, ["case", "head"]).withColumn("number", (c("_before") + c("_g") + 1).cast("int"))
     return e.join(named, ["case", "head", "_g"]).select(
-        "case", F.concat(F.lit(prefix), c("number").cast("string")).alias("boundary"), "number",
-        (c("_at") - c("_start")).cast("int").alias("seq"), "elem", "side", "eid", (c("closed") & (c("_any") == 0)).alias("closed"),
+        "case", F.concat(F.lit(prefix), c("number").cast("string")).alias("boundary"), "number", F.lit(0).alias("chain"),
+        (c("_at") - c("_start")).alias("seq"), (c("_at") - c("_start")).alias("pos"), "elem", "side", "eid", (c("closed") & (c("_any") == 0)).alias("closed"),
         F.when(c("mirrored"), F.lit(-1)).otherwise(F.lit(1)).alias("orient"),
     )
 
@@ -233,21 +233,24 @@ def detect_boundaries(mesh: DataFrame, angle: float = 90.0, tol: float | None =
 def boundary_from_edges(mesh: DataFrame, picks: DataFrame, tol: float | None = None) -> DataFrame:
     """Hand-made boundaries from ``picks(case, boundary, elem, side, [seq])``.
 
-    A boundary whose edges form one chain is put in traversal order; otherwise the
-    given order (``seq``, else edge id) is kept and ``seq`` need not be dense.
+    ``seq`` of the result walks along the chains of a boundary, open ones first;
+    ``chain`` numbers them and ``pos`` counts within one.  ``given`` keeps the order of
+    the picks (their ``seq``, else the edge id).  ``closed`` holds for a single loop.
     """
     c = F.col
     keys = ["case", "boundary"]
     given = c("seq") if "seq" in picks.columns else c("elem") * 4 + c("side")
-    wanted = picks.select(*keys, "elem", "side", given.cast("long").alias("_given"))
+    wanted = picks.select(*keys, "elem", "side", given.cast("long").alias("given"))
     touched = mesh.join(wanted.select("case", "elem").distinct(), ["case", "elem"], "left_semi")
     edges = checkpointed(edge_table(touched).join(wanted, ["case", "elem", "side"]))
     chains = chain_edges(edges, tol, keys)
-    # one chain: exactly one edge at position 0
-    whole = chains.groupBy(*keys).agg((F.count_if(c("pos") == 0) == 1).alias("_one"))
-    return chains.join(whole, keys).select(
-        *keys, F.when(c("_one"), c("pos")).otherwise(c("_given")).alias("seq"), "elem", "side", "eid",
-        (c("closed") & c("_one")).alias("closed"), F.when(c("mirrored"), F.lit(-1)).otherwise(F.lit(1)).alias("orient"),
+    per = chains.groupBy(*keys, "head").agg(F.count(F.lit(1)).alias("_len"), F.first("closed").alias("_loop"))
+    per = per.withColumns({"_order": c("head") + F.when(c("_loop"), F.lit(_LOOPS_LAST)).otherwise(F.lit(0)), "_one": F.lit(1)})
+    per = running_sum(running_sum(per, keys, "_order", "_len", "_before"), keys, "_order", "_one", "chain")
+    several = per.groupBy(*keys).agg(F.count(F.lit(1)).alias("_chains"))
+    return chains.join(per.select(*keys, "head", "_before", "chain"), [*keys, "head"]).join(several, keys).select(
+        *keys, c("chain").cast("int").alias("chain"), (c("_before") + c("pos")).alias("seq"), "pos", "given", "elem", "side", "eid",
+        (c("closed") & (c("_chains") == 1)).alias("closed"), F.when(c("mirrored"), F.lit(-1)).otherwise(F.lit(1)).alias("orient"),
     )
 
 
@@ -298,12 +301,11 @@ def boundary_nodes(boundary_edges: DataFrame, mesh: DataFrame, names: list[str]
     """
     c = F.col
     e = wall_elements(boundary_edges, mesh, ["x", "y", *[k for k in names if k not in ("x", "y")]])
-    keys = ["case", "boundary", "seq", "elem", "side"]
-    # values first: the frame replaces x and y
+    keys = ["case", "boundary", "seq", "pos", "elem", "side"]
     e = e.select(*keys, kernels.edge_frame("x", "y", "side").alias("_f"), *[side_values(k, "side", c("orient")).alias(f"v_{k}") for k in names])
     rows = e.select(*keys, F.posexplode(F.arrays_zip(*[c(f"_f.{k}").alias(k) for k in ("x", "y", "nx", "ny", "w")], *[c(f"v_{k}") for k in names])).alias("node", "_z"))
     out = rows.select(*keys, "node", *[c(f"_z.{k}").alias(k) for k in ("x", "y", "nx", "ny", "w")], *[c(f"_z.v_{k}").alias(k) for k in names if k not in ("x", "y")])
-    return out.where("seq = 0 or node > 0") if merge else out
+    return out.where("pos = 0 or node > 0") if merge else out
 
 
 def boundary_length(boundary_edges: DataFrame, mesh: DataFrame) -> DataFrame:
