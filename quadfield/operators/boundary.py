@@ -36,7 +36,8 @@ def _tau(chord: Column, magnitude: Column, tol: float | None) -> Column:
 
 def edge_table(mesh: DataFrame) -> DataFrame:
     """All four sides of every element with oriented end points and end tangents (one narrow pass)."""
-    ends = mesh.select("case", "elem", kernels.edge_ends().alias("_e"), F.explode(F.array(*[F.lit(k) for k in range(4)])).alias("side"))
+    ends = mesh.select("case", "elem", kernels.edge_ends().alias("_e"))  # once per element, then four rows
+    ends = ends.select("case", "elem", "_e", F.explode(F.array(*[F.lit(k) for k in range(4)])).alias("side"))
     return ends.select("case", "elem", "side", (F.col("elem") * 4 + F.col("side")).alias("eid"), F.col("_e.mirrored").alias("mirrored"), *[F.get(F.col(f"_e.{c}"), F.col("side")).alias(c) for c in _GEOM])
 
 
@@ -58,14 +59,16 @@ def external_edges(mesh: DataFrame, tol: float | None = None) -> DataFrame:
        under the exact tolerance; no pairs are produced.
     """
     c = F.col
-    e = edge_table(mesh).withColumns({
-        "mx": 0.5 * (c("x0") + c("x1")), "my": 0.5 * (c("y0") + c("y1")),
-        "chord": F.hypot(c("x1") - c("x0"), c("y1") - c("y0")),
-    })
-    e = e.withColumn("mag", F.hypot("mx", "my"))
-    e = e.withColumn("tau", _tau(c("chord"), c("mag"), tol))
+
+    def measured(df):
+        df = df.withColumns({"mx": 0.5 * (c("x0") + c("x1")), "my": 0.5 * (c("y0") + c("y1")), "chord": F.hypot(c("x1") - c("x0"), c("y1") - c("y0"))})
+        df = df.withColumn("mag", F.hypot("mx", "my"))
+        return df.withColumn("tau", _tau(c("chord"), c("mag"), tol))
+
     smallest = F.lit(2.0 ** -40) * (1.0 + c("mag"))  # collapsed edges have no tolerance of their own
-    e = e.withColumn("lvl", F.floor(F.log2(F.greatest(c("tau"), smallest))).cast("int"))
+    e = measured(edge_table(mesh)).withColumn("lvl", F.floor(F.log2(F.greatest(c("tau"), smallest))).cast("int"))
+    # stated here so that both uses of the groups below share one exchange
+    e = e.where(c("case").isNotNull() & c("lvl").isNotNull())
     fine = _pow2(c("lvl") - 2)
     a = F.struct(_cell(c("x0"), fine).alias("u"), _cell(c("y0"), fine).alias("v"))
     b = F.struct(_cell(c("x1"), fine).alias("u"), _cell(c("y1"), fine).alias("v"))
@@ -73,8 +76,8 @@ def external_edges(mesh: DataFrame, tol: float | None = None) -> DataFrame:
     e = e.select("*", a.alias("_a"), b.alias("_b"), exact.alias("_x"))
     e = e.withColumns({"_k": F.least("_a", "_b"), "_l": F.greatest("_a", "_b")})
     by = ["case", "lvl", c("_k.u").alias("_1"), c("_k.v").alias("_2"), c("_l.u").alias("_3"), c("_l.v").alias("_4"), "_x"]
-    carried = ["elem", "side", "mirrored", *_GEOM, "mx", "my", "chord", "mag", "tau"]
-    reps = e.groupBy(*by).agg(F.count(F.lit(1)).alias("copies"), F.min("eid").alias("eid"), *[F.min_by(k, "eid").alias(k) for k in carried]).drop("_1", "_2", "_3", "_4", "_x")
+    reps = e.groupBy(*by).agg(F.count(F.lit(1)).alias("copies"), F.min("eid").alias("eid"), *[F.min_by(k, "eid").alias(k) for k in ("mirrored", *_GEOM)])
+    reps = measured(reps.drop("_1", "_2", "_3", "_4", "_x"))
 
     size = lambda L: _pow2(L + 4)
     single = reps.where("copies = 1").withColumns({"_cx": _cell(c("mx"), size(c("lvl"))), "_cy": _cell(c("my"), size(c("lvl")))})
@@ -92,7 +95,7 @@ def external_edges(mesh: DataFrame, tol: float | None = None) -> DataFrame:
     s, q = single.alias("s"), p.alias("q")
     keys = [c(f"s.{k}") == c(f"q.{k}") for k in ("case", "lvl", "_cx", "_cy")]
     on = keys[0] & keys[1] & keys[2] & keys[3] & theta
-    return s.join(q, on, "left_anti").select("case", "elem", "side", "eid", "mirrored", *_GEOM)
+    return s.join(q, on, "left_anti").select("case", F.floor(c("eid") / 4).alias("elem"), (c("eid") % 4).cast("int").alias("side"), "eid", "mirrored", *_GEOM)
 
 
 def turn_degrees(tx, ty, ux, uy) -> Column:
@@ -184,13 +187,13 @@ def chain_edges(edges: DataFrame, tol: float | None = None, keys: list[str] | No
     """Edges (rows of :func:`edge_table`) in traversal order: adds ``head``, ``pos``, ``closed``, ``turn``.
 
     ``turn`` is the angle to the following edge in degrees, NULL at the end of an open chain.
-    Runs jobs: the links and the ranking are checkpointed.
+    Runs jobs: the links, the ranking and the result are checkpointed.
     """
     keys = list(keys or ["case"])
     links = checkpointed(successors(edges, tol, keys))
     ranked = rank_chains(edges, links, keys)
     after = links.select(*keys, F.col("prev").alias("eid"), "turn")
-    return edges.join(ranked, [*keys, "eid"]).join(after, [*keys, "eid"], "left")
+    return checkpointed(edges.join(ranked, [*keys, "eid"]).join(after, [*keys, "eid"], "left"))
 
 
 _LOOPS_LAST = 1 << 60
@@ -211,7 +214,7 @@ def split_chains(chains: DataFrame, angle: float = 90.0, prefix: str = "B") -> D
     e = e.join(per.drop("_loop"), ["case", "head"]).withColumn(
         "_at", F.when(c("closed") & (c("_any") == 1), F.pmod(c("pos") - c("_last") - 1, c("_len"))).otherwise(c("pos"))
     )
-    e = running_sum(e, ["case", "head"], "_at", "_cut", "_g")
+    e = checkpointed(running_sum(e, ["case", "head"], "_at", "_cut", "_g"))
     first = e.groupBy("case", "head", "_g").agg(F.min("_at").alias("_start"))
     count = first.groupBy("case", "head").agg(F.count(F.lit(1)).alias("_pieces"))
     order = per.join(count, ["case", "head"]).withColumn("_order", c("head") + F.when(c("_loop"), F.lit(_LOOPS_LAST)).otherwise(F.lit(0)))

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 BLOCK = 1 << 14
@@ -26,18 +27,24 @@ def running_sum(df: DataFrame, keys: list[str], order: str, value: str, out: str
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Materialise into the shared checkpoint folder, which survives lost executors.
+    """Materialise as a table in the shared checkpoint folder and read it back.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only a local
-    session without one gets a temporary folder.
+    Survives lost executors and cuts the lineage; unlike an in-memory copy the table
+    has an exact size, so Spark broadcasts it in later joins only if it is small.  The
+    folder is the one the cluster names in ``spark.checkpoint.dir``; only a local session
+    without one gets a temporary folder.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-            folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        sc.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(df.sparkSession)}/quadfield-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """Folder for intermediate tables that every executor can reach."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
+        folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")

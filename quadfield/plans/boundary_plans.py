@@ -1 +1,169 @@
+"""Boundaries of supplier annuli and boxes, wall geometry, and walls of the embedding box."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from quadfield import basis
+from quadfield.operators import boundary as bd
+from quadfield.operators.locate import sample_lines
+from quadfield.operators.nearest import nearest_wall
+from quadfield.operators.scans import checkpointed
+from quadfield.plans.registry import plan, rounded
+from quadfield.plans.tables import (
+    ANGULAR, BLOCK_EDGE_SQL, BLOCK_SQL, BOX_X, BOX_Y, HEIGHT_SQL, HX, HY, N_RING, POINT_KEYS, RADIAL, RING_SQL, RING_WALL_SQL, WIDE,
+    block_mesh, cell_mesh, points_sql, probe_points, ring_mesh, table,
+)
+from quadfield.sources.generators import analytic_field
+
+
+def stored(mesh):
+    """A mesh is read several times by the boundary search: materialise it once."""
+    return checkpointed(mesh.select("case", "elem", "gid", "n", "x", "y"))
+
+
+@plan("external_edges", f"WITH {BLOCK_EDGE_SQL} SELECT c AS supplier, elem, side FROM be")
+def external_edges(spark, folder):
+    return bd.external_edges(stored(block_mesh(spark, folder))).select(F.col("case").alias("supplier"), "elem", "side")
+
+
+@plan("boundary_edges", f"WITH {BLOCK_EDGE_SQL} SELECT c AS supplier, boundary, seq, elem, side, false AS closed, CASE WHEN mir THEN -1 ELSE 1 END AS orient FROM be")
+def boundary_edges(spark, folder):
+    b = bd.detect_boundaries(stored(block_mesh(spark, folder)))
+    return b.select(F.col("case").alias("supplier"), "boundary", "seq", "elem", "side", "closed", "orient")
+
+
+@plan("boundary_loops", f"""WITH {RING_SQL}, q AS (SELECT unnest(range({ANGULAR})) AS seq)
+SELECT c AS supplier, 'B1' AS boundary, seq, {RADIAL} * (({ANGULAR} - seq) % {ANGULAR}) AS elem, 3 AS side, true AS closed FROM ring, q
+UNION ALL SELECT c, 'B2', seq, {RADIAL} * seq + {RADIAL - 1}, 1, true FROM ring, q""")
+def boundary_loops(spark, folder):
+    b = bd.detect_boundaries(stored(ring_mesh(spark, folder)))
+    return b.select(F.col("case").alias("supplier"), "boundary", "seq", "elem", "side", "closed")
+
+
+@plan("boundary_one_loop", f"WITH {BLOCK_SQL} SELECT c AS supplier, 'B1' AS boundary, {2 * (BOX_X + BOX_Y)} AS edges, true AS closed, round(2 * (wide + high), 6) AS length FROM blk")
+def boundary_one_loop(spark, folder):
+    # a feature angle beyond the corners leaves the outline in one piece
+    mesh = stored(block_mesh(spark, folder))
+    b = bd.detect_boundaries(mesh, 179.0)
+    out = bd.boundary_census(b).join(bd.boundary_length(b, mesh), ["case", "boundary"])
+    return out.select(F.col("case").alias("supplier"), "boundary", "edges", "closed", rounded("length").alias("length"))
+
+
+@plan("boundary_sides", f"""WITH {BLOCK_EDGE_SQL} SELECT c AS supplier, boundary, count(*) AS edges, false AS closed, count(*) FILTER (side = 0) AS bottom, count(*) FILTER (side = 1) AS right, count(*) FILTER (side = 2) AS top, count(*) FILTER (side = 3) AS left FROM be GROUP BY c, boundary""")
+def boundary_sides(spark, folder):
+    b = bd.detect_boundaries(stored(block_mesh(spark, folder)))
+    return bd.boundary_census(b).withColumnRenamed("case", "supplier")
+
+
+@plan("boundary_length", f"WITH {RING_SQL} SELECT c AS supplier, 'B1' AS boundary, round(2 * pi() * rin, 6) AS length FROM ring UNION ALL SELECT c, 'B2', round(2 * pi() * (rin + gap), 6) FROM ring")
+def boundary_length(spark, folder):
+    mesh = stored(ring_mesh(spark, folder))
+    return bd.boundary_length(bd.detect_boundaries(mesh), mesh).select(F.col("case").alias("supplier"), "boundary", rounded("length").alias("length"))
+
+
+@plan("wall_normals", f"WITH {RING_WALL_SQL} SELECT c AS supplier, boundary, seq, node, elem, round(rad * cos(th), 6) + 0.0 AS x, round(rad * sin(th), 6) + 0.0 AS y, round(way * cos(th), 6) + 0.0 AS nx, round(way * sin(th), 6) + 0.0 AS ny FROM wall")
+def wall_normals(spark, folder):
+    mesh = stored(ring_mesh(spark, folder))
+    nd = bd.boundary_nodes(bd.detect_boundaries(mesh), mesh)
+    return nd.select(F.col("case").alias("supplier"), "boundary", "seq", "node", "elem", *[rounded(k).alias(k) for k in ("x", "y", "nx", "ny")])
+
+
+@plan("boundary_nodes", f"""WITH {RING_WALL_SQL} SELECT c AS supplier, boundary, count(*) AS nodes, round(avg(rad * rad * cos(th) * sin(th) + rad), 6) + 0.0 AS mean_q FROM wall WHERE seq = 0 OR node > 0 GROUP BY c, boundary""")
+def boundary_nodes(spark, folder):
+    # shared vertices once; a field read along the wall
+    mesh = stored(ring_mesh(spark, folder))
+    data = analytic_field(mesh, "q", lambda x, y: x * y + F.hypot(x, y))
+    nd = bd.boundary_nodes(bd.detect_boundaries(mesh), data, ["q"], merge=True)
+    return nd.groupBy(F.col("case").alias("supplier"), "boundary").agg(F.count(F.lit(1)).alias("nodes"), rounded(F.avg("q")).alias("mean_q"))
+
+
+@plan("boundary_polyline", f"""WITH {RING_SQL}, k AS (SELECT unnest(range({4 * ANGULAR + 1})) AS k)
+SELECT c AS supplier, 'B2' AS boundary, count(*) AS points, round(sum(abs((rin + gap) * cos(pi() * k / {2 * ANGULAR}))), 6) AS sx FROM ring, k GROUP BY c, rin, gap
+UNION ALL SELECT c, 'B1', count(*), round(sum(abs(rin * cos(pi() * k / {2 * ANGULAR} + pi() / {ANGULAR // 2}))), 6) FROM ring, k GROUP BY c, rin""")
+def boundary_polyline(spark, folder):
+    mesh = stored(ring_mesh(spark, folder))
+    line = bd.boundary_polyline(bd.detect_boundaries(mesh), mesh, 5)
+    return line.groupBy(F.col("case").alias("supplier"), "boundary").agg(F.count(F.lit(1)).alias("points"), rounded(F.sum(F.abs("x"))).alias("sx"))
+
+
+def _block_picks(spark, folder):
+    """Bottom and top edges of every box, in no useful order."""
+    side = F.explode(F.array(*[F.struct(F.lit(e).cast("long").alias("elem"), F.lit(s).alias("side")) for e, s in [(2, 0), (9, 2), (0, 0), (11, 2), (3, 0), (8, 2), (1, 0), (10, 2)]]))
+    return table(spark, folder, "supplier").select(F.col("s_suppkey").alias("case"), F.lit("m").alias("boundary"), side.alias("e")).select("case", "boundary", "e.elem", "e.side")
+
+
+@plan("manual_boundary", f"""WITH {BLOCK_EDGE_SQL} SELECT c AS supplier, CASE WHEN boundary = 'B1' THEN 0 ELSE 1 END AS chain, seq + CASE WHEN boundary = 'B1' THEN 0 ELSE {BOX_X} END AS seq, seq AS pos, elem, side, false AS closed FROM be WHERE boundary IN ('B1', 'B3')""")
+def manual_boundary(spark, folder):
+    b = bd.boundary_from_edges(stored(block_mesh(spark, folder)), _block_picks(spark, folder))
+    return b.select(F.col("case").alias("supplier"), "chain", "seq", "pos", "elem", "side", "closed")
+
+
+@plan("edit_boundary", f"WITH {BLOCK_EDGE_SQL} SELECT c AS supplier, elem, side FROM be WHERE (boundary = 'B1' AND elem NOT IN (0, 1)) OR boundary = 'B4'")
+def edit_boundary(spark, folder):
+    # bottom, without its first two edges, plus the whole run that contains the left edge of element 4
+    b = checkpointed(bd.detect_boundaries(stored(block_mesh(spark, folder))))
+    bottom = b.where("boundary = 'B1'")
+    run = bd.runs_with_edges(b, b.where("elem = 4").select("case", "elem", "side"))
+    out = bd.edit_boundary(bottom, add=run.withColumn("boundary", F.lit("B1")), remove=bottom.where("elem in (0, 1)"))
+    return out.select(F.col("case").alias("supplier"), "elem", "side")
+
+
+_NODE = 3
+_T3 = float(basis.nodes(N_RING)[_NODE])
+
+
+@plan("normal_lines", f"""WITH {RING_SQL}, q AS (SELECT unnest(range({ANGULAR})) AS ey), s AS (SELECT c, rin, {RADIAL} * ey AS elem, 2 * pi() / {ANGULAR} * (ey + (1 - {_T3!r}) / 2) AS th FROM ring, q)
+SELECT c AS supplier, elem, round(rin * cos(th), 6) + 0.0 AS x0, round(rin * sin(th), 6) + 0.0 AS y0, round((rin + 0.25) * cos(th), 6) + 0.0 AS x1, round((rin + 0.25) * sin(th), 6) + 0.0 AS y1 FROM s""")
+def normal_lines(spark, folder):
+    mesh = stored(ring_mesh(spark, folder))
+    seeds = bd.external_edges(mesh).where("side = 3").select("case", "elem", "side", F.lit(_NODE).alias("node"), F.lit(0.25).alias("length"))
+    seg = bd.normal_segments(seeds, mesh)
+    return seg.select(F.col("case").alias("supplier"), "elem", *[rounded(k).alias(k) for k in ("x0", "y0", "x1", "y1")])
+
+
+@plan("normal_length", f"WITH {BLOCK_SQL} SELECT c AS supplier, round(0.1 * least(wide, high), 3) AS length FROM blk")
+def normal_length(spark, folder):
+    return bd.default_normal_length(block_mesh(spark, folder)).select(F.col("case").alias("supplier"), rounded("length").alias("length"))
+
+
+@plan("wall_profile", f"""WITH {BLOCK_EDGE_SQL}, k AS (SELECT unnest(range(11)) AS idx), p AS (SELECT c, elem, idx, high * 0.45 * idx / 10 AS d, wide * (ex + 0.65) / {BOX_X} AS x FROM be, k WHERE boundary = 'B1')
+SELECT c AS supplier, elem AS line, idx, round(d, 6) AS distance, round(x * x + 3 * d, 6) AS q FROM p""")
+def wall_profile(spark, folder):
+    """Boundary-layer profiles: a line into the domain from every bottom edge, 65 % along it."""
+    mesh = stored(block_mesh(spark, folder))
+    data = analytic_field(mesh, "q", lambda x, y: x * x + 3 * y)
+    size = block_mesh(spark, folder).groupBy("case").agg(F.first("high").alias("high"))
+    walls = bd.detect_boundaries(mesh).where("boundary = 'B1'").join(size, "case")
+    seeds = walls.select("case", "elem", "side", F.lit(0.3).alias("t"), (F.col("high") * 0.45).alias("length"))
+    lines = bd.normal_segments(seeds, mesh, traversal=True).select("case", F.col("elem").alias("line"), "x0", "y0", "x1", "y1")
+    out = sample_lines(lines, data, None, ["q"], 11)
+    return out.select(F.col("case").alias("supplier"), "line", F.col("idx").cast("long").alias("idx"), rounded("distance").alias("distance"), rounded("q").alias("q"))
+
+
+_WALLS = f"""WITH {points_sql()}, h AS (SELECT {HEIGHT_SQL} AS h), w AS (
+SELECT price, part, x, y, y AS d, 0 AS side, floor(x / {HX})::BIGINT AS elem FROM pt
+UNION ALL SELECT price, part, x, y, 2.0 - x, 1, {WIDE - 1} + {WIDE} * floor(y / {HY})::BIGINT FROM pt
+UNION ALL SELECT price, part, x, y, h - y, 2, floor(x / {HX})::BIGINT + {WIDE} * (round(h / {HY})::BIGINT - 1) FROM pt, h
+UNION ALL SELECT price, part, x, y, x, 3, {WIDE} * floor(y / {HY})::BIGINT FROM pt)"""
+
+
+@plan("nearest_wall", _WALLS + """ SELECT price, part, arg_min(elem, d) AS elem, arg_min(side, d) AS side, round(min(d), 4) AS dist FROM w WHERE d < 0.03 GROUP BY price, part""")
+def nearest(spark, folder):
+    mesh = stored(cell_mesh(spark, folder))
+    got = nearest_wall(probe_points(spark, folder), bd.external_edges(mesh), mesh, 0.03, POINT_KEYS)
+    return got.select(*POINT_KEYS, "elem", "side", rounded("dist", 4).alias("dist"))
+
+
+_G8 = [float(v) for v in basis.nodes(8)]
+_SNAP_T = "[" + ", ".join(repr(v) for v in _G8) + "]"
+
+
+@plan("nearest_wall_node", f"""WITH {points_sql()}, g AS (SELECT unnest({_SNAP_T}) AS t), v AS (SELECT DISTINCT {HX} * (k + (1 + t) / 2) AS wx FROM g, (SELECT unnest(range({WIDE})) AS k)),
+near AS (SELECT price, part, min(sqrt((x - wx) * (x - wx) + y * y)) AS d FROM pt JOIN v ON wx BETWEEN x - 0.02 AND x + 0.02 WHERE y < 0.02 GROUP BY price, part)
+SELECT price, part, round(d, 6) AS dist FROM near WHERE d < 0.02""")
+def nearest_node(spark, folder):
+    mesh = stored(cell_mesh(spark, folder))
+    bottom = bd.external_edges(mesh).where("side = 0")
+    got = nearest_wall(probe_points(spark, folder), bottom, mesh, 0.02, POINT_KEYS, snap=True)
+    return got.select(*POINT_KEYS, rounded("dist").alias("dist"))

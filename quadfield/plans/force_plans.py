@@ -1 +1,134 @@
+"""Forces on the walls of supplier boxes and annuli, over all event days at once."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from quadfield.operators import boundary as bd
+from quadfield.operators import forces as fc
+from quadfield.operators.scans import checkpointed
+from quadfield.plans.boundary_plans import stored
+from quadfield.plans.registry import plan, rounded
+from quadfield.plans.tables import ANGULAR, BLOCK_SQL, N_RING, RING_SQL, RING_WALL_SQL, STEPS_SQL, block_mesh, day_steps, ring_mesh
+from quadfield.sources.exports import distribution_rows, force_rows
+from quadfield.sources.generators import analytic_field
+
+MU = 0.1
+
+
+def block_flow(spark, folder, mesh):
+    """Shear flow of every day in every box: ``u = a y``, ``v = 0``, ``p = a x``, ``w = 2 a y``, ``dens = 1 + x / 2``."""
+    df = mesh
+    for name, f in (("u", lambda x, y: y), ("v", lambda x, y: 0.0 * x), ("p", lambda x, y: x + 0.0), ("w", lambda x, y: 2 * y), ("dens", lambda x, y: 1 + 0.5 * x)):
+        df = analytic_field(df, name, f)
+    cases = df.select("case").distinct()
+    days = day_steps(spark, folder)
+    # one row per (case, day): the days are few and hang on the case by a scalar array
+    series = cases.withColumn("_d", F.explode(days.agg(F.collect_list(F.struct("step", "time", "scale"))).scalar())).select("case", "_d.*")
+    times = lambda k: F.zip_with(k, F.array_repeat("scale", F.size(k)), lambda v, s: v * s).alias(k)
+    return df.join(series, "case").select("case", "step", "time", "elem", *[times(k) for k in ("u", "v", "p", "w")], "dens")
+
+
+def _block_walls(spark, folder):
+    mesh = stored(block_mesh(spark, folder))
+    return mesh, checkpointed(bd.detect_boundaries(mesh))
+
+
+_BLOCK_FORCE = f"""WITH {BLOCK_SQL}, {STEPS_SQL}, f AS (
+SELECT c, step, 'B1' AS boundary, wide AS length, 0.0 AS fpx, -scale * wide * wide / 2 AS fpy, {MU} * scale * wide AS fvx, 0.0 AS fvy, 2 * {MU} * scale * wide AS fvz, 1 + wide / 4 AS rho FROM blk, st
+UNION ALL SELECT c, step, 'B2', high, scale * wide * high, 0.0, 0.0, -{MU} * scale * high, 0.0, 1 + wide / 2 FROM blk, st
+UNION ALL SELECT c, step, 'B3', wide, 0.0, scale * wide * wide / 2, -{MU} * scale * wide, 0.0, -2 * {MU} * scale * wide, 1 + wide / 4 FROM blk, st
+UNION ALL SELECT c, step, 'B4', high, 0.0, 0.0, 0.0, {MU} * scale * high, 0.0, 1.0 FROM blk, st), q AS (SELECT *, 0.5 * rho * 9 AS q FROM f)"""
+
+
+@plan("force_series", _BLOCK_FORCE + " SELECT c AS supplier, step, boundary, round(length, 6) AS length, round(fpx, 5) + 0.0 AS fpx, round(fpy, 5) + 0.0 AS fpy, round(fvx, 5) + 0.0 AS fvx, round(fvy, 5) + 0.0 AS fvy, round(fvz, 5) + 0.0 AS fvz, round(rho, 6) AS rho_ref, round(q, 5) AS q FROM q")
+def force_series(spark, folder):
+    mesh, walls = _block_walls(spark, folder)
+    f = fc.forces(walls, mesh, block_flow(spark, folder, mesh), U_ref=3.0, w="w", rho="dens", mu=str(MU))
+    return f.select(F.col("case").alias("supplier"), "step", "boundary", rounded("length").alias("length"), *[rounded(k, 5).alias(k) for k in ("fpx", "fpy", "fvx", "fvy", "fvz")], rounded("rho_ref").alias("rho_ref"), rounded("q", 5).alias("q"))
+
+
+_AX = fc.unit_axes(fc.rotated_axes(30.0))
+_AXES_SQL = "ax(axis, ax, ay) AS (VALUES " + ", ".join(f"('{k}', {v[0]!r}::DOUBLE, {v[1]!r}::DOUBLE)" for k, v in _AX) + ")"
+
+
+@plan("force_axes", _BLOCK_FORCE + f""", {_AXES_SQL}, r AS (SELECT c, step, boundary, axis, fpx * ax + fpy * ay AS p, fvx * ax + fvy * ay AS v, q FROM q, ax)
+SELECT c AS supplier, step, boundary, axis, round(p, 4) + 0.0 AS pressure, round(v, 4) + 0.0 AS viscous, round(p + v, 4) + 0.0 AS total, round((p + v) / (q * 2), 4) + 0.0 AS coefficient FROM r""")
+def force_axes(spark, folder):
+    mesh, walls = _block_walls(spark, folder)
+    f = fc.forces(walls, mesh, block_flow(spark, folder, mesh), U_ref=3.0, rho="dens", mu=MU)
+    t = fc.force_axes(f, fc.rotated_axes(30.0), L_ref=2.0)
+    return t.select(F.col("case").alias("supplier"), "step", "boundary", "axis", *[rounded(k, 4).alias(k) for k in ("pressure", "viscous", "total", "coefficient")])
+
+
+@plan("force_total", _BLOCK_FORCE + " SELECT c AS supplier, step, round(sum(length), 6) AS length, round(sum(fpx), 4) + 0.0 AS fpx, round(sum(fpy), 4) + 0.0 AS fpy, round(sum(fvx), 4) + 0.0 AS fvx, round(sum(fvy), 4) + 0.0 AS fvy, round(max(CASE WHEN boundary = 'B1' THEN q END), 5) AS q FROM q GROUP BY c, step")
+def force_total(spark, folder):
+    mesh, walls = _block_walls(spark, folder)
+    f = fc.force_totals(fc.forces(walls, mesh, block_flow(spark, folder, mesh), U_ref=3.0, rho="dens", mu=MU))
+    return f.select(F.col("case").alias("supplier"), "step", rounded("length").alias("length"), *[rounded(k, 4).alias(k) for k in ("fpx", "fpy", "fvx", "fvy")], rounded("q", 5).alias("q"))
+
+
+@plan("force_table", _BLOCK_FORCE + """, p AS (SELECT c, step, boundary, length, fpx, fpy, fvx, fvy, fvz, q FROM q UNION ALL
+SELECT c, step, 'total', sum(length), sum(fpx), sum(fpy), sum(fvx), sum(fvy), sum(fvz), max(CASE WHEN boundary = 'B1' THEN q END) FROM q GROUP BY c, step),
+t AS (SELECT *, 'x' AS axis, 1.0 AS dir_x, 0.0 AS dir_y, fpx AS p, fvx AS v FROM p UNION ALL SELECT *, 'y', 0.0, 1.0, fpy, fvy FROM p UNION ALL SELECT *, 'z', 0.0, 0.0, 0.0, fvz FROM p)
+SELECT c AS supplier, step, boundary, axis, dir_x::DOUBLE AS dir_x, dir_y::DOUBLE AS dir_y, round(p, 4) + 0.0 AS pressure, round(v, 4) + 0.0 AS viscous, round((p + v) / q, 4) + 0.0 AS coefficient FROM t""")
+def force_table(spark, folder):
+    mesh, walls = _block_walls(spark, folder)
+    f = fc.forces(walls, mesh, block_flow(spark, folder, mesh), U_ref=3.0, w="w", rho="dens", mu=MU)
+    t = force_rows(fc.force_table(f))
+    return t.select(F.col("case").alias("supplier"), "step", "boundary", "axis", "dir_x", "dir_y", *[rounded(k, 4).alias(k) for k in ("pressure", "viscous", "coefficient")])
+
+
+def ring_flow(mesh):
+    """``u = y``, ``v = 0``, ``p = x`` in every annulus."""
+    df = mesh
+    for name, f in (("u", lambda x, y: y), ("v", lambda x, y: 0.0 * x), ("p", lambda x, y: x + 0.0)):
+        df = analytic_field(df, name, f)
+    return df.select("case", "elem", "u", "v", "p")
+
+
+@plan("pressure_force", f"WITH {RING_SQL} SELECT c AS supplier, 'B1' AS boundary, round(-pi() * rin * rin, 5) AS fpx, 0.0 AS fpy FROM ring UNION ALL SELECT c, 'B2', round(pi() * (rin + gap) * (rin + gap), 5), 0.0 FROM ring")
+def pressure_force(spark, folder):
+    mesh = stored(ring_mesh(spark, folder))
+    f = fc.forces(bd.detect_boundaries(mesh), mesh, ring_flow(mesh))
+    return f.select(F.col("case").alias("supplier"), "boundary", rounded("fpx", 5).alias("fpx"), rounded("fpy", 5).alias("fpy"))
+
+
+@plan("viscous_force", f"WITH {RING_WALL_SQL} SELECT c AS supplier, boundary, seq, node, round(-{MU} * way * sin(th), 5) + 0.0 AS fvx, round(-{MU} * way * cos(th), 5) + 0.0 AS fvy FROM wall")
+def viscous_force(spark, folder):
+    # the traction itself, node by node
+    mesh = stored(ring_mesh(spark, folder))
+    nd = fc.wall_nodes(bd.detect_boundaries(mesh), mesh, ring_flow(mesh), mu=MU)
+    return nd.select(F.col("case").alias("supplier"), "boundary", "seq", "node", rounded("fvx", 5).alias("fvx"), rounded("fvy", 5).alias("fvy"))
+
+
+_FINE = 8 * N_RING - 1
+_DIST_SQL = f"""WITH {RING_WALL_SQL}, ds AS (SELECT *, 2 * rad * sin(pi() / {ANGULAR} / {_FINE}) AS chord FROM wall WHERE seq = 0 OR node > 0),
+dist AS (SELECT c, boundary, seq, node, elem, chord * {_FINE} * (seq + (1 + t) / 2) AS s, rad * cos(th) AS x, rad * sin(th) AS y, way * cos(th) AS nx, way * sin(th) AS ny, rad * cos(th) AS p, -{MU} * cos(2 * th) AS tau FROM ds)"""
+
+
+def _distribution(spark, folder):
+    mesh = stored(ring_mesh(spark, folder))
+    walls = checkpointed(bd.detect_boundaries(mesh))
+    nodes = fc.wall_nodes(walls, mesh, ring_flow(mesh), mu=MU)
+    return fc.wall_distribution(walls, mesh, nodes, fc.integrate(nodes, U_ref=2.0), p_ref=0.25)
+
+
+@plan("wall_distribution", _DIST_SQL + " SELECT c AS supplier, boundary, round(s, 5) AS s, round(x, 5) + 0.0 AS x, round(y, 5) + 0.0 AS y, elem + 1 AS element, round(nx, 5) + 0.0 AS nx, round(ny, 5) + 0.0 AS ny, round(p, 5) + 0.0 AS p, round((p - 0.25) / 2, 5) + 0.0 AS cp, round(tau, 5) + 0.0 AS tau_w, round(tau / 2, 5) + 0.0 AS cf FROM dist")
+def wall_distribution(spark, folder):
+    d = distribution_rows(_distribution(spark, folder))
+    return d.select(F.col("case").alias("supplier"), "boundary", "element", *[rounded(k, 5).alias(k) for k in ("s", "x", "y", "nx", "ny", "p", "cp", "tau_w", "cf")])
+
+
+@plan("joined_distribution", _DIST_SQL + ", l AS (SELECT c, max(s) AS l1 FROM dist WHERE boundary = 'B1' GROUP BY c) SELECT c AS supplier, boundary AS part, CASE WHEN boundary = 'B1' THEN 0 ELSE 1 END AS chain, count(*) AS points, round(sum(s + CASE WHEN boundary = 'B1' THEN 0 ELSE l1 END), 4) AS total_s FROM dist JOIN l USING (c) GROUP BY 1, 2, 3")
+def joined_distribution(spark, folder):
+    d = fc.join_distributions(_distribution(spark, folder))
+    return d.groupBy(F.col("case").alias("supplier"), "part", "chain").agg(F.count(F.lit(1)).alias("points"), rounded(F.sum("s"), 4).alias("total_s"))
+
+
+@plan("wall_crossings", _DIST_SQL + " SELECT c AS supplier, boundary, seq, elem, round(s, 5) AS position FROM dist WHERE seq > 0 AND node = 1")
+def wall_crossings(spark, folder):
+    x = fc.wall_crossings(_distribution(spark, folder))
+    return x.select(F.col("case").alias("supplier"), "boundary", "seq", "elem", rounded("position", 5).alias("position"))
+
 

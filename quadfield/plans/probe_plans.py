@@ -125,7 +125,7 @@ def _stepped(spark, folder, mesh, name):
 
 # --------------------------------------------------------------------------- lines and grids
 NPTS = 41
-_LINES_SQL = f"ln AS (SELECT s_suppkey AS line, -0.213 AS x0, {HEIGHT_SQL} * (0.1 + (s_suppkey % 37) / 50.0) AS y0, 2.217 AS x1, {HEIGHT_SQL} * (0.15 + (s_suppkey % 23) / 40.0) AS y1 FROM supplier)"
+_LINES_SQL = f"ln AS (SELECT s_suppkey AS line, -0.213 AS x0, {HEIGHT_SQL} * (0.1013 + (s_suppkey % 37) / 51.7) AS y0, 2.217 AS x1, {HEIGHT_SQL} * (0.1517 + (s_suppkey % 23) / 41.3) AS y1 FROM supplier)"
 _SAMPLES_SQL = f"""{_LINES_SQL}, sp AS (SELECT line, k AS idx, k / {NPTS - 1}.0 * sqrt((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0)) AS distance, x0 + k / {NPTS - 1}.0 * (x1 - x0) AS x, y0 + k / {NPTS - 1}.0 * (y1 - y0) AS y
 FROM ln, (SELECT unnest(range({NPTS})) AS k)), lx AS (SELECT *, CASE WHEN x BETWEEN 0 AND 2 THEN floor(x / {HX})::BIGINT + {WIDE} * floor(y / {HY})::BIGINT END AS elem FROM sp)"""
 
@@ -134,7 +134,7 @@ def supplier_lines(spark, folder):
     """One slanted line per supplier, starting and ending outside the box."""
     k, h = F.col("s_suppkey"), height(spark, folder)
     return table(spark, folder, "supplier").select(
-        F.lit(CASE).alias("case"), k.alias("line"), F.lit(-0.213).alias("x0"), (h * (0.1 + k % 37 / 50.0)).alias("y0"), F.lit(2.217).alias("x1"), (h * (0.15 + k % 23 / 40.0)).alias("y1")
+        F.lit(CASE).alias("case"), k.alias("line"), F.lit(-0.213).alias("x0"), (h * (0.1013 + k % 37 / 51.7)).alias("y0"), F.lit(2.217).alias("x1"), (h * (0.1517 + k % 23 / 41.3)).alias("y1")
     )
 
 

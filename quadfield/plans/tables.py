@@ -64,7 +64,7 @@ def probe_points(spark: SparkSession, folder: str, x0: float = 0.0, width: float
 
 POINT_KEYS = ["price", "part"]
 
-RADIAL, ANGULAR, N_RING = 2, 12, 7
+RADIAL, ANGULAR, N_RING = 2, 12, 10
 
 
 def ring_mesh(spark: SparkSession, folder: str) -> DataFrame:
@@ -105,10 +105,10 @@ def _place_with(rows: DataFrame, nx: int, ny: int, n: int, mapping, params: list
 
 
 def day_steps(spark: SparkSession, folder: str) -> DataFrame:
-    """``step time scale``: one step per day of events, scale = mean value."""
+    """``step time scale``: one step per day of events, scale grows with the mean value."""
     ev = table(spark, folder, "events")
     day = F.dayofmonth("ts") - 1
-    return ev.groupBy(day.alias("step")).agg((F.avg("value") / 100).alias("scale")).select("step", (F.col("step") * 0.5).alias("time"), "scale")
+    return ev.groupBy(day.alias("step")).agg((F.avg("value") / 101.7).alias("scale")).select("step", (F.col("step") * 0.5).alias("time"), "scale")
 
 
 # --------------------------------------------------------------------------- SQL fragments
@@ -143,5 +143,15 @@ def points_sql(x0: float = 0.0, width: float = 2.0) -> str:
 
 
 RING_SQL = "ring AS (SELECT s_suppkey AS c, 0.5 + s_suppkey % 7 * 0.1 AS rin, 1.0 + s_suppkey % 5 * 0.25 AS gap FROM supplier)"
+#: nodes of the ring walls: boundary B1 (inner) runs clockwise, B2 (outer) counter-clockwise
+RING_WALL_SQL = f"""{RING_SQL}, {values('gr', basis.nodes(N_RING))}, q AS (SELECT unnest(range({ANGULAR})) AS seq),
+wall AS (SELECT c, 'B1' AS boundary, seq, gr.a AS node, gr.v AS t, rin AS rad, -1 AS way, {RADIAL} * ((({ANGULAR} - seq) % {ANGULAR})) AS elem, 2 * pi() / {ANGULAR} * (((({ANGULAR} - seq) % {ANGULAR})) + (1 - gr.v) / 2) AS th FROM ring, gr, q
+UNION ALL SELECT c, 'B2', seq, gr.a, gr.v, rin + gap, 1, {RADIAL} * seq + {RADIAL - 1}, 2 * pi() / {ANGULAR} * (seq + (1 + gr.v) / 2) FROM ring, gr, q)"""
 BLOCK_SQL = "blk AS (SELECT s_suppkey AS c, 1.0 + s_suppkey % 5 * 0.5 AS wide, 1.0 + s_suppkey % 3 * 0.5 AS high FROM supplier)"
-STEPS_SQL = "st AS (SELECT day(ts) - 1 AS step, avg(value) / 100 AS scale FROM events GROUP BY 1)"
+#: edges of the block walls in traversal order
+BLOCK_EDGE_SQL = f"""{BLOCK_SQL}, el AS (SELECT unnest(range({BOX_X * BOX_Y})) AS elem), ed AS (SELECT c, wide, high, elem, elem % {BOX_X} AS ex, elem // {BOX_X} AS ey, elem % 3 = 1 AS mir FROM blk, el),
+be AS (SELECT c, wide, high, 'B1' AS boundary, ex AS seq, elem, 0 AS side, mir, ex, ey FROM ed WHERE ey = 0
+UNION ALL SELECT c, wide, high, 'B2', ey, elem, CASE WHEN mir THEN 3 ELSE 1 END, mir, ex, ey FROM ed WHERE ex = {BOX_X - 1}
+UNION ALL SELECT c, wide, high, 'B3', {BOX_X - 1} - ex, elem, 2, mir, ex, ey FROM ed WHERE ey = {BOX_Y - 1}
+UNION ALL SELECT c, wide, high, 'B4', {BOX_Y - 1} - ey, elem, CASE WHEN mir THEN 1 ELSE 3 END, mir, ex, ey FROM ed WHERE ex = 0)"""
+STEPS_SQL = "st AS (SELECT day(ts) - 1 AS step, avg(value) / 101.7 AS scale FROM events GROUP BY 1)"
