@@ -8,6 +8,8 @@ ordinary code-generated expressions.  NULL still propagates as NULL.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,8 +22,8 @@ def _col(v) -> Column:
 
 
 def _zero_sign(b: Column) -> Column:
-    """+1 for ``+0.0`` and -1 for ``-0.0``."""
-    return F.signum(F.atan2(b, F.lit(-1.0)))
+    """+1 for ``+0.0`` and -1 for ``-0.0`` (which Spark treats as equal)."""
+    return F.when(b.cast("string") == "-0.0", -1.0).otherwise(1.0)
 
 
 def div(a, b) -> Column:
@@ -67,6 +69,13 @@ def maximum(a, b) -> Column:
     return F.greatest(_col(a), _col(b))  # NaN is the largest double in Spark
 
 
+def atan2(a, b) -> Column:
+    """Angle of ``(b, a)`` with the sign of zeros respected (Spark drops it)."""
+    a, b = _col(a), _col(b)
+    left = (b < 0.0) | ((b == 0.0) & (_zero_sign(b) < 0))
+    return F.when((a == 0.0) & left, _zero_sign(a) * math.pi).otherwise(F.atan2(a, b))
+
+
 def is_finite(x: Column) -> Column:
     return ~F.isnan(x) & (F.abs(x) < INF)
 
@@ -78,4 +87,4 @@ UNARY = {
     "sinh": F.sinh, "cosh": F.cosh, "tanh": F.tanh,
 }
 #: two-argument functions of the field calculator
-BINARY = {"atan2": lambda a, b: F.atan2(_col(a), _col(b)), "min": minimum, "max": maximum, "pow": power}
+BINARY = {"atan2": atan2, "min": minimum, "max": maximum, "pow": power}
