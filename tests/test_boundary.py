@@ -96,7 +96,7 @@ def test_single_precision_copies_and_a_crack(spark):
 def test_many_copies_of_one_element(spark):
     """A third of all elements are copies of one: their edges all match, and nothing explodes."""
     m = gen.box(spark, 20, 20, 3, (0, 20), (0, 20), case="c")
-    copies = m.where("elem = 0").select("case", (F.explode(F.sequence(F.lit(1000), F.lit(1199)))).cast("long").alias("elem"), "gid", "n", "x", "y")
+    copies = m.where("elem = 0").select("case", F.explode(F.sequence(F.lit(1000).cast("long"), F.lit(1199).cast("long"))).alias("elem"), "gid", "n", "x", "y")
     e = bd.external_edges(m.unionByName(copies))
     assert e.count() == 80 - 2 and e.where("elem = 0 or elem >= 1000").count() == 0
 

@@ -98,6 +98,8 @@ def test_ieee_table(spark):
         for r in got:
             u, v = np.float64(r[0]), np.float64(r[1])
             want = [u / v, np.mod(u, v), np.power(u, v), np.minimum(u, v), np.maximum(u, v), np.log(u), np.log10(u), np.sqrt(u), np.arcsin(u), np.sign(u), np.arctan2(u, v)]
+            if u == -INF and v == 0.5:
+                want[2] = np.float64(INF)  # the C rule; NumPy takes a square root for a constant 0.5
             for k, w in enumerate(want):
                 assert np.isclose(r[2 + k], w, rtol=1e-14, equal_nan=True), (k, r[0], r[1], r[2 + k], w)
 
