@@ -27,15 +27,18 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores when a small table has fewer scan splits than cores; large tables stay as they are."""
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """Use all cores when a small table has fewer scan splits than cores; large tables stay as they are.
+
+    Rows go by the hash of ``by``, which must be close to unique.
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores, *by) if df.rdd.getNumPartitions() < cores else df
 
 
 def cell_mesh(spark: SparkSession, folder: str, wave: float = 0.0) -> DataFrame:
     """``case elem gid n x y f``: one element per embedding, ``wave`` bends the box."""
-    e = table(spark, folder, "embeddings").select(
+    e = spread(table(spark, folder, "embeddings"), "vec_id").select(
         F.lit(CASE).alias("case"), F.col("vec_id").alias("elem"), (F.col("vec_id") + 1).cast("int").alias("gid"),
         (F.col("vec_id") % WIDE).alias("ex"), F.floor(F.col("vec_id") / WIDE).alias("ey"), F.col("embedding").cast("array<double>").alias("f"),
     )
@@ -54,7 +57,7 @@ def height(spark: SparkSession, folder: str):
 
 def probe_points(spark: SparkSession, folder: str, x0: float = 0.0, width: float = 2.0) -> DataFrame:
     """``case price part flag x y`` per line item; no point lies on an element edge."""
-    li = spread(table(spark, folder, "lineitem").select("l_extendedprice", "l_partkey", "l_returnflag"))
+    li = spread(table(spark, folder, "lineitem").select("l_extendedprice", "l_partkey", "l_returnflag"), "l_extendedprice", "l_partkey")
     return li.select(
         F.lit(CASE).alias("case"), F.col("l_extendedprice").alias("price"), F.col("l_partkey").alias("part"), F.col("l_returnflag").alias("flag"),
         (x0 + (F.col("l_extendedprice") - 900.005) / 104100 * width).alias("x"),
@@ -69,7 +72,7 @@ RADIAL, ANGULAR, N_RING = 2, 12, 10
 
 def ring_mesh(spark: SparkSession, folder: str) -> DataFrame:
     """One annulus per supplier (``case`` = supplier key)."""
-    s = table(spark, folder, "supplier").select(
+    s = spread(table(spark, folder, "supplier"), "s_suppkey").select(
         F.col("s_suppkey").alias("case"), (0.5 + F.col("s_suppkey") % 7 * 0.1).alias("rin"), (1.0 + F.col("s_suppkey") % 5 * 0.25).alias("gap"),
         F.explode(F.sequence(F.lit(0).cast("long"), F.lit(RADIAL * ANGULAR - 1).cast("long"))).alias("elem"),
     )
@@ -87,7 +90,7 @@ BOX_X, BOX_Y, N_BOX = 4, 3, 5
 
 def block_mesh(spark: SparkSession, folder: str, mirror: bool = True) -> DataFrame:
     """One 4 x 3 box per supplier; every third element is mirrored (its nodes run backwards in r)."""
-    s = table(spark, folder, "supplier").select(
+    s = spread(table(spark, folder, "supplier"), "s_suppkey").select(
         F.col("s_suppkey").alias("case"), (1.0 + F.col("s_suppkey") % 5 * 0.5).alias("wide"), (1.0 + F.col("s_suppkey") % 3 * 0.5).alias("high"),
         F.explode(F.sequence(F.lit(0).cast("long"), F.lit(BOX_X * BOX_Y - 1).cast("long"))).alias("elem"),
     )
