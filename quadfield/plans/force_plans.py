@@ -9,7 +9,7 @@ from quadfield.operators import forces as fc
 from quadfield.operators.scans import checkpointed
 from quadfield.plans.boundary_plans import stored
 from quadfield.plans.registry import plan, rounded
-from quadfield.plans.tables import ANGULAR, BLOCK_SQL, N_RING, RING_SQL, RING_WALL_SQL, STEPS_SQL, block_mesh, day_steps, ring_mesh
+from quadfield.plans.tables import ANGULAR, BLOCK_SQL, N_RING, RING_SQL, RING_WALL_SQL, STEPS_SQL, block_mesh, day_steps, each_day, ring_mesh
 from quadfield.sources.exports import distribution_rows, force_rows
 from quadfield.sources.generators import analytic_field
 
@@ -21,12 +21,8 @@ def block_flow(spark, folder, mesh):
     df = mesh
     for name, f in (("u", lambda x, y: y), ("v", lambda x, y: 0.0 * x), ("p", lambda x, y: x + 0.0), ("w", lambda x, y: 2 * y), ("dens", lambda x, y: 1 + 0.5 * x)):
         df = analytic_field(df, name, f)
-    cases = df.select("case").distinct()
-    days = day_steps(spark, folder)
-    # one row per (case, day): the days are few and hang on the case by a scalar array
-    series = cases.withColumn("_d", F.explode(days.agg(F.collect_list(F.struct("step", "time", "scale"))).scalar())).select("case", "_d.*")
     times = lambda k: F.zip_with(k, F.array_repeat("scale", F.size(k)), lambda v, s: v * s).alias(k)
-    return df.join(series, "case").select("case", "step", "time", "elem", *[times(k) for k in ("u", "v", "p", "w")], "dens")
+    return each_day(df, day_steps(spark, folder), "case", "elem").select("case", "step", "time", "elem", *[times(k) for k in ("u", "v", "p", "w")], "dens")
 
 
 def _block_walls(spark, folder):

@@ -10,7 +10,7 @@ from quadfield.operators import locate
 from quadfield.operators.fields import field_range
 from quadfield.plans.registry import plan, rounded
 from quadfield.plans.tables import (
-    CASE, HEIGHT_SQL, HX, HY, N, POINT_KEYS, STEPS_SQL, WAVE, WIDE, cell_mesh, day_steps, height, points_sql, probe_points, table,
+    CASE, HEIGHT_SQL, HX, HY, N, POINT_KEYS, STEPS_SQL, WAVE, WIDE, cell_mesh, day_steps, each_day, height, points_sql, probe_points, table,
 )
 from quadfield.sources.generators import analytic_field
 
@@ -116,9 +116,8 @@ def point_series(spark, folder):
 
 
 def _stepped(spark, folder, mesh, name):
-    """The field of every day: an equi-join on the case of the mesh, then a scaling."""
-    days = day_steps(spark, folder).withColumn("case", F.lit(CASE))
-    return mesh.select("case", "elem", name).join(days, "case").select("case", "step", "time", "elem", F.col(name).alias("_v"), "scale").select(
+    """The field of every day, scaled."""
+    return each_day(mesh.select("case", "elem", name), day_steps(spark, folder), "elem").select("case", "step", "time", "elem", F.col(name).alias("_v"), "scale").select(
         "case", "step", "time", "elem", F.zip_with("_v", F.array_repeat("scale", F.size("_v")), lambda v, k: v * k).alias(name)
     )
 

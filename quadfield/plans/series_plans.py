@@ -12,7 +12,7 @@ from quadfield.operators.locate import sample_lines
 from quadfield.operators.scans import shared_folder
 from quadfield.plans.probe_plans import poly_mesh
 from quadfield.plans.registry import plan, rounded
-from quadfield.plans.tables import CASE, HEIGHT_SQL, STEPS_SQL, WAVE, cell_mesh, day_steps, height, nodes_sql, table
+from quadfield.plans.tables import CASE, HEIGHT_SQL, STEPS_SQL, WAVE, cell_mesh, day_steps, each_day, height, nodes_sql, table
 from quadfield.sources import cases, exports, fieldfiles, probe_sets
 
 
@@ -40,8 +40,7 @@ def step_nearest(spark, folder):
 
 @plan("pick_last_step", f"WITH {STEPS_SQL}, l AS (SELECT * FROM st WHERE step = (SELECT max(step) FROM st)) SELECT step, count(*) AS elems, round(sum(scale * list_sum(list_transform(embedding, lambda v: v::DOUBLE))), 4) + 0.0 AS total FROM l, embeddings GROUP BY step")
 def pick_last_step(spark, folder):
-    days = day_steps(spark, folder).withColumn("case", F.lit(CASE))
-    data = cell_mesh(spark, folder).select("case", "elem", "f").join(ts.pick_step(days, -1), "case")
+    data = each_day(cell_mesh(spark, folder).select("case", "elem", "f"), ts.pick_step(day_steps(spark, folder), -1), "elem")
     total = F.aggregate("f", F.lit(0.0), lambda a, v: a + v) * F.col("scale")
     return data.groupBy("step").agg(F.count(F.lit(1)).alias("elems"), rounded(F.sum(total), 4).alias("total"))
 
@@ -50,9 +49,9 @@ def pick_last_step(spark, folder):
 def mesh_sharing(spark, folder):
     # every tenth step moved its mesh by half a unit and stores it; the others share the first
     base = cell_mesh(spark, folder).select("case", "elem", "x", "y")
-    days = day_steps(spark, folder).withColumn("case", F.lit(CASE))
-    fields = base.select("case", "elem").join(days.select("case", "step"), "case")
-    moved = base.join(days.where("step % 10 = 3").select("case", "step"), "case").withColumn("x", F.transform("x", lambda v: v + 0.5))
+    days = day_steps(spark, folder).select("step")
+    fields = each_day(base.select("case", "elem"), days, "elem")
+    moved = each_day(base, days.where("step % 10 = 3"), "elem").withColumn("x", F.transform("x", lambda v: v + 0.5))
     all_ = ts.with_mesh(fields, base, moved)
     return all_.groupBy("step").agg(rounded(F.sum(F.aggregate("x", F.lit(0.0), lambda a, v: a + v)), 3).alias("sx"))
 
@@ -79,8 +78,7 @@ def roundtrip_f32(spark, folder):
 def stored_case(spark, folder):
     """A case partitioned by step in Parquet (single precision); two steps are read back by partition pruning."""
     out = _scratch(spark, "case")
-    days = day_steps(spark, folder).withColumn("case", F.lit(CASE))
-    data = cell_mesh(spark, folder).select("case", "elem", "f").join(days, "case")
+    data = each_day(cell_mesh(spark, folder).select("case", "elem", "f"), day_steps(spark, folder), "elem")
     data = data.select("case", "step", "time", "elem", F.zip_with("f", F.array_repeat("scale", F.size("f")), lambda v, s: v * s).alias("f"))
     cases.write_case(data, out, float32=True)
     back = cases.read_case(spark, out).where("step in (4, 5)")
@@ -89,9 +87,8 @@ def stored_case(spark, folder):
 
 @plan("case_summary", f"WITH {STEPS_SQL}, {nodes_sql(True)} SELECT count(DISTINCT elem) AS nelv, 7 AS \"order\", (SELECT count(*) FROM st) AS steps, round(min(x), 6) + 0.0 AS xmin, round(max(x), 6) AS xmax, round(min(y), 6) + 0.0 AS ymin, round(max(y), 6) AS ymax FROM nd")
 def case_summary(spark, folder):
-    days = day_steps(spark, folder).withColumn("case", F.lit(CASE))
     mesh = cell_mesh(spark, folder, WAVE)
-    fields = mesh.select("case", "elem", "f").join(days, "case").select("case", "step", "time", "elem", "f")
+    fields = each_day(mesh.select("case", "elem", "f"), day_steps(spark, folder), "elem").select("case", "step", "time", "elem", "f")
     info, _ = cases.describe_case(fields, mesh)
     return info.select("nelv", "order", "steps", *[rounded(k).alias(k) for k in ("xmin", "xmax", "ymin", "ymax")])
 

@@ -114,6 +114,14 @@ def day_steps(spark: SparkSession, folder: str) -> DataFrame:
     return ev.groupBy(day.alias("step")).agg((F.avg("value") / 101.7).alias("scale")).select("step", (F.col("step") * 0.5).alias("time"), "scale")
 
 
+def each_day(rows: DataFrame, days: DataFrame, *by: str) -> DataFrame:
+    """Every row on every day: an equi-join on a hash slot of ``by``, so the pairing is spread over all tasks."""
+    slots = rows.sparkSession.sparkContext.defaultParallelism
+    left = rows.withColumn("_slot", F.pmod(F.xxhash64(*by), F.lit(slots).cast("long")))
+    right = days.withColumn("_slot", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slots - 1).cast("long"))))
+    return left.join(right, "_slot").drop("_slot")
+
+
 # --------------------------------------------------------------------------- SQL fragments
 def values(name: str, rows) -> str:
     """``name(a, b, v) AS (VALUES ...)`` of a matrix, or ``name(a, v)`` of a vector."""
