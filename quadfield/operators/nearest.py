@@ -115,7 +115,7 @@ def nearest_wall(points: DataFrame, edges: DataFrame, mesh: DataFrame, max_dist:
         + [T.StructField(k, num) for k in ("t", "wx", "wy", "nx", "ny", "dist", "_rank")]
     )
     found = packed.join(boxes, ["case", *CELL]).drop(*CELL).mapInArrow(lambda it: _solve(it, keys, snap, float(max_dist)), schema)
-    # fixed-width tie-break: distance first, then the edge
+    # distance first, then the lowest edge
     order = F.struct(F.round("_rank", 12), c("elem") * 4 + c("side"))
     picked = ["elem", "side", "node", "t", "wx", "wy", "nx", "ny", "dist"]
     return found.groupBy("case", *keys).agg(F.min_by(F.struct(*picked), order).alias("_b")).select("case", *keys, *[c(f"_b.{k}").alias(k) for k in picked])
