@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import wraps
 
-from quadfield.llm import exact_dedup
+from quadfield.llm import exact_dedup, line_dedup
 from quadfield.llm.common import documents
 from quadfield.shipping import attach
 
@@ -32,3 +32,8 @@ def query(name: str, sql: str | None = None):
 @query("op4_exact_dedup", exact_dedup.ORACLE)
 def op4(spark, folder):
     return exact_dedup.mark(documents(spark, folder))
+
+
+@query("op2_line_dedup", line_dedup.ORACLE)
+def op2(spark, folder):
+    return line_dedup.digest(documents(spark, folder))
