@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import wraps
 
-from quadfield.llm import exact_dedup, line_dedup
+from quadfield.llm import exact_dedup, line_dedup, simhash_dedup
 from quadfield.llm.common import documents
 from quadfield.shipping import attach
 
@@ -37,3 +37,8 @@ def op4(spark, folder):
 @query("op2_line_dedup", line_dedup.ORACLE)
 def op2(spark, folder):
     return line_dedup.digest(documents(spark, folder))
+
+
+@query("op1_simhash")
+def op1(spark, folder):
+    return simhash_dedup.mark(documents(spark, folder))
