@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import wraps
 
-from quadfield.llm import exact_dedup, line_dedup, simhash_dedup
+from quadfield.llm import exact_dedup, line_dedup, mixing, simhash_dedup
 from quadfield.llm.common import documents
 from quadfield.shipping import attach
 
@@ -42,3 +42,8 @@ def op2(spark, folder):
 @query("op1_simhash")
 def op1(spark, folder):
     return simhash_dedup.mark(documents(spark, folder))
+
+
+@query("op10_mixing", mixing.ORACLE)
+def op10(spark, folder):
+    return mixing.digest(documents(spark, folder))
