@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import wraps
 
-from quadfield.llm import exact_dedup, line_dedup, mixing, simhash_dedup
+from quadfield.llm import exact_dedup, line_dedup, mixing, packing, simhash_dedup
 from quadfield.llm.common import documents
 from quadfield.shipping import attach
 
@@ -47,3 +47,8 @@ def op1(spark, folder):
 @query("op10_mixing", mixing.ORACLE)
 def op10(spark, folder):
     return mixing.digest(documents(spark, folder))
+
+
+@query("op7_packing")
+def op7(spark, folder):
+    return packing.pack_documents(documents(spark, folder))
