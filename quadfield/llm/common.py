@@ -12,8 +12,12 @@ from pyspark.sql import functions as F
 SPACES = r"[\x20\x09-\x0D]+"
 
 
+def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
+
+
 def documents(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.parquet(f"{folder.rstrip('/')}/documents.parquet")
+    return table(spark, folder, "documents")
 
 
 def shared_folder(spark: SparkSession) -> str:

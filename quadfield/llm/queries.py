@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from functools import wraps
 
-from quadfield.llm import exact_dedup, line_dedup, mixing, packing, simhash_dedup
-from quadfield.llm.common import documents
+from quadfield.llm import exact_dedup, line_dedup, mixing, packing, quality, simhash_dedup
+from quadfield.llm.common import documents, table
 from quadfield.shipping import attach
 
 QUERIES: dict = {}
@@ -52,3 +52,8 @@ def op10(spark, folder):
 @query("op7_packing")
 def op7(spark, folder):
     return packing.pack_documents(documents(spark, folder))
+
+
+@query("op8_quality")
+def op8(spark, folder):
+    return quality.predict(documents(spark, folder), table(spark, folder, "labels"))
