@@ -14,7 +14,8 @@ smaller line number).  Lines covered by the later copy of a repeated run are del
 * A suffix that meets a line without a second occurrence within its ``need`` lines has no copy and leaves the sort at once.
 
 Documents are told apart by (doc_id, text hash).  Null texts stay null; empty texts, blank lines and documents without repeated
-runs stay as they are; rows with equal doc_id and equal text are one document and are treated alike; a null doc_id sorts first.
+runs stay as they are; rows with equal doc_id and equal text are one document and are treated alike.  A null doc_id sorts first and
+its documents are never changed.
 An empty table gives an empty result.  All columns of the input are passed through; helper columns start with ``__``.
 """
 
@@ -31,11 +32,13 @@ _DOC = ["doc_id", "__key"]
 
 
 def lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, __key, pos, no, id, id2, chars): non-blank lines; ``pos`` counts them, ``no`` counts all lines, from 0."""
+    """(doc_id, __key, no, pos, id, id2, chars): all lines by number ``no``; ``pos`` counts non-blank ones and is null for others."""
     one = docs.select("doc_id", row_key(docs).alias("__key"), F.split("text", "\n", -1).alias("__ls")).filter(F.col("__ls").isNotNull())
-    ids = F.transform("__ls", lambda x, i: F.struct(i.alias("no"), F.xxhash64(x).alias("id"), F.xxhash64(x, F.lit(1)).alias("id2"), F.char_length(x).alias("chars"), (F.length(F.trim(x)) > 0).alias("full")))
-    one = one.select(*_DOC, F.filter(ids, lambda s: s["full"]).alias("__ls")).groupBy(*_DOC).agg(F.first("__ls").alias("__ls"))
-    return one.select(*_DOC, F.posexplode("__ls").alias("pos", "l")).select(*_DOC, "pos", "l.no", "l.id", "l.id2", "l.chars")
+    ids = F.transform("__ls", lambda x: F.struct(F.xxhash64(x).alias("id"), F.xxhash64(x, F.lit(1)).alias("id2"), F.when(F.length(F.trim(x)) > 0, F.char_length(x)).alias("chars")))
+    one = one.select(*_DOC, ids.alias("__ls")).groupBy(*_DOC).agg(F.first("__ls").alias("__ls"))
+    each = one.select(*_DOC, F.posexplode("__ls").alias("no", "l")).select(*_DOC, "no", "l.id", "l.id2", "l.chars")
+    along = Window.partitionBy(*_DOC).orderBy("no").rowsBetween(Window.unboundedPreceding, 0)
+    return each.withColumn("pos", F.when(F.col("chars").isNotNull(), F.count("chars").over(along) - 1))
 
 
 def needed(seq: DataFrame, min_chars: int) -> DataFrame:
@@ -67,15 +70,19 @@ def _doubled(suffixes: DataFrame, h: int, size: int) -> DataFrame:
     return pairs.join(ranks, ["rank", "next"], "left").select(*_DOC, "pos", "need", F.col("deeper").alias("rank"))
 
 
-def repeated_runs(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(doc_id, __key, pos, need): the shortest qualifying runs that are later copies, as places among the non-blank lines."""
-    seq = staged(_first_ranks(needed(lines(docs), min_chars)))
+def repeated_runs(numbered: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """(doc_id, __key, pos, need): the shortest qualifying runs that are later copies; ``numbered`` is the staged ``lines``."""
+    seq = staged(_first_ranks(needed(numbered.filter("pos IS NOT NULL"), min_chars)))
     top, size = seq.filter("rank IS NOT NULL").agg(F.max("need"), F.count(F.lit(1))).first()
     h, classes, levels = 1, None, seq
     while top is not None and h <= top:
         # need in [h, 2h): the first h and the last h lines together fix the run
-        back = Window.partitionBy(*_DOC).orderBy("pos").rowsBetween(0, 2 * h - 1)
-        fixed = levels.withColumn("tail", F.element_at(F.collect_list(F.coalesce("rank", F.lit(-1))).over(back), F.greatest(F.least(F.col("need"), F.lit(2 * h)) - h + 1, F.lit(1)).cast("int"))) if h > 1 else levels.withColumn("tail", F.col("rank"))
+        if h > 1:
+            ahead = Window.partitionBy(*_DOC).orderBy("pos").rowsBetween(0, h - 1)
+            back = F.collect_list(F.coalesce("rank", F.lit(-1).cast("long"))).over(ahead)
+            fixed = levels.withColumn("__b", back).withColumn("tail", F.get("__b", (F.col("need") - h).cast("int")))
+        else:
+            fixed = levels.withColumn("tail", F.col("rank"))
         fixed = fixed.filter(f"need >= {h} AND need < {2 * h} AND rank IS NOT NULL AND tail >= 0").select(*_DOC, "pos", "need", "rank", "tail", F.lit(h).alias("h"))
         classes = fixed if classes is None else classes.unionByName(fixed)
         if 2 * h <= top:
@@ -83,6 +90,7 @@ def repeated_runs(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
         h *= 2
     if classes is None:
         return seq.select(*_DOC, "pos", "need").limit(0)
+    classes = staged(classes)
     place = F.struct(*_DOC, "pos")
     key = ["h", "need", "rank", "tail"]
     intervals = classes.groupBy(*key).agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
@@ -90,25 +98,25 @@ def repeated_runs(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 
 
 def deleted_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(doc_id, __key, __gone): per document with deletions the sorted places, among its non-blank lines, that go."""
-    runs = repeated_runs(docs, min_chars)
-    spans = runs.groupBy(*_DOC).agg(F.collect_set(F.struct("pos", "need")).alias("__s"))
-    each = F.flatten(F.transform("__s", lambda s: F.sequence(s["pos"], s["pos"] + s["need"] - 1)))
-    return staged(spans.select(*_DOC, F.array_sort(F.array_distinct(each)).alias("__gone")))
+    """(doc_id, __key, __gone): for documents with deletions a flag for each line, true where it goes."""
+    numbered = staged(lines(docs))
+    runs = repeated_runs(numbered, min_chars)
+    along = Window.partitionBy(*_DOC).orderBy("no").rowsBetween(Window.unboundedPreceding, 0)
+    reach = numbered.select(*_DOC, "no", "pos").join(runs, [*_DOC, "pos"], "left").withColumn("end", F.max(F.col("pos") + F.col("need")).over(along))
+    flags = reach.select(*_DOC, F.struct("no", F.coalesce(F.col("pos") < F.col("end"), F.lit(False)).alias("gone")).alias("l"))
+    listed = flags.groupBy(*_DOC).agg(F.max("l.gone").alias("any"), F.array_sort(F.collect_list("l")).alias("ls")).filter("any")
+    return staged(listed.select(*_DOC, F.col("ls.gone").alias("__gone")))
 
 
 def delete_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """The documents with ``text`` rid of later copies, and ``__lines_removed`` (0 where nothing went)."""
     gone = deleted_lines(docs, min_chars).select(F.col("doc_id").alias("__doc"), F.col("__key").alias("__k"), "__gone")
     hit = docs.join(gone, docs.doc_id.eqNullSafe(F.col("__doc")) & (row_key(docs) == F.col("__k")), "left")
-    ls = F.split("text", "\n", -1)
-    full = F.filter(F.transform(ls, lambda x, i: F.when(F.length(F.trim(x)) > 0, i)), lambda i: i.isNotNull())
-    removed = F.transform("__gone", lambda p: F.get(full, p))
-    kept = F.filter(F.transform(ls, lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda s: ~F.array_contains(F.col("__numbers"), s["i"]))
-    hit = hit.withColumn("__numbers", removed)
-    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda s: s["x"]), "\n"))
-    n = F.coalesce(F.size("__gone"), F.lit(0)).cast("long")
-    return hit.withColumn("__lines_removed", F.when(F.col("__gone").isNull(), F.lit(0)).otherwise(n).cast("long")).withColumn("text", text).drop("__doc", "__k", "__gone", "__numbers")
+    # nulls are left out of the joined text
+    kept = F.array_join(F.zip_with(F.split("text", "\n", -1), F.col("__gone"), lambda x, g: F.when(~g, x)), "\n")
+    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(kept)
+    removed = F.when(F.col("__gone").isNull(), F.lit(0)).otherwise(F.size(F.filter("__gone", lambda g: g)))
+    return hit.withColumn("__lines_removed", removed.cast("long")).withColumn("text", text).drop("__doc", "__k", "__gone")
 
 
 def digest(docs: DataFrame) -> DataFrame:
