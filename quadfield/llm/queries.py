@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import wraps
 
-from quadfield.llm import exact_dedup, line_dedup, mixing, packing, quality, simhash_dedup
+from quadfield.llm import exact_dedup, line_dedup, mixing, packing, quality, simhash_dedup, substring_dedup
 from quadfield.llm.common import documents, table
 from quadfield.shipping import attach
 
@@ -57,3 +57,8 @@ def op7(spark, folder):
 @query("op8_quality")
 def op8(spark, folder):
     return quality.predict(documents(spark, folder), table(spark, folder, "labels"))
+
+
+@query("op9_substring_dedup")
+def op9(spark, folder):
+    return substring_dedup.digest(documents(spark, folder))
