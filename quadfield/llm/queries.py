@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import wraps
 
-from quadfield.llm import exact_dedup, line_dedup, mixing, packing, quality, simhash_dedup, substring_dedup
+from quadfield.llm import exact_dedup, line_dedup, mixing, packing, pii, quality, simhash_dedup, substring_dedup
 from quadfield.llm.common import documents, table
 from quadfield.shipping import attach
 
@@ -62,3 +62,8 @@ def op8(spark, folder):
 @query("op9_substring_dedup")
 def op9(spark, folder):
     return substring_dedup.digest(documents(spark, folder))
+
+
+@query("op5_pii")
+def op5(spark, folder):
+    return pii.detect(documents(spark, folder))
