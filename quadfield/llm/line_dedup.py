@@ -31,79 +31,85 @@ _PARTS = 1024
 _DOC = ["doc_id", "__key"]
 
 
-def lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, __key, no, pos, id, id2, chars): all lines by number ``no``; ``pos`` counts non-blank ones and is null for others."""
+def lines(docs: DataFrame, min_chars: int) -> DataFrame:
+    """(doc_id, __key, no, pos, id, id2, need): all lines by number ``no``, after one shuffle by document.
+
+    ``pos`` counts non-blank lines; a blank line has the ``pos`` of the one before it and no ``id``.  ``need`` is the number of
+    non-blank lines from here until ``min_chars`` characters are reached, null if the document ends before.
+    """
     one = docs.select("doc_id", row_key(docs).alias("__key"), F.split("text", "\n", -1).alias("__ls")).filter(F.col("__ls").isNotNull())
     ids = F.transform("__ls", lambda x: F.struct(F.xxhash64(x).alias("id"), F.xxhash64(x, F.lit(1)).alias("id2"), F.when(F.length(F.trim(x)) > 0, F.char_length(x)).alias("chars")))
     one = one.select(*_DOC, ids.alias("__ls")).groupBy(*_DOC).agg(F.first("__ls").alias("__ls"))
     each = one.select(*_DOC, F.posexplode("__ls").alias("no", "l")).select(*_DOC, "no", "l.id", "l.id2", "l.chars")
     along = Window.partitionBy(*_DOC).orderBy("no").rowsBetween(Window.unboundedPreceding, 0)
-    return each.withColumn("pos", F.when(F.col("chars").isNotNull(), F.count("chars").over(along) - 1))
-
-
-def needed(seq: DataFrame, min_chars: int) -> DataFrame:
-    """Adds ``need``: lines from here until ``min_chars`` characters are reached; null if the document ends before."""
-    along = Window.partitionBy(*_DOC).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    seq = seq.withColumn("upto", F.sum(F.col("chars").cast("long")).over(along))
-    # each line's start asks for the first line whose end lies min_chars further: starts and ends in one descending order
-    ends = seq.select(*_DOC, "pos", F.col("upto").alias("at"), F.col("pos").alias("end"), F.lit(1).alias("kind"), "id", "id2")
-    asks = seq.select(*_DOC, "pos", (F.col("upto") - F.col("chars") + min_chars).alias("at"), F.lit(None).cast("int").alias("end"), F.lit(2).alias("kind"), "id", "id2")
-    down = Window.partitionBy(*_DOC).orderBy(F.desc("at"), "kind", F.desc("pos")).rowsBetween(Window.unboundedPreceding, 0)
-    both = ends.unionByName(asks).withColumn("last", F.min("end").over(down)).filter("kind = 2")
-    return both.select(*_DOC, "pos", "id", "id2", (F.col("last") - F.col("pos") + 1).alias("need"))
+    each = each.select("*", (F.count("chars").over(along) - 1).alias("pos"), F.coalesce(F.sum(F.col("chars").cast("long")).over(along), F.lit(0)).alias("upto"))
+    # a line's start asks for the first line whose end lies min_chars further: ends and asks in one descending order
+    end = F.struct(F.col("upto").alias("at"), F.when(F.col("chars").isNotNull(), F.col("pos")).alias("end"), F.lit(1).alias("kind"))
+    ask = F.struct((F.col("upto") - F.coalesce("chars", F.lit(0)) + min_chars).alias("at"), F.lit(None).cast("long").alias("end"), F.lit(2).alias("kind"))
+    both = each.withColumn("e", F.explode(F.array(end, ask)))
+    down = Window.partitionBy(*_DOC).orderBy(F.desc("e.at"), "e.kind", F.desc("no")).rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("last", F.min("e.end").over(down)).filter("e.kind = 2")
+    full = F.col("chars").isNotNull()
+    return found.select(*_DOC, "no", "pos", F.when(full, F.col("id")).alias("id"), F.when(full, F.col("id2")).alias("id2"), F.when(full, F.col("last") - F.col("pos") + 1).alias("need"))
 
 
 def _first_ranks(seq: DataFrame) -> DataFrame:
-    """Rank of each line that occurs more than once: the number of such lines with a smaller ID."""
+    """Lines that occur more than once, ranked by the number of such lines with a smaller ID."""
     groups = seq.groupBy("id", "id2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").withColumn("part", F.shiftright("id", 54))
     ranks = totals_before(groups, [], "part", ["id", "id2"], "n", "rank").select("id", "id2", "rank")
-    return seq.join(ranks, ["id", "id2"], "left").select(*_DOC, "pos", "need", "rank")
+    return seq.join(ranks, ["id", "id2"]).select(*_DOC, "pos", "need", "rank")
 
 
 def _doubled(suffixes: DataFrame, h: int, size: int) -> DataFrame:
-    """Ranks by 2h lines from ranks by h lines; null where the second half is missing or has no copy."""
+    """Ranks by 2h lines from ranks by h lines; suffixes whose second half is missing or that have no copy leave.
+
+    Lines without a copy are not among the rows, so the row h further is the right one only if its ``pos`` says so.
+    """
     along = Window.partitionBy(*_DOC).orderBy("pos")
-    pairs = suffixes.withColumn("next", F.lead("rank", h).over(along))
-    groups = pairs.filter("rank IS NOT NULL AND next IS NOT NULL").groupBy("rank", "next").agg(F.count(F.lit(1)).alias("n"))
+    pairs = suffixes.withColumn("next", F.when(F.lead("pos", h).over(along) == F.col("pos") + h, F.lead("rank", h).over(along))).filter("next IS NOT NULL")
+    groups = pairs.groupBy("rank", "next").agg(F.count(F.lit(1)).alias("n"))
     groups = groups.withColumn("part", F.floor(F.col("next") * _PARTS / (size + 1)))
     ranks = totals_before(groups, ["rank"], "part", ["next"], "n", "less").filter("n > 1").select("rank", "next", (F.col("rank") + F.col("less")).alias("deeper"))
-    return pairs.join(ranks, ["rank", "next"], "left").select(*_DOC, "pos", "need", F.col("deeper").alias("rank"))
+    return pairs.join(ranks, ["rank", "next"]).select(*_DOC, "pos", "need", F.col("deeper").alias("rank"))
 
 
-def repeated_runs(numbered: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+def repeated_runs(numbered: DataFrame) -> DataFrame:
     """(doc_id, __key, pos, need): the shortest qualifying runs that are later copies; ``numbered`` is the staged ``lines``."""
-    seq = staged(_first_ranks(needed(numbered.filter("pos IS NOT NULL"), min_chars)))
-    top, size = seq.filter("rank IS NOT NULL").agg(F.max("need"), F.count(F.lit(1))).first()
-    h, classes, levels = 1, None, seq
+    levels = staged(_first_ranks(numbered.filter("id IS NOT NULL").select(*_DOC, "pos", "id", "id2", "need")))
+    nothing = levels.select(*_DOC, "pos", "need").limit(0)
+    top, size = levels.agg(F.max("need"), F.count(F.lit(1))).first()
+    h, classes = 1, None
     while top is not None and h <= top:
         # need in [h, 2h): the first h and the last h lines together fix the run
         if h > 1:
-            ahead = Window.partitionBy(*_DOC).orderBy("pos").rowsBetween(0, h - 1)
-            back = F.collect_list(F.coalesce("rank", F.lit(-1).cast("long"))).over(ahead)
-            fixed = levels.withColumn("__b", back).withColumn("tail", F.get("__b", (F.col("need") - h).cast("int")))
+            ahead = Window.partitionBy(*_DOC).orderBy("pos").rangeBetween(0, h - 1)
+            near = F.collect_list(F.struct("pos", "rank")).over(ahead)
+            fixed = levels.withColumn("__b", near).withColumn("tail", F.expr(f"get(filter(__b, x -> x.pos = pos + need - {h}), 0).rank"))
         else:
             fixed = levels.withColumn("tail", F.col("rank"))
-        fixed = fixed.filter(f"need >= {h} AND need < {2 * h} AND rank IS NOT NULL AND tail >= 0").select(*_DOC, "pos", "need", "rank", "tail", F.lit(h).alias("h"))
+        fixed = fixed.filter(f"need >= {h} AND need < {2 * h} AND tail IS NOT NULL").select(*_DOC, "pos", "need", "rank", "tail", F.lit(h).alias("h"))
         classes = fixed if classes is None else classes.unionByName(fixed)
         if 2 * h <= top:
             levels = staged(_doubled(levels, h, size))
+            top = levels.agg(F.max("need")).first()[0]
         h *= 2
     if classes is None:
-        return seq.select(*_DOC, "pos", "need").limit(0)
+        return nothing
     classes = staged(classes)
     place = F.struct(*_DOC, "pos")
     key = ["h", "need", "rank", "tail"]
-    intervals = classes.groupBy(*key).agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    intervals = staged(classes.groupBy(*key).agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"))
     return classes.join(intervals, key).filter(place > F.col("first")).select(*_DOC, "pos", "need")
 
 
 def deleted_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """(doc_id, __key, __gone): for documents with deletions a flag for each line, true where it goes."""
-    numbered = staged(lines(docs))
-    runs = repeated_runs(numbered, min_chars)
-    along = Window.partitionBy(*_DOC).orderBy("no").rowsBetween(Window.unboundedPreceding, 0)
-    reach = numbered.select(*_DOC, "no", "pos").join(runs, [*_DOC, "pos"], "left").withColumn("end", F.max(F.col("pos") + F.col("need")).over(along))
-    flags = reach.select(*_DOC, F.struct("no", F.coalesce(F.col("pos") < F.col("end"), F.lit(False)).alias("gone")).alias("l"))
+    numbered = staged(lines(docs, min_chars))
+    runs = repeated_runs(numbered).select(*_DOC, "pos", "need", F.lit(-1).alias("no"), F.lit(False).alias("full"))
+    rows = numbered.select(*_DOC, "pos", F.lit(None).cast("long").alias("need"), "no", F.col("id").isNotNull().alias("full")).unionByName(runs)
+    along = Window.partitionBy(*_DOC).orderBy("pos", "no").rowsBetween(Window.unboundedPreceding, 0)
+    reach = rows.withColumn("end", F.max(F.col("pos") + F.col("need")).over(along)).filter("no >= 0")
+    flags = reach.select(*_DOC, F.struct("no", F.coalesce(F.col("full") & (F.col("pos") < F.col("end")), F.lit(False)).alias("gone")).alias("l"))
     listed = flags.groupBy(*_DOC).agg(F.max("l.gone").alias("any"), F.array_sort(F.collect_list("l")).alias("ls")).filter("any")
     return staged(listed.select(*_DOC, F.col("ls.gone").alias("__gone")))
 
