@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import wraps
 
-from quadfield.llm import exact_dedup, line_dedup, mixing, packing, pii, quality, simhash_dedup, substring_dedup
+from quadfield.llm import exact_dedup, language_id, line_dedup, mixing, packing, pii, quality, simhash_dedup, substring_dedup
 from quadfield.llm.common import documents, table
 from quadfield.shipping import attach
 
@@ -67,3 +67,8 @@ def op9(spark, folder):
 @query("op5_pii")
 def op5(spark, folder):
     return pii.detect(documents(spark, folder))
+
+
+@query("op6_language_id")
+def op6(spark, folder):
+    return language_id.identify(documents(spark, folder))
