@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import wraps
 
-from quadfield.llm import exact_dedup, language_id, line_dedup, mixing, packing, pii, quality, simhash_dedup, substring_dedup
+from quadfield.llm import exact_dedup, language_id, line_dedup, mixing, nearest_vectors, packing, pii, quality, simhash_dedup, substring_dedup
 from quadfield.llm.common import documents, table
 from quadfield.shipping import attach
 
@@ -72,3 +72,8 @@ def op5(spark, folder):
 @query("op6_language_id")
 def op6(spark, folder):
     return language_id.identify(documents(spark, folder))
+
+
+@query("op3_nearest_vectors")
+def op3(spark, folder):
+    return nearest_vectors.digest(table(spark, folder, "embeddings"))
