@@ -21,6 +21,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,20 +34,18 @@ _TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
 _STEP = 1 << 15
 
 
-class Hashed:
-    """Token -> vocabulary entry; remembers a bounded number of tokens."""
+class Hashed(dict):
+    """Token -> vocabulary entry, for a bounded number of tokens."""
 
-    def __init__(self):
-        self.known: dict[str, int] = {}
+    def __missing__(self, token: str) -> int:
+        if len(self) > 1 << 19:
+            self.clear()
+        entry = self[token] = zlib.crc32(token.encode("utf-8", "surrogatepass")) % BUCKETS
+        return entry
 
     def __call__(self, text: str | None) -> np.ndarray:
-        tokens, known = _TOKEN.findall(text or ""), self.known
-        if len(known) > 1 << 19:
-            known.clear()
-        for t in set(tokens):
-            if t not in known:
-                known[t] = zlib.crc32(t.encode("utf-8", "surrogatepass")) % BUCKETS
-        return np.fromiter(map(known.__getitem__, tokens), np.int32, len(tokens))
+        tokens = _TOKEN.findall(text or "")
+        return np.fromiter(map(self.__getitem__, tokens), np.int32, len(tokens))
 
 
 def index_vectors() -> tuple[np.ndarray, np.ndarray]:
@@ -99,13 +98,10 @@ def pooled(ids: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     """Features of one document."""
     if not len(ids):
         return np.zeros(2 * DIMS + 1, np.float32)
-    total, square = np.zeros(DIMS), np.zeros(DIMS)
-    for at in range(0, len(ids), _STEP):
-        v = vectors[ids[at : at + _STEP]]
-        total += v.sum(axis=0, dtype=np.float64)
-        square += np.einsum("ij,ij->j", v, v, dtype=np.float64)
-    mean = total / len(ids)
-    return np.r_[mean, np.sqrt(np.maximum(square / len(ids) - mean * mean, 0)), np.log1p(len(ids))].astype(np.float32)
+    own, times = np.unique(ids, return_counts=True)  # BUCKETS at most
+    share, v = (times / len(ids)).astype(np.float32), vectors[own]
+    mean = share @ v
+    return np.r_[mean, np.sqrt(np.maximum(share @ (v * v) - mean * mean, 0)), np.log1p(len(ids))].astype(np.float32)
 
 
 # network
@@ -169,15 +165,16 @@ def fit(docs: DataFrame, labels: DataFrame, learnable: Column, sample: int = SAM
         hashed = Hashed()
         for b in batches:
             x = [pooled(hashed(t), vectors).tobytes() for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x, pa.binary())], names=["doc_id", "x"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x, pa.binary()), b.column(2)], names=["doc_id", "x", "y"])
 
-    known = labels.filter(learnable & F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("y"))
+    known = labels.filter(learnable & F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").cast("int").alias("y"))
     known = staged(known.withColumn("draw", F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 30))))
     share = min(1.0, sample / max(1, known.count()))
-    known = known.filter(F.col("draw") < int(share * (1 << 30)))
-    rows = docs.filter(F.col("doc_id").isNotNull()).join(known, "doc_id").select("doc_id", "text", "y")
-    drawn = rows.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, x binary")
-    got = drawn.join(known.select("doc_id", "y"), "doc_id").orderBy("doc_id", "x").toArrow()
+    known = known.filter(F.col("draw") < int(share * (1 << 30))).select("doc_id", "y")
+    # the sample is bounded by a parameter, so its ids may go to all tasks and the texts stay where they are
+    rows = docs.join(F.broadcast(known), "doc_id").select("doc_id", "text", "y")
+    got = rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, x binary, y int").toArrow()
+    got = got.take(pa.compute.sort_indices(got, [("doc_id", "ascending"), ("x", "ascending")]))
     x = np.frombuffer(b"".join(got.column("x").to_pylist()), np.float32).reshape(-1, 2 * DIMS + 1).astype(np.float64)
     return vectors, train(x, got.column("y").to_numpy().astype(np.float64))
 
