@@ -60,13 +60,23 @@ def mesh_sharing(spark, folder):
 FROM (SELECT s AS step, s * 0.25 AS time, elem, elem + 1 AS gid, x, y, f FROM nd, (SELECT unnest(range(3)) AS s)) GROUP BY ALL""")
 def roundtrip_f32(spark, folder):
     """Write three steps as single-precision field files (only the first with siblings' names), read them back."""
+    out = _written(spark, folder, range(3))
+    return _totals(fieldfiles.read_steps_table(spark, f"{out}/emb0.f00000"))
+
+
+def _written(spark, folder, steps, **how):
+    """Field files of the embedding mesh, values times step + 1, in a fresh folder."""
     out = _scratch(spark, "files")
     spark.createDataFrame([], "x int").write.mode("overwrite").parquet(out)
     mesh = cell_mesh(spark, folder)
-    for k in range(3):
+    for k in steps:
         step = mesh.select("elem", "gid", "x", "y", F.transform("f", lambda v: v * (k + 1)).alias("f"))
-        fieldfiles.write_field_file(step, out, "emb", k, 0.25 * k, ["f"]).collect()
-    steps = fieldfiles.read_steps_table(spark, f"{out}/emb0.f00000")
+        fieldfiles.write_field_file(step, out, "emb", k, 0.25 * k, ["f"], **how).collect()
+    return out
+
+
+def _totals(steps):
+    """Sums over every element of every step that is read back."""
     names = fieldfiles.stored_names(steps)
     data = fieldfiles.read_elements(steps, names)
     full = data.join(fieldfiles.read_mesh(steps).select("case", "elem", "x", "y"), ["case", "elem"])
@@ -74,6 +84,38 @@ def roundtrip_f32(spark, folder):
     return full.select(F.col("step").cast("long").alias("step"), rounded("time").alias("time"), "elem", F.col("gid").cast("long").alias("gid"), total("x").alias("sx"), total("y").alias("sy"), total(names[0]).alias("sf"))
 
 
+_BACK = "SELECT {step} AS step, round(time, 6) AS time, elem, gid, round(sum(x), 3) AS sx, round(sum(y), 3) AS sy, round(sum(f * (s + 1)), 3) + 0.0 AS sf FROM (SELECT s, s * 0.25 AS time, elem, elem + 1 AS gid, x, y, f FROM nd, (SELECT unnest({steps}) AS s)) GROUP BY ALL"
+
+
+@plan("roundtrip_parts", f"WITH {nodes_sql()} " + _BACK.format(step="s", steps="range(2)"))
+def roundtrip_parts(spark, folder):
+    """Two steps, each stored in many files: every part is found, elements are numbered through them."""
+    out = _written(spark, folder, range(2), elements_per_file=64)
+    return _totals(fieldfiles.read_steps_table(spark, f"{out}/emb0.f00000"))
+
+
+@plan("metafile_case", f"WITH {nodes_sql()} " + _BACK.format(step="s - 1", steps="[1, 2]"))
+def metafile_case(spark, folder):
+    """A case named by a metafile, given as a URI."""
+    out = _written(spark, folder, range(3))
+    spark.createDataFrame([("filetemplate: %s%01d.f%05d\nfirsttimestep: 1\nnumtimesteps: 2",)], "value string").coalesce(1).write.text(f"{out}/meta")
+    name = fieldfiles.list_files(spark, f"{out}/meta", "part-*").first().file
+    system, there = fieldfiles._hadoop(spark, name)
+    system.rename(there, fieldfiles._hadoop(spark, f"{out}/emb.nek5000")[1])
+    return _totals(fieldfiles.read_steps_table(spark, fieldfiles.qualified(spark, f"{out}/emb.nek5000")))
+
+
+@plan("directory_case", f"WITH {nodes_sql()} " + _BACK.format(step="s", steps="[0, 1]"))
+def directory_case(spark, folder):
+    """A folder with one metafile, steps in several parts, and one step file missing."""
+    out = _written(spark, folder, range(2), elements_per_file=100)
+    spark.createDataFrame([("filetemplate: emb%01d.f%05d\nnumtimesteps: 3",)], "value string").coalesce(1).write.text(f"{out}/meta")
+    name = fieldfiles.list_files(spark, f"{out}/meta", "part-*").first().file
+    system, there = fieldfiles._hadoop(spark, name)
+    system.rename(there, fieldfiles._hadoop(spark, f"{out}/emb.nek5000")[1])
+    return _totals(fieldfiles.read_steps_table(spark, out))
+
+
 @plan("stored_case", f"WITH {STEPS_SQL}, {nodes_sql()}, s AS (SELECT step, round(min(f * scale), 4) + 0.0 AS lo, round(max(f * scale), 4) + 0.0 AS hi FROM nd, st WHERE step IN (4, 5) GROUP BY step) SELECT * FROM s")
 def stored_case(spark, folder):
     """A case partitioned by step in Parquet (single precision); two steps are read back by partition pruning."""

@@ -3,12 +3,13 @@
 A file is a 132-byte text header, a 4-byte endian mark, the global element ids, and
 then per variable the element blocks (``X`` and ``U`` with one block per component).
 Everything after the header sits at a computable offset, so one file is read by
-many tasks, each seeking to its own range of elements.
+many tasks, each seeking to its own range of elements.  A step may be stored in
+several files (parts); their headers say how many, and the elements of a step are
+numbered through its parts.
 """
 
 from __future__ import annotations
 
-import os
 import posixpath
 import re
 import warnings
@@ -21,35 +22,51 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quadfield.operators.scans import checkpointed
+
 HEADER = 132
 ENDIAN_MARK = 6.54321       # fixed value of the format
 META_SUFFIX = ".nek5000"    # fixed value of the format
-STEP_FILE = r"^(.*?)(\d)\.f(\d{5})$"
-ELEMENTS_PER_READ = 1 << 15
+STEP_FILE = r"^(.*?)(\d+)\.f(\d{5})$"
+BYTES_PER_READ = 1 << 26    # of the chosen arrays, in double precision
 
 STEPS = T.StructType([
     T.StructField("case", T.StringType()), T.StructField("step", T.IntegerType()), T.StructField("file", T.StringType()),
     T.StructField("time", T.DoubleType()), T.StructField("istep", T.IntegerType()), T.StructField("nelv", T.LongType()),
     T.StructField("n", T.IntegerType()), T.StructField("has_mesh", T.BooleanType()), T.StructField("variables", T.StringType()),
-    T.StructField("wdsz", T.IntegerType()), T.StructField("lz", T.IntegerType()),
+    T.StructField("wdsz", T.IntegerType()), T.StructField("lz", T.IntegerType()), T.StructField("part", T.IntegerType()),
+    T.StructField("parts", T.IntegerType()), T.StructField("total", T.LongType()), T.StructField("first_elem", T.LongType()),
 ])
 
 
+def _hadoop(spark: SparkSession, path: str):
+    """Spark's own filesystem for a path, and the path in it."""
+    jvm = spark.sparkContext._jvm
+    there = jvm.org.apache.hadoop.fs.Path(path)
+    return there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), there
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with the scheme that Spark gives it, so that every executor means the same place."""
+    system, there = _hadoop(spark, path)
+    return system.makeQualified(there).toString()
+
+
 def _open(uri: str):
-    """Filesystem and path of a Spark URI (``file:/x``, ``hdfs://...``, ``s3://...`` or a plain path)."""
-    if "://" not in uri:
-        uri = "file://" + re.sub(r"^file:", "", uri) if uri.startswith("file:") else "file://" + os.path.abspath(uri)
-    system, path = fs.FileSystem.from_uri(uri.replace("s3a://", "s3://"))
-    return system, path
+    """Filesystem and path of a qualified URI (``file:/x``, ``hdfs://...``, ``s3://...``), on an executor."""
+    if uri.startswith("file:"):
+        return fs.LocalFileSystem(), re.sub(r"^file:/+", "/", uri)
+    return fs.FileSystem.from_uri(uri.replace("s3a://", "s3://"))
 
 
 def parse_header(raw: bytes) -> dict:
     tok = raw.decode("ascii", "replace").split()
     if not tok or tok[0] != "#std":
-        raise ValueError("not a field file")
+        raise ValueError("the file does not start with the mark of a field file")
     return {
         "wdsz": int(tok[1]), "n": int(tok[2]), "ly": int(tok[3]), "lz": int(tok[4]), "nelv": int(tok[5]),
-        "time": float(tok[7]), "istep": int(tok[8]), "variables": tok[11] if len(tok) > 11 else "",
+        "total": int(tok[6]), "time": float(tok[7]), "istep": int(tok[8]), "part": int(tok[9]), "parts": max(1, int(tok[10])),
+        "variables": tok[11] if len(tok) > 11 else "",
     }
 
 
@@ -103,30 +120,27 @@ def read_metafile(spark: SparkSession, path: str) -> DataFrame:
     wanted = ("filetemplate", "firsttimestep", "numtimesteps")
     row = pairs.agg(*[F.max(F.when(F.col("k") == k, F.col("v"))).alias(k) for k in wanted]).first()
     if row["filetemplate"] is None:
-        raise ValueError(f"{path}: no 'filetemplate' entry")
+        raise ValueError(f"{path} has no line 'filetemplate: ...'")
     template = row["filetemplate"].replace("%s", case, 1)
     first, count = int(row["firsttimestep"] or 0), int(row["numtimesteps"] or 1)
     slots = template.count("%")
     step = F.col("k").cast("int")
     name = F.format_string(template, F.lit(0), step) if slots >= 2 else F.format_string(template, step) if slots == 1 else F.lit(template)
-    folder = posixpath.dirname(path) or "."
+    inner = posixpath.dirname(template)
+    folder = inner if inner.startswith("/") else posixpath.join(posixpath.dirname(path) or ".", inner).rstrip("/")
     named = spark.range(first, first + count).select(F.col("id").alias("k")).select("k", name.alias("name"))
-    named = named.withColumn("key", F.when(F.col("name").startswith("/"), F.col("name")).otherwise(F.concat(F.lit(_plain(os.path.abspath(folder)) + "/"), "name")))
-    there = list_files(spark, folder if not template.startswith("/") else posixpath.dirname(template))
-    hits = named.join(there.withColumn("key", F.regexp_replace("file", "^file:/+", "/")), "key")
+    named = named.withColumn("base", F.element_at(F.split("name", "/"), -1))
+    there = list_files(spark, folder).withColumn("base", F.element_at(F.split("file", "/"), -1))
+    hits = named.join(there, "base")
     kept = hits.count()
     if kept == 0:
-        raise FileNotFoundError(f"{path}: none of the {count} step files exist")
+        raise FileNotFoundError(f"{path} names {count} step files, and not one is in {folder}")
     if kept < count:
-        warnings.warn(f"metafile {path}: {count - kept} step files are missing", stacklevel=2)
+        warnings.warn(f"{path}: {count - kept} of {count} step files are missing", stacklevel=2)
     order = Window.partitionBy("case").orderBy("k")
     return hits.select(F.lit(case).alias("case"), "k", "file").withColumn("step", F.row_number().over(order) - 1).select("case", "file", "step")
 
 
-def _plain(path: str) -> str:
-    return re.sub(r"^file:/+", "/", path).rstrip("/")
-
-
 def resolve_case(spark: SparkSession, path: str) -> DataFrame:
     """``(case, file, step)`` for a metafile, a directory with one metafile, a glob, or a step file.
 
@@ -142,14 +156,13 @@ def resolve_case(spark: SparkSession, path: str) -> DataFrame:
         if first is None:
             raise FileNotFoundError(path)
         return _number(files, re.sub(r"\d\.f.*$", "", posixpath.basename(first)))
-    system, local = _open(path)
-    kind = system.get_file_info(local).type
-    if kind == fs.FileType.NotFound:
+    system, there = _hadoop(spark, path)
+    if not system.exists(there):
         raise FileNotFoundError(path)
-    if kind == fs.FileType.Directory:
+    if system.getFileStatus(there).isDirectory():
         metas = [r.file for r in list_files(spark, path, "*" + META_SUFFIX).limit(2).collect()]
         if len(metas) != 1:
-            raise ValueError(f"{path} is a directory; give a metafile or a field file")
+            raise ValueError(f"{path}: a folder stands for a case only if it holds exactly one metafile")
         return read_metafile(spark, metas[0])
     m = re.match(STEP_FILE, base)
     if m:
@@ -158,8 +171,8 @@ def resolve_case(spark: SparkSession, path: str) -> DataFrame:
     return _number(list_files(spark, path), base)
 
 
-def read_headers(files: DataFrame) -> DataFrame:
-    """``steps`` metadata of ``(case, step, file)``: each task reads the first 132 bytes of its files."""
+def _scan_headers(files: DataFrame) -> DataFrame:
+    """Header facts of ``(case, step, file)``: each task reads the first 132 bytes of its files."""
 
     def scan(batches):
         for b in batches:
@@ -168,13 +181,47 @@ def read_headers(files: DataFrame) -> DataFrame:
                 system, path = _open(r["file"])
                 with system.open_input_file(path) as fh:
                     h = parse_header(fh.read(HEADER))
-                rows.append({**{k: r[k] for k in ("case", "step", "file")}, **{k: h[k] for k in ("time", "istep", "nelv", "n", "variables", "wdsz", "lz")}, "has_mesh": "X" in h["variables"].upper()})
+                rows.append({**{k: r[k] for k in ("case", "step", "file")}, **{k: h[k] for k in ("time", "istep", "nelv", "n", "variables", "wdsz", "lz", "part", "parts", "total")}, "has_mesh": "X" in h["variables"].upper(), "first_elem": 0})
             yield pa.RecordBatch.from_pylist(rows, schema=_arrow(STEPS))
 
     wide = files.sparkSession.sparkContext.defaultParallelism
     return files.select("case", F.col("step").cast("int").alias("step"), "file").repartition(wide, "file").mapInArrow(scan, STEPS)
 
 
+def read_headers(files: DataFrame) -> DataFrame:
+    """``steps`` metadata of ``(case, step, file)``: one row per file, all parts of every step.
+
+    Files whose headers name several parts bring the parts that are not listed (same name,
+    other part number) and share one step; ``first_elem`` is the number of elements in the
+    parts before.  Steps are counted in the order of their first files.  Fails where a part
+    is missing or the parts do not add up to the step's number of elements.  The windows
+    run over file metadata: one row per file of a case.
+    """
+    listed = checkpointed(_scan_headers(files))
+    name = F.element_at(F.split("file", "/"), -1)
+    several = F.col("parts") > 1
+    head = F.expr("substring(file, 1, length(file) - length(regexp_extract(file, '[0-9]+[.]f[0-9]{5}$', 0)))")
+    tail = F.regexp_extract("file", "[.]f[0-9]{5}$", 0)
+    if listed.where(several).isEmpty():
+        found = listed
+    else:
+        wanted = listed.where(several).groupBy("case", head.alias("h"), tail.alias("t")).agg(F.min("step").alias("step"), F.max("parts").alias("parts"))
+        wanted = wanted.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("case", "step", F.concat("h", F.col("k").cast("string"), "t").alias("file"))
+        more = _scan_headers(wanted.join(listed.select("case", "file"), ["case", "file"], "left_anti"))
+        found = checkpointed(listed.unionByName(more))
+    group = F.when(several, F.concat(head, tail)).otherwise(F.col("file"))
+    along = Window.partitionBy("case", "_g").orderBy("part", "file").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy("case", "_g")
+    found = found.withColumn("_g", group).withColumns({
+        "first_elem": F.coalesce(F.sum("nelv").over(along), F.lit(0)), "_held": F.sum("nelv").over(whole), "_files": F.count(F.lit(1)).over(whole), "_first": F.min("step").over(whole),
+    })
+    complete = ~several | ((F.col("_held") == F.col("total")) & (F.col("_files") == F.col("parts")))
+    problem = F.concat(name, F.lit(": parts of the step hold "), F.col("_held").cast("string"), F.lit(" of "), F.col("total").cast("string"), F.lit(" elements"))
+    found = found.withColumn("nelv", F.when(complete, F.col("nelv")).otherwise(F.raise_error(problem).cast("long")))
+    number = F.dense_rank().over(Window.partitionBy("case").orderBy("_first")) - 1
+    return found.withColumn("step", number.cast("int")).select(*[f.name for f in STEPS.fields])
+
+
 def _arrow(schema: T.StructType) -> pa.Schema:
     kinds = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "array<double>": pa.list_(pa.float64())}
     return pa.schema([(f.name, kinds[f.dataType.simpleString()]) for f in schema.fields])
@@ -211,7 +258,9 @@ def read_elements(steps: DataFrame, names: list[str]) -> DataFrame:
             for r in b.to_pylist():
                 yield _read_range(r, names, schema)
 
-    ranges = steps.withColumn("start", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("nelv") - 1, F.lit(0)), F.lit(ELEMENTS_PER_READ).cast("long"))))
+    size = F.lit(8 * max(1, len(names))) * F.col("n") * F.col("n")
+    per = F.greatest(F.lit(1), F.floor(F.lit(BYTES_PER_READ) / size)).cast("long")
+    ranges = steps.where("nelv > 0").withColumn("per", per).withColumn("start", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nelv") - 1, F.col("per"))))
     ranges = ranges.repartition("file", "start")
     return ranges.mapInArrow(read, schema)
 
@@ -219,7 +268,7 @@ def read_elements(steps: DataFrame, names: list[str]) -> DataFrame:
 def _read_range(r: dict, names: list[str], schema: T.StructType) -> pa.RecordBatch:
     if r["lz"] > 1:
         raise ValueError(f"{r['file']}: a 3-D file (lz = {r['lz']}); only 2-D data (lz = 1) is supported")
-    start, stop = r["start"], min(r["nelv"], r["start"] + ELEMENTS_PER_READ)
+    start, stop = r["start"], min(r["nelv"], r["start"] + r["per"])
     rows, n, word = stop - start, r["n"], r["wdsz"]
     system, path = _open(r["file"])
     cols: dict[str, np.ndarray] = {}
@@ -238,7 +287,7 @@ def _read_range(r: dict, names: list[str], schema: T.StructType) -> pa.RecordBat
                 cols.update({p: data[:, k] for k, p in enumerate(parts)})
             at += r["nelv"] * block
     kinds = _arrow(schema)
-    fixed = {"case": pa.array([r["case"]] * rows), "step": pa.array(np.full(rows, r["step"], np.int32)), "time": pa.array(np.full(rows, r["time"])), "elem": pa.array(np.arange(start, stop)), "gid": pa.array(gid), "n": pa.array(np.full(rows, n, np.int32))}
+    fixed = {"case": pa.array([r["case"]] * rows), "step": pa.array(np.full(rows, r["step"], np.int32)), "time": pa.array(np.full(rows, r["time"])), "elem": pa.array(np.arange(start, stop) + r["first_elem"]), "gid": pa.array(gid), "n": pa.array(np.full(rows, n, np.int32))}
     offsets = pa.array(np.arange(rows + 1, dtype=np.int32) * np.int32(n * n))
     arrays = []
     for f in kinds:
@@ -251,11 +300,22 @@ def _read_range(r: dict, names: list[str], schema: T.StructType) -> pa.RecordBat
     return pa.RecordBatch.from_arrays(arrays, schema=kinds)
 
 
-def read_mesh(steps: DataFrame) -> DataFrame:
-    """Shared mesh ``(case, elem, gid, n, x, y)`` of each case: the first step with coordinates."""
-    with_xy = steps.where("has_mesh")
+def read_mesh(steps: DataFrame, mesh_file: str | None = None) -> DataFrame:
+    """Shared mesh ``(case, elem, gid, n, x, y)`` of each case: the first step with coordinates.
+
+    ``mesh_file`` names another file (or case) whose first step with coordinates is the
+    mesh of every case in ``steps``.  Fails if there are no coordinates at all.
+    """
+    source = steps if mesh_file is None else read_steps_table(steps.sparkSession, mesh_file)
+    with_xy = source.where("has_mesh")
+    if with_xy.isEmpty():
+        raise ValueError("no file holds coordinates; name one that does as mesh_file")
     first = with_xy.groupBy("case").agg(F.min("step").alias("step"))
-    return read_elements(with_xy.join(first, ["case", "step"], "left_semi").select(*steps.columns), ["x", "y"]).drop("step", "time")
+    mesh = read_elements(with_xy.join(first, ["case", "step"], "left_semi").select(*source.columns), ["x", "y"]).drop("step", "time")
+    if mesh_file is None:
+        return mesh
+    names = [r.case for r in steps.select("case").distinct().collect()]  # cases opened by name: a handful
+    return mesh.withColumn("case", F.explode(F.array(*[F.lit(k) for k in names])))
 
 
 def write_field_file(step: DataFrame, folder: str, case: str, number: int, time: float = 0.0, names: list[str] | None = None, elements_per_file: int = 1 << 16) -> DataFrame:
@@ -271,6 +331,7 @@ def write_field_file(step: DataFrame, folder: str, case: str, number: int, time:
     known = [k for k in ("p", "t") if k in names]
     scalars = sorted(k for k in names if k not in known and not (vector and k in ("u", "v")))
     code = "X" + ("U" if vector else "") + "".join(k.upper() for k in known) + (f"S{len(scalars):02d}" if scalars else "")
+    folder = qualified(step.sparkSession, folder)
     total, top = step.agg(F.count(F.lit(1)), F.max("elem")).first()
     files = (top or 0) // elements_per_file + 1
     blocks = [["x", "y"]] + ([["u", "v"]] if vector else []) + [[k] for k in known + scalars]

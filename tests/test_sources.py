@@ -85,13 +85,34 @@ def test_many_writers(spark, tmp_path):
     m = gen.analytic_field(gen.box(spark, 5, 4, 4), "q", lambda x, y: x + y)
     out = ff.write_field_file(m, str(tmp_path), "box", 7, 1.5, elements_per_file=6).collect()
     assert sorted((os.path.basename(r.file), r.elements) for r in out) == [("box0.f00007", 6), ("box1.f00007", 6), ("box2.f00007", 6), ("box3.f00007", 2)]
-    t = ff.read_headers(ff.resolve_case(spark, f"{tmp_path}/box*.f00007"))
-    back = ff.read_elements(t, ["x", "y", "s0"])
-    assert sorted(r.gid for r in back.collect()) == list(range(1, 21))
+    for path in (f"{tmp_path}/box*.f00007", f"{tmp_path}/box2.f00007", f"file://{tmp_path}/box0.f00007"):
+        t = ff.read_steps_table(spark, path)
+        back = ff.read_elements(t, ["x", "y", "s0"])
+        assert sorted((r.step, r.elem, r.gid) for r in back.collect()) == [(0, k, k + 1) for k in range(20)]
     gap = F.aggregate(F.zip_with("x", "y", lambda a, b: a + b), F.lit(0.0), lambda a, v: a + v) - F.aggregate("s0", F.lit(0.0), lambda a, v: a + v)
     assert back.agg(F.max(F.abs(gap))).first()[0] < 1e-5
 
 
+def test_missing_parts_and_meshes(spark, tmp_path):
+    m = gen.analytic_field(gen.box(spark, 5, 4, 4), "q", lambda x, y: x + y)
+    for k in (1, 2):
+        ff.write_field_file(m, str(tmp_path), "box", k, 0.5 * k, elements_per_file=8).collect()
+    (tmp_path / "own").mkdir()
+    (tmp_path / "own" / "box.nek5000").write_text(f"filetemplate: {tmp_path}/box%01d.f%05d\nfirsttimestep: 1\nnumtimesteps: 3\n")
+    steps = ff.read_steps_table(spark, f"file://{tmp_path}/own")
+    assert sorted((r.step, r.part, r.first_elem) for r in steps.collect()) == [(0, 0, 0), (0, 1, 8), (0, 2, 16), (1, 0, 0), (1, 1, 8), (1, 2, 16)]
+    (tmp_path / "box1.f00002").unlink()
+    with pytest.raises(Exception, match="box1.f00002"):
+        ff.read_steps_table(spark, f"{tmp_path}/box0.f00001").collect()
+    bare = tmp_path / "bare0.f00001"
+    bare.write_bytes(f"#std 4  4  4  1 {1:10d} {1:10d} {0.0:20.13E} {0:9d} {0:6d} {1:6d} P".ljust(132).encode() + np.array([6.54321, 0], "<f4").tobytes() + np.ones(16, "<f4").tobytes())
+    t = ff.read_steps_table(spark, str(bare))
+    with pytest.raises(ValueError, match="mesh_file"):
+        ff.read_mesh(t)
+    borrowed = ff.read_mesh(t, f"{tmp_path}/box[012].f00001")
+    assert borrowed.count() == 20 and {r.case for r in borrowed.select("case").collect()} == {"bare"}
+
+
 def test_stored_case(spark, tmp_path):
     m = gen.taylor_green(gen.annulus(spark, 2, 6, 6))
     data = m.select("case", F.explode(F.array(F.lit(0), F.lit(1))).alias("step"), "elem", "p", "v", "u")
