@@ -22,6 +22,7 @@ changed.  An empty table gives an empty result; any other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 
 from quadfield.llm.common import staged
 
-WINDOW, GRAM = 20, 8
+WINDOW, GRAM = 20, 5
 SLOTS, HOT = 1 << 16, 8
 PIECE, FLUSH = 1 << 16, 1 << 19
 _CODE = 6
@@ -107,9 +108,7 @@ def hot_slots(docs: DataFrame) -> np.ndarray:
         for b in batches:
             for text in b.column(0):
                 for _, h in blocks.pieces(text.as_buffer().to_pybytes() if text.is_valid else None):
-                    seen += np.bincount(blocks.anchors(h)[1] % SLOTS, minlength=SLOTS) if len(h) > SLOTS // 8 else 0
-                    if len(h) <= SLOTS // 8:
-                        np.add.at(seen, blocks.anchors(h)[1] % SLOTS, 1)
+                    np.add.at(seen, blocks.anchors(h)[1] % SLOTS, 1)
         some = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(seen[some])], names=["slot", "n"])
 
@@ -123,7 +122,8 @@ def blocks_of(docs: DataFrame, hot: np.ndarray) -> DataFrame:
     """(key, doc_id, pos, codes): the index entries; a null key marks windows that are settled as later copies already."""
     def settle(held):
         """Of equal entries of this task the earliest stays, the others are settled."""
-        key, doc, pos, code = (np.concatenate(c) if k < 3 else sum(c, []) for k, c in enumerate(zip(*held)))
+        key, doc, pos = (np.concatenate(c) for c in list(zip(*held))[:3])
+        code = list(chain.from_iterable(c for *_, c in held))
         codes = np.array(code, object)
         check = np.fromiter((xxhash.xxh64_intdigest(c) for c in code), np.uint64, len(code))
         order = np.lexsort((pos, doc, check, key))
@@ -138,6 +138,9 @@ def blocks_of(docs: DataFrame, hot: np.ndarray) -> DataFrame:
             names=["key", "doc_id", "pos", "codes"],
         )
 
+    flags = np.zeros(SLOTS, bool)
+    flags[hot.astype(np.int64)] = True
+
     def run(batches):
         blocks, held, n = Blocks(), [], 0
         for b in batches:
@@ -147,7 +150,7 @@ def blocks_of(docs: DataFrame, hot: np.ndarray) -> DataFrame:
                     code = blocks.two.runs(blocks.two.sums(h), WINDOW)
                     raw = code.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_CODE].tobytes()
                     last = np.r_[first[1:], len(code)]
-                    if len(hot) and (single := np.isin(key % SLOTS, hot)).any():
+                    if (single := flags[key % SLOTS]).any():
                         full = blocks.one.runs(sums, WINDOW)
                         each = np.flatnonzero(np.repeat(single, last - first))
                         first, last, key = np.r_[first[~single], each], np.r_[last[~single], each + 1], np.r_[key[~single], full[each]]
