@@ -95,9 +95,12 @@ def nearest_wall(points: DataFrame, edges: DataFrame, mesh: DataFrame, max_dist:
     ``edges(case, elem, side)`` are the allowed edges.  The nearest edge is found on its
     16-point polyline and the point then refined on the exact curve; ``snap`` takes the
     nearest node instead.  Result: ``elem side node t wx wy nx ny dist``, ``node`` -1
-    unless snapping, ``t`` in the index order of the side.  Points farther away are left out.
+    unless snapping, ``t`` in the index order of the side.  Points farther away are left out;
+    rows that agree in keys and place stay as many rows as they were.
     """
-    keys = list(keys or ["pid"])
+    given = list(keys or ["pid"])
+    keys = given + [f"_at_{k}" for k in ("x", "y") if k not in given]
+    points = points.withColumns({"_at_x": F.col("x"), "_at_y": F.col("y")})
     c = F.col
     walls = edges.select("case", "elem", "side").join(mesh.select("case", "elem", "x", "y"), ["case", "elem"])
     walls = walls.select("case", "elem", "side", kernels.edge_frame("x", "y", "side", traversal=False).alias("_f"))
@@ -116,6 +119,11 @@ def nearest_wall(points: DataFrame, edges: DataFrame, mesh: DataFrame, max_dist:
     )
     found = packed.join(boxes, ["case", *CELL]).drop(*CELL).mapInArrow(lambda it: _solve(it, keys, snap, float(max_dist)), schema)
     # distance first, then the lowest edge
-    order = F.struct(F.round("_rank", 12), c("elem") * 4 + c("side"))
+    order = F.when(c("_times") == 0, F.struct(F.round("_rank", 12), c("elem") * 4 + c("side")))
     picked = ["elem", "side", "node", "t", "wx", "wy", "nx", "ny", "dist"]
-    return found.groupBy("case", *keys).agg(F.min_by(F.struct(*picked), order).alias("_b")).select("case", *keys, *[c(f"_b.{k}").alias(k) for k in picked])
+    # a blank row for each point counts the rows that agree in keys and place
+    both = found.withColumn("_times", F.lit(0)).unionByName(points.select("case", *keys, F.lit(1).alias("_times")), allowMissingColumns=True)
+    best = both.groupBy("case", *keys).agg(F.min_by(F.struct(*picked), order).alias("_b"), F.sum("_times").alias("_times")).where("_b.elem is not null")
+    best = best.select("case", *given, *[c(f"_b.{k}").alias(k) for k in picked], "_times")
+    once = F.explode(F.when(c("_times") > 1, F.sequence(F.lit(1).cast("long"), "_times")).otherwise(F.array(F.lit(1).cast("long"))))
+    return best.select("case", *given, *picked, once.alias("_k")).drop("_k")

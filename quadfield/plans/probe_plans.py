@@ -115,6 +115,24 @@ def point_series(spark, folder):
     return out.groupBy("step", "flag").agg(F.count("elem").alias("points"), rounded(F.avg("q"), 5).alias("mean_q"))
 
 
+@plan("point_series_outside", f"""WITH {points_sql(-0.5, 3.0)}, {STEPS_SQL} SELECT step, flag, count(*) AS points, count(*) FILTER (WHERE x BETWEEN 0 AND 2) AS inside,
+round(avg(CASE WHEN x BETWEEN 0 AND 2 THEN (x * x + 3 * y) * scale END), 5) AS mean_q FROM pt, st GROUP BY step, flag""")
+def point_series_outside(spark, folder):
+    """Points inside and outside on every step: one inversion of the geometry, a row of nulls for each outside."""
+    mesh = poly_mesh(spark, folder)
+    out = locate.sample(probe_points(spark, folder, -0.5, 3.0), mesh, _stepped(spark, folder, mesh, "q"), ["q"], [*KEYS, "flag"], fill=None)
+    return out.groupBy("step", "flag").agg(F.count(F.lit(1)).alias("points"), F.count("elem").alias("inside"), rounded(F.avg("q"), 5).alias("mean_q"))
+
+
+@plan("probe_repeats", f"WITH {points_sql()} SELECT flag, count(*) * 3 AS points, round(sum(3 * (x * x + 3 * y)) / count(*), 4) AS total_q FROM pt GROUP BY flag")
+def probe_repeats(spark, folder):
+    """Every point three times over: equal rows are all sampled, none are merged."""
+    points = probe_points(spark, folder).withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3)))).drop("copy")
+    out = locate.sample(points, poly_mesh(spark, folder), None, ["q"], [*KEYS, "flag"])
+    total = F.sum("q") / (F.count("elem") / 3)
+    return out.groupBy("flag").agg(F.count("elem").alias("points"), rounded(total, 4).alias("total_q"))
+
+
 def _stepped(spark, folder, mesh, name):
     """The field of every day, scaled."""
     return each_day(mesh.select("case", "elem", name), day_steps(spark, folder), "elem").select("case", "step", "time", "elem", F.col(name).alias("_v"), "scale").select(
