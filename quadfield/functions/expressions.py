@@ -70,7 +70,7 @@ class Name(FieldExpr):
 class Constant(FieldExpr):
     def __init__(self, value: float):
         if isinstance(value, (bool, str)) or not isinstance(value, (int, float)):
-            raise ValueError("only numbers are allowed as literals")
+            raise ValueError(f"{value!r} is not a number")
         self.value = float(value)
 
     def names(self):

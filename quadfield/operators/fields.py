@@ -47,16 +47,16 @@ class Definitions:
     def define(self, name: str, expr) -> str:
         name = (name or "").strip()
         if not _IDENTIFIER.fullmatch(name):
-            raise DefinitionError(f"{name!r} is not a valid field name")
+            raise DefinitionError(f"a field can't be named {name!r}")
         if name in RESERVED:
-            raise DefinitionError(f"{name!r} is reserved")
+            raise DefinitionError(f"{name!r} has a fixed meaning in expressions")
         if name in self.stored:
-            raise DefinitionError(f"{name!r} is a stored field and cannot be redefined")
+            raise DefinitionError(f"the case stores {name!r} already")
         expr = as_expr(expr)
         known = set(self.stored) | set(self._defs) | {name, "x", "y", "rx", "ry", "sx", "sy"}
         unknown = sorted(expr.names() - known)
         if unknown:
-            raise DefinitionError(f"unknown field(s) {', '.join(unknown)}")
+            raise DefinitionError(f"nothing is named {', '.join(unknown)}")
         before = self._defs.get(name)
         self._defs[name] = expr
         try:
@@ -115,7 +115,7 @@ def with_fields(df: DataFrame, definitions: dict) -> DataFrame:
 def select_field(df: DataFrame, name_or_expr) -> Column:
     """A stored or derived field, a coordinate, or an expression as an array Column."""
     if isinstance(name_or_expr, str) and name_or_expr not in field_names(df) and name_or_expr not in ("x", "y"):
-        raise KeyError(f"unknown field {name_or_expr!r}; available: {field_names(df)}")
+        raise KeyError(f"no field {name_or_expr!r} among {field_names(df)}")
     return as_expr(name_or_expr).array_column()
 
 

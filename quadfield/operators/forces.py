@@ -7,7 +7,9 @@ The traction of the fluid on a wall with outward normal ``n`` is
 from __future__ import annotations
 
 import math
+import re
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,25 +23,26 @@ DEFAULT_AXES = (("x", (1.0, 0.0)), ("y", (0.0, 1.0)))
 
 
 def _spec(v) -> FieldExpr:
-    """A number, a numeric string, a field name, or an expression."""
-    if isinstance(v, str):
-        try:
-            return Constant(float(v.strip()))
-        except ValueError:
-            return as_expr(v.strip())
-    return as_expr(v)
+    """What a flow quantity is given as: a number (also as text) gives a constant, anything else an expression."""
+    if not isinstance(v, str):
+        return as_expr(v)
+    text = v.strip()
+    number = re.fullmatch(r"[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?", text)
+    return Constant(float(text)) if number else as_expr(text)
 
 
 def unit_axes(axes=None, components: int = 2) -> list[tuple[str, tuple[float, ...]]]:
-    """Named unit vectors; a zero or non-finite axis is an error."""
-    out = []
-    for name, d in (axes.items() if isinstance(axes, dict) else (axes or DEFAULT_AXES)):
-        v = ([float(k) for k in d] + [0.0] * components)[:components]
-        size = math.sqrt(sum(k * k for k in v))
-        if not math.isfinite(size) or size == 0:
-            raise ValueError("a projection axis must be a non-zero vector")
-        out.append((str(name), tuple(k / size for k in v)))
-    return out
+    """Table of named unit vectors, from a mapping or pairs; missing components are zero."""
+    named = list(dict(axes or DEFAULT_AXES).items())
+    table = np.zeros((len(named), components))
+    for row, (_, direction) in zip(table, named):
+        given = np.asarray(direction, dtype=float)[:components]
+        row[: len(given)] = given
+    lengths = np.linalg.norm(table, axis=1)
+    bad = [str(name) for (name, _), size in zip(named, lengths) if not 0 < size < math.inf]
+    if bad:
+        raise ValueError(f"no direction in axis {', '.join(bad)}")
+    return [(str(name), tuple(v)) for (name, _), v in zip(named, (table / lengths[:, None]).tolist())]
 
 
 def rotated_axes(degrees: float, names=("x", "y")) -> list[tuple[str, tuple[float, float]]]:
@@ -63,13 +66,15 @@ def wall_nodes(boundary_edges: DataFrame, mesh: DataFrame, fields: DataFrame, u=
     stored = sorted(k for k in needed if k in fields.columns and k not in ("x", "y"))
     extra = [k for k in ("step", "time") if k in fields.columns]
     edges = boundary_edges.select("case", "boundary", "chain", "seq", "pos", "elem", "side", "orient")
-    rows = edges.join(mesh.select("case", "elem", "x", "y"), ["case", "elem"]).join(fields.select("case", "elem", *extra, *stored), ["case", "elem"])
+    # what only depends on the mesh is computed once for each edge, before it meets the steps
+    walls = edges.join(mesh.select("case", "elem", "x", "y"), ["case", "elem"]).withColumn("_f", kernels.edge_frame("x", "y", "side"))
+    rows = walls.join(fields.select("case", "elem", *extra, *stored), ["case", "elem"])
     if needed & {"rx", "ry", "sx", "sy"}:
         rows = with_metric(rows)
     head = ["case", "boundary", *extra, "chain", "seq", "pos", "elem", "side"]
     vectors = ["u", "v"] + (["w"] if w is not None else [])
     scalars = ["p", "rho", "mu"]
-    kernel_cols = [kernels.edge_frame("x", "y", "side").alias("_f")] + [kernels.edge_gradient(specs[k].array_column(), "x", "y", "side").alias(f"_g{k}") for k in vectors]
+    kernel_cols = [c("_f")] + [kernels.edge_gradient(specs[k].array_column(), "x", "y", "side").alias(f"_g{k}") for k in vectors]
     varying = [k for k in scalars if not isinstance(specs[k], Constant)]
     rows = rows.select(*head, *kernel_cols, *[side_values(specs[k].array_column(), "side", c("orient")).alias(f"_{k}") for k in varying])
     arrays = [c(f"_f.{k}").alias(k) for k in kernels.EDGE_PARTS]
@@ -91,7 +96,7 @@ def wall_nodes(boundary_edges: DataFrame, mesh: DataFrame, fields: DataFrame, u=
 
 def _pressure_scale(rho_ref: Column | float, u_ref: float) -> Column:
     q = 0.5 * (F.lit(float(rho_ref)) if not isinstance(rho_ref, Column) else rho_ref) * float(u_ref) ** 2
-    return F.when(q > 0, q).otherwise(F.raise_error(F.lit("the reference dynamic pressure must be positive")).cast("double"))
+    return F.when(q > 0, q).otherwise(F.raise_error(F.lit("rho_ref and U_ref give a dynamic pressure that is not above zero")).cast("double"))
 
 
 def integrate(nodes: DataFrame, U_ref: float = 1.0, rho_ref: float | None = None) -> DataFrame:
@@ -101,7 +106,7 @@ def integrate(nodes: DataFrame, U_ref: float = 1.0, rho_ref: float | None = None
     of the boundary.  Plain sums: partial aggregation runs before the shuffle.
     """
     if rho_ref is not None and not 0.5 * float(rho_ref) * float(U_ref) ** 2 > 0:
-        raise ValueError("the reference dynamic pressure must be positive")
+        raise ValueError("rho_ref and U_ref give a dynamic pressure that is not above zero")
     parts = [k for k in ("fpx", "fpy", "fvx", "fvy", "fvz") if k in nodes.columns]
     keys = ["case", *[k for k in ("step", "time") if k in nodes.columns], "boundary"]
     w = F.col("w")
@@ -127,7 +132,7 @@ def force_totals(parts: DataFrame, name: str = "total") -> DataFrame:
 def force_axes(parts: DataFrame, axes=None, L_ref: float = 1.0) -> DataFrame:
     """One row per projection axis: direction, pressure, viscous, total and coefficient."""
     if not L_ref > 0:
-        raise ValueError("L_ref must be positive")
+        raise ValueError(f"a reference length of {L_ref} can't scale a force")
     three = "fvz" in parts.columns
     unit = unit_axes(axes, 3 if three else 2)
     table = F.array(*[F.struct(F.lit(k).alias("axis"), *[F.lit(float(t)).alias(n) for n, t in zip(("ax", "ay", "az"), v)]) for k, v in unit])

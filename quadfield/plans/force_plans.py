@@ -106,7 +106,7 @@ dist AS (SELECT c, boundary, seq, node, elem, chord * {_FINE} * (seq + (1 + t) /
 def _distribution(spark, folder):
     mesh = stored(ring_mesh(spark, folder))
     walls = checkpointed(bd.detect_boundaries(mesh))
-    nodes = fc.wall_nodes(walls, mesh, ring_flow(mesh), mu=MU)
+    nodes = checkpointed(fc.wall_nodes(walls, mesh, ring_flow(mesh), mu=MU))  # read by the sums and by the rows
     return fc.wall_distribution(walls, mesh, nodes, fc.integrate(nodes, U_ref=2.0), p_ref=0.25)
 
 
