@@ -32,7 +32,7 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: SimHash over five-word shingles, at most 3 of 64 bits apart."""
+    """One document of each group of near copies stays; links and fingerprints are those of the operator's own query."""
     attach(spark)
     return simhash_dedup.deduplicate(docs)
 

@@ -244,7 +244,7 @@ def mark(docs: DataFrame, words: int = WORDS, max_bits: int = MAX_BITS) -> DataF
     return prints.join(classes(prints, max_bits), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def deduplicate(docs: DataFrame, words: int = 5, max_bits: int = MAX_BITS) -> DataFrame:
+def deduplicate(docs: DataFrame, words: int = WORDS, max_bits: int = MAX_BITS) -> DataFrame:
     """One document of each group stays, the one with the smallest doc_id; all columns are kept."""
     keyed = docs.withColumn("__key", row_key(docs))
     prints = staged(with_fingerprints(keyed, ["doc_id", "__key"], words))
