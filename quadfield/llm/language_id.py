@@ -187,7 +187,7 @@ def predict(docs: DataFrame, fitted: tuple[list[str], np.ndarray], vocabulary: s
                     score.append(0.0)
                     continue
                 new = [w for w in dict.fromkeys(words) if w not in rows]
-                if new and used > 1 << 19:
+                if new and used > 1 << 18:
                     rows, used, new = {}, 0, list(dict.fromkeys(words))
                 if new:
                     while used + len(new) > len(table):

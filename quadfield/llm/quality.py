@@ -38,7 +38,7 @@ class Hashed(dict):
     """Token -> vocabulary entry, for a bounded number of tokens."""
 
     def __missing__(self, token: str) -> int:
-        if len(self) > 1 << 19:
+        if len(self) > 1 << 18:
             self.clear()
         entry = self[token] = zlib.crc32(token.encode("utf-8", "surrogatepass")) % BUCKETS
         return entry
