@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 _TAIL = -9999
+_TAIL_PARTS = 64
 
 
 def step_number(steps: DataFrame, k: int) -> int:
@@ -28,8 +29,10 @@ def step_at_time(queries: DataFrame, steps: DataFrame, time: str = "time") -> Da
 
     Every step owns the times closer to it than to its neighbours.  These intervals are
     hashed into cells of their own size, so a query finds its step by an equi-join:
-    no cross join, and no window over the queries.  ``steps`` is metadata (a row per
-    file); only its neighbours are found with a window.
+    no cross join, and no window over the queries.  The two open intervals at the ends of
+    a case are the same for all its queries: they are repeated in a fixed number of cells
+    and a query row picks one by its hash, so no cell holds all of a case.  ``steps`` is
+    metadata (a row per file); only its neighbours are found with a window.
     """
     c = F.col
     one = steps.groupBy("case", c("time").alias("_t")).agg(F.min("step").alias("step"))
@@ -39,10 +42,14 @@ def step_at_time(queries: DataFrame, steps: DataFrame, time: str = "time") -> Da
     slack = 1e-9 * (F.abs("_t") + F.abs(F.coalesce("_p", "_t")) + F.abs(F.coalesce("_n", "_t")))
     width = F.greatest(hi - lo, F.lit(1e-290))
     own = own.withColumn("_lvl", F.when(c("_p").isNull() | c("_n").isNull(), F.lit(_TAIL)).otherwise(F.ceil(F.log2(width)).cast("int")))
-    cell = lambda v: F.when(c("_lvl") == _TAIL, F.lit(0)).otherwise(F.floor(v / F.pow(F.lit(2.0), F.greatest(c("_lvl"), F.lit(-960))))).cast("long")
-    cells = own.withColumn("_cell", F.explode(F.sequence(cell(lo - slack), cell(hi + slack))))
+    tail = c("_lvl") == _TAIL
+    cell = lambda v: F.floor(v / F.pow(F.lit(2.0), F.greatest(c("_lvl"), F.lit(-960)))).cast("long")
+    parts = F.sequence(F.lit(0).cast("long"), F.lit(_TAIL_PARTS - 1).cast("long"))
+    cells = own.withColumn("_cell", F.explode(F.when(tail, parts).otherwise(F.sequence(cell(lo - slack), cell(hi + slack)))))
     levels = own.agg(F.collect_set("_lvl")).scalar()
-    probes = queries.withColumn("_q", c(time).cast("double")).withColumn("_lvl", F.explode(levels)).withColumn("_cell", cell(c("_q")))
+    probes = queries.withColumn("_q", c(time).cast("double")).withColumn("_lvl", F.explode(levels))
+    spread = F.pmod(F.xxhash64(*queries.columns), F.lit(_TAIL_PARTS))
+    probes = probes.withColumn("_cell", F.when(tail, spread).otherwise(cell(c("_q"))))
     gap = lambda t: F.abs(c("_q") - t)
     nearest = (c("_p").isNull() | (gap(c("_t")) < gap(c("_p")))) & (c("_n").isNull() | (gap(c("_t")) <= gap(c("_n"))))
     return probes.join(cells, ["case", "_lvl", "_cell"]).where(nearest).select(*queries.columns, "step", c("_t").alias("step_time"))

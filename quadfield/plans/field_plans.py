@@ -10,6 +10,7 @@ from quadfield.functions import ieee, kernels
 from quadfield.operators import fields, layout, resampling
 from quadfield.plans.registry import plan, rounded
 from quadfield.plans.tables import BLOCK_SQL, BOX_X, BOX_Y, N, N_BOX, WAVE, block_mesh, cell_mesh, nodes_sql, table, values
+from quadfield.sources import generators
 
 D = values("d", basis.derivative_matrix(N))
 
@@ -104,6 +105,51 @@ def calc_pointwise(spark, folder):
     return df.select("elem", *[total(k) for k in ("a", "b", "c", "m", "q")])
 
 
+_UNARY = {
+    "log10": "log10(1 + abs(f))", "sign": "sign(f)", "cos": "cos(f)", "tan": "tan(f)", "asin": "asin(tanh(f))", "acos": "acos(tanh(f))", "atan": "atan(f)",
+    "sinh": "sinh(f)", "cosh": "cosh(f)", "tanh": "tanh(f)", "log": "ln(exp(1) + abs(f))",
+}
+
+
+@plan("calc_unary", f"WITH {nodes_sql()} " + " UNION ALL ".join(f"SELECT '{k}' AS fn, elem, round(sum({v}), 6) + 0.0 AS total FROM nd GROUP BY elem" for k, v in _UNARY.items()))
+def calc_unary(spark, folder):
+    """The one-argument functions that no other analysis uses, and the constant e."""
+    f = ex.field("f")
+    inner = {"log10": 1 + ex.call("abs", f), "asin": ex.call("tanh", f), "acos": ex.call("tanh", f), "log": ex.EULER + ex.call("abs", f)}
+    df = fields.with_fields(cell_mesh(spark, folder), {f"c_{k}": ex.call(k, inner.get(k, f)) for k in _UNARY})
+    total = lambda k: rounded(F.aggregate(k, F.lit(0.0), lambda s, v: s + v))
+    return df.select("elem", F.inline(F.array(*[F.struct(F.lit(k).alias("fn"), total(f"c_{k}").alias("total")) for k in _UNARY])))
+
+
+@plan("select_fields", f"""WITH {nodes_sql(True)}, t AS (SELECT elem, sum(f) AS f, sum(2 * f + x) AS g, sum(x) AS x, sum(f + y) AS sum FROM nd GROUP BY elem)
+SELECT elem, name, round(total, 6) + 0.0 AS total FROM (UNPIVOT t ON f, g, x, sum INTO NAME name VALUE total)""")
+def select_fields(spark, folder):
+    """All listed fields of a case, a coordinate, and an expression, picked by name."""
+    df = fields.with_fields(cell_mesh(spark, folder, WAVE).select("case", "elem", "x", "y", "f"), {"g": 2 * ex.field("f") + ex.field("x")})
+    picks = {k: k for k in layout.field_names(df)} | {"x": "x", "sum": ex.field("f") + ex.field("y")}
+    total = lambda k: rounded(F.aggregate(fields.select_field(df, k), F.lit(0.0), lambda s, v: s + v))
+    return df.select("elem", F.inline(F.array(*[F.struct(F.lit(k).alias("name"), total(v).alias("total")) for k, v in picks.items()])))
+
+
+_MAPS_SQL = {
+    "box": ("2 * a", "b"), "annulus": ("(0.5 + a) * cos(2 * pi() * b)", "(0.5 + a) * sin(2 * pi() * b)"),
+    "wavy": ("2 * a + 0.08 * sin(2 * pi() * b) * sin(pi() * a)", "b + 0.08 * sin(2 * pi() * a) * sin(pi() * b)"),
+}
+
+
+@plan("mesh_maps", f"""WITH {values('g4', basis.nodes(4))}, u AS (SELECT vec_id AS elem, (vec_id % 8 + (gi.v + 1) / 2) / 8 AS a, (vec_id // 8 % 6 + (gj.v + 1) / 2) / 6 AS b FROM embeddings, g4 gi, g4 gj)
+""" + " UNION ALL ".join(f"SELECT '{k}' AS map, elem, round(sum({x}), 6) + 0.0 AS sx, round(sum({y}), 6) + 0.0 AS sy FROM u GROUP BY elem" for k, (x, y) in _MAPS_SQL.items()))
+def mesh_maps(spark, folder):
+    """Rows of a table as elements of a box, an annulus and a wavy box."""
+    cells = table(spark, folder, "embeddings").select(F.col("vec_id").alias("elem"), (F.col("vec_id") % 8).alias("ex"), (F.floor(F.col("vec_id") / 8) % 6).alias("ey"))
+    total = lambda k: rounded(F.aggregate(k, F.lit(0.0), lambda s, v: s + v))
+    out = None
+    for name, mapping in (("box", generators.box_map()), ("annulus", generators.annulus_map()), ("wavy", generators.wavy_map())):
+        m = generators.place(cells, 8, 6, 4, mapping, ["elem"]).select(F.lit(name).alias("map"), "elem", total("x").alias("sx"), total("y").alias("sy"))
+        out = m if out is None else out.unionByName(m)
+    return out
+
+
 _IEEE_IN = "SELECT l_returnflag AS flag, CAST(l_linenumber - 4 AS DOUBLE) AS a, CAST(l_partkey % 7 - 3 AS DOUBLE) AS b FROM lineitem"
 _IEEE = {
     "div": "CASE WHEN b = 0 THEN CASE WHEN a = 0 THEN 'nan' WHEN a > 0 THEN 'inf' ELSE '-inf' END ELSE 'fin' END",
@@ -116,7 +162,6 @@ _IEEE_VALUE = {
     "div": "a / nullif(b, 0)", "log": "CASE WHEN a > 0 THEN ln(a) END", "mod": "a - b * floor(a / nullif(b, 0))",
     "pow": "CASE WHEN a > 0 OR (a = 0 AND b >= 0) THEN pow(a, b + 0.5) END", "min": "CASE WHEN a >= 0 THEN least(sqrt(a), b) END",
 }
-_IEEE_VALUE["pow"] = "CASE WHEN a > 0 OR (a = 0 AND b >= 0) THEN pow(a, b + 0.5) END"
 
 
 @plan("calc_ieee_edge", f"WITH r AS ({_IEEE_IN}) " + " UNION ALL ".join(

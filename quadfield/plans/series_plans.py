@@ -22,7 +22,7 @@ def _scratch(spark, label: str) -> str:
 
 
 
-@plan("step_nearest", """WITH st AS (SELECT l AS c, t, dense_rank() OVER (PARTITION BY l ORDER BY t) - 1 AS step FROM (SELECT DISTINCT o_orderpriority AS l, epoch(o_orderdate) / 86400.0 AS t FROM orders WHERE o_custkey % 3 = 0)),
+@plan("step_nearest", """WITH st AS (SELECT l AS c, t, dense_rank() OVER (PARTITION BY l ORDER BY t) - 1 AS step FROM (SELECT DISTINCT o_orderpriority AS l, epoch(o_orderdate) / 86400.0 AS t FROM orders)),
 q AS (SELECT o_orderkey AS k, o_orderpriority AS c, epoch(o_orderdate) / 86400.0 + (o_custkey % 10) * 0.3 AS t FROM orders),
 lo AS (SELECT q.k, q.c, q.t, st.step AS s0, st.t AS t0 FROM q ASOF LEFT JOIN st ON q.c = st.c AND q.t >= st.t),
 hi AS (SELECT q.k, st.step AS s1, st.t AS t1 FROM q ASOF LEFT JOIN st ON q.c = st.c AND q.t <= st.t)
@@ -31,7 +31,7 @@ def step_nearest(spark, folder):
     o = table(spark, folder, "orders")
     day = F.unix_timestamp("o_orderdate") / 86400.0
     c = F.col("o_orderpriority").alias("case")
-    times = o.where("o_custkey % 3 = 0").select(c, day.alias("time")).distinct()
+    times = o.select(c, day.alias("time")).distinct()
     rank = F.dense_rank().over(ts.Window.partitionBy("case").orderBy("time")) - 1
     q = o.select(c, "o_orderkey", (day + F.col("o_custkey") % 10 * 0.3).alias("time"))
     got = ts.step_at_time(q, times.withColumn("step", rank))
@@ -161,3 +161,28 @@ def series_energy(spark, folder):
     e = nd.groupBy("case").agg(F.sum(F.col("f") * F.col("f")).alias("s"), F.count(F.lit(1)).alias("n"))
     days = day_steps(spark, folder).withColumn("case", F.lit(CASE))
     return days.join(e, "case").select("step", rounded(F.col("s") / F.col("n") * F.col("scale") * F.col("scale")).alias("energy"))
+
+
+@plan("saved_sets", """SELECT s_suppkey AS supplier, 2 AS defs, CASE WHEN s_suppkey % 2 = 1 THEN 'v * 2' ELSE 'u + 1' END AS last_expr, 3 AS edges, round(3 * s_suppkey + 3.0, 3) AS elems,
+CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE round(0.25 * s_suppkey, 3) END AS pinned_x, 1 + s_suppkey % 2 AS requests FROM supplier""")
+def saved_sets(spark, folder):
+    """Definitions, boundaries, pinned probes and force requests of a saved set per supplier, read back as tables."""
+    out = _scratch(spark, "sets")
+    k = F.col("s_suppkey")
+    defs = F.array(F.struct(F.lit("a").alias("name"), F.lit("u").alias("expr")), F.struct(F.lit("b").alias("name"), F.when(k % 2 == 1, "v * 2").otherwise("u + 1").alias("expr")))
+    edges = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda q: F.array(k + q, q.cast("long")))
+    pinned = F.when(k % 3 != 0, F.struct((0.25 * k).alias("x"), F.lit(0.5).alias("y")))
+    doc = F.struct(
+        F.lit(1).alias("probe_session"), F.struct(F.concat(F.lit("case"), k.cast("string")).alias("path")).alias("dataset"), F.struct(defs.alias("defs")).alias("calc"),
+        F.array(F.struct(F.lit("B1").alias("name"), F.lit(True).alias("closed"), edges.alias("edges"))).alias("boundaries"),
+        F.struct(F.when(k % 2 == 1, F.array(F.lit("B1"), F.lit("B2"))).otherwise(F.array(F.lit("B1"))).alias("selection"), F.create_map(F.lit("mu"), F.lit("0.1")).alias("config")).alias("forces"),
+        F.struct(pinned.alias("pinned")).alias("probe"),
+    )
+    table(spark, folder, "supplier").select(F.to_json(doc).alias("value"), k.alias("supplier")).repartition("supplier").write.partitionBy("supplier").text(out)
+    sets = probe_sets.read_probe_sets(spark, out)
+    one = sets.select("set", F.regexp_extract("dataset", r"case(\d+)$", 1).cast("long").alias("supplier"))
+    d = probe_sets.definitions(sets).groupBy("set").agg(F.count(F.lit(1)).alias("defs"), F.max_by("expr", "seq").alias("last_expr"))
+    b = probe_sets.probe_boundaries(sets).where("closed and boundary = 'B1'").groupBy("set").agg(F.count(F.lit(1)).alias("edges"), rounded(F.sum("elem").cast("double"), 3).alias("elems"))
+    p = probe_sets.pinned_probes(sets).select("set", rounded("x", 3).alias("pinned_x"))
+    f = probe_sets.force_settings(sets).where("config['mu'] = '0.1'").groupBy("set").agg(F.count(F.lit(1)).alias("requests"))
+    return one.join(d, "set").join(b, "set").join(f, "set").join(p, "set", "left").drop("set")
