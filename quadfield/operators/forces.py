@@ -56,7 +56,8 @@ def wall_nodes(boundary_edges: DataFrame, mesh: DataFrame, fields: DataFrame, u=
     """Traction at every wall node: ``x y nx ny w s_edge p rho fpx fpy fvx fvy [fvz] tau``.
 
     Mesh and field rows are reduced to the boundary elements before anything is
-    computed, and only the columns in use are read.
+    computed, and only the columns in use are read.  A mesh with a ``step`` column moves:
+    each step's fields are taken on that step's coordinates.
     """
     c = F.col
     specs = {"u": _spec(u), "v": _spec(v), "p": _spec(p), "rho": _spec(rho), "mu": _spec(mu)}
@@ -67,8 +68,9 @@ def wall_nodes(boundary_edges: DataFrame, mesh: DataFrame, fields: DataFrame, u=
     extra = [k for k in ("step", "time") if k in fields.columns]
     edges = boundary_edges.select("case", "boundary", "chain", "seq", "pos", "elem", "side", "orient")
     # what only depends on the mesh is computed once for each edge, before it meets the steps
-    walls = edges.join(mesh.select("case", "elem", "x", "y"), ["case", "elem"]).withColumn("_f", kernels.edge_frame("x", "y", "side"))
-    rows = walls.join(fields.select("case", "elem", *extra, *stored), ["case", "elem"])
+    moving = ["step"] if "step" in mesh.columns else []
+    walls = edges.join(mesh.select("case", *moving, "elem", "x", "y"), ["case", "elem"]).withColumn("_f", kernels.edge_frame("x", "y", "side"))
+    rows = walls.join(fields.select("case", "elem", *extra, *stored), ["case", *moving, "elem"])
     if needed & {"rx", "ry", "sx", "sy"}:
         rows = with_metric(rows)
     head = ["case", "boundary", *extra, "chain", "seq", "pos", "elem", "side"]

@@ -37,10 +37,26 @@ UNION ALL SELECT c, step, 'B3', wide, 0.0, scale * wide * wide / 2, -{MU} * scal
 UNION ALL SELECT c, step, 'B4', high, 0.0, 0.0, 0.0, {MU} * scale * high, 0.0, 1.0 FROM blk, st), q AS (SELECT *, 0.5 * rho * 9 AS q FROM f)"""
 
 
-@plan("force_series", _BLOCK_FORCE + " SELECT c AS supplier, step, boundary, round(length, 6) AS length, round(fpx, 5) + 0.0 AS fpx, round(fpy, 5) + 0.0 AS fpy, round(fvx, 5) + 0.0 AS fvx, round(fvy, 5) + 0.0 AS fvy, round(fvz, 5) + 0.0 AS fvz, round(rho, 6) AS rho_ref, round(q, 5) AS q FROM q")
+_SERIES_SQL = _BLOCK_FORCE + " SELECT c AS supplier, step, boundary, round(length, 6) AS length, round(fpx, 5) + 0.0 AS fpx, round(fpy, 5) + 0.0 AS fpy, round(fvx, 5) + 0.0 AS fvx, round(fvy, 5) + 0.0 AS fvy, round(fvz, 5) + 0.0 AS fvz, round(rho, 6) AS rho_ref, round(q, 5) AS q FROM q"
+
+
+@plan("force_series", _SERIES_SQL)
 def force_series(spark, folder):
     mesh, walls = _block_walls(spark, folder)
-    f = fc.forces(walls, mesh, block_flow(spark, folder, mesh), U_ref=3.0, w="w", rho="dens", mu=str(MU))
+    return _series(fc.forces(walls, mesh, block_flow(spark, folder, mesh), U_ref=3.0, w="w", rho="dens", mu=str(MU)))
+
+
+@plan("moving_mesh_force", _SERIES_SQL)
+def moving_mesh_force(spark, folder):
+    """The boxes drift from day to day with their flow: the same forces on every step's own mesh."""
+    mesh, walls = _block_walls(spark, folder)
+    days = day_steps(spark, folder).select("step")
+    away = lambda k, by: F.zip_with(k, F.array_repeat("step", F.size(k)), lambda v, s: v + by * s).alias(k)
+    meshes = each_day(mesh.select("case", "elem", "x", "y"), days, "case", "elem").select("case", "step", "elem", away("x", 0.5), away("y", -0.25))
+    return _series(fc.forces(walls, meshes, block_flow(spark, folder, mesh), U_ref=3.0, w="w", rho="dens", mu=str(MU)))
+
+
+def _series(f):
     return f.select(F.col("case").alias("supplier"), "step", "boundary", rounded("length").alias("length"), *[rounded(k, 5).alias(k) for k in ("fpx", "fpy", "fvx", "fvy", "fvz")], rounded("rho_ref").alias("rho_ref"), rounded("q", 5).alias("q"))
 
 

@@ -124,6 +124,18 @@ def point_series_outside(spark, folder):
     return out.groupBy("step", "flag").agg(F.count(F.lit(1)).alias("points"), F.count("elem").alias("inside"), rounded(F.avg("q"), 5).alias("mean_q"))
 
 
+@plan("moving_mesh_sample", f"""WITH {points_sql()}, {STEPS_SQL}, m AS (SELECT flag, step, scale, x - 0.01 * step AS x, y FROM pt, st)
+SELECT step, flag, count(*) AS points, count(*) FILTER (WHERE x BETWEEN 0 AND 2) AS inside, round(avg(CASE WHEN x BETWEEN 0 AND 2 THEN (x * x + 3 * y) * scale END), 5) AS mean_q FROM m GROUP BY step, flag""")
+def moving_mesh_sample(spark, folder):
+    """The mesh slides along x from day to day and takes its field with it."""
+    mesh = poly_mesh(spark, folder)
+    fields = _stepped(spark, folder, mesh, "q")
+    days = day_steps(spark, folder).select("step")
+    meshes = each_day(mesh.select("case", "elem", "x", "y"), days, "elem").withColumn("x", F.zip_with("x", F.array_repeat("step", F.size("x")), lambda v, k: v + 0.01 * k))
+    out = locate.sample_moving(probe_points(spark, folder), meshes, fields, ["q"], [*KEYS, "flag"], fill=None)
+    return out.groupBy("step", "flag").agg(F.count(F.lit(1)).alias("points"), F.count("elem").alias("inside"), rounded(F.avg("q"), 5).alias("mean_q"))
+
+
 @plan("probe_repeats", f"WITH {points_sql()} SELECT flag, count(*) * 3 AS points, round(sum(3 * (x * x + 3 * y)) / count(*), 4) AS total_q FROM pt GROUP BY flag")
 def probe_repeats(spark, folder):
     """Every point three times over: equal rows are all sampled, none are merged."""
