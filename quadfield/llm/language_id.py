@@ -17,6 +17,7 @@ are not learned from.  Repeated rows are predicted alike; other columns are igno
 from __future__ import annotations
 
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -171,13 +172,51 @@ def fit(docs: DataFrame, learnable: Column, sample: int = SAMPLE, vocabulary: st
     return langs, p
 
 
+class Memory:
+    """Likelihoods of words under one model; takes what comes first, up to a bound, and lasts from task to task."""
+
+    def __init__(self, known: dict[str, int], p: np.ndarray):
+        self.known, self.p = known, p
+        self.rows: dict[str, int] = {}
+        self.table = np.zeros((1 << 12, p.shape[1]))
+
+    def total(self, words: list[str]) -> np.ndarray:
+        rows = self.rows
+        new = [w for w in dict.fromkeys(words) if w not in rows]
+        more = likelihoods(new, self.known, self.p) if new else None
+        if new and len(rows) + len(new) <= _WORDS:
+            first = len(rows)
+            while first + len(new) > len(self.table):
+                self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+            self.table[first : first + len(new)] = more
+            rows.update(zip(new, range(first, first + len(new))))
+            new = []
+        if not new:
+            return self.table[np.fromiter(map(rows.__getitem__, words), np.int64, len(words))].sum(axis=0)
+        extra = dict(zip(new, range(len(new))))
+        held = self.table[[rows[w] for w in words if w in rows]].sum(axis=0)
+        return held + more[[extra[w] for w in words if w in extra]].sum(axis=0)
+
+
+_WORDS = 1 << 18
+_KEPT: dict = {}
+
+
+def _memory(vocabulary: str, p: np.ndarray) -> Memory:
+    """The worker process's memory for a model; one model at a time."""
+    key = (vocabulary, p.shape, zlib.crc32(p.tobytes()))
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = Memory(pieces(vocabulary), p)
+    return _KEPT[key]
+
+
 def predict(docs: DataFrame, fitted: tuple[list[str], np.ndarray], vocabulary: str = VOCABULARY) -> DataFrame:
     """doc_id, lang_pred, score."""
     langs, p = fitted
 
     def run(batches):
-        known = pieces(vocabulary)
-        rows, table, used = {}, np.zeros((1 << 12, len(langs))), 0
+        memory = _memory(vocabulary, p)
         for b in batches:
             pred, score = [], []
             for text in b.column(1).to_pylist():
@@ -186,16 +225,7 @@ def predict(docs: DataFrame, fitted: tuple[list[str], np.ndarray], vocabulary: s
                     pred.append("und")
                     score.append(0.0)
                     continue
-                new = [w for w in dict.fromkeys(words) if w not in rows]
-                if new and used > 1 << 18:
-                    rows, used, new = {}, 0, list(dict.fromkeys(words))
-                if new:
-                    while used + len(new) > len(table):
-                        table = np.concatenate([table, np.zeros_like(table)])
-                    table[used : used + len(new)] = likelihoods(new, known, p)
-                    rows.update(zip(new, range(used, used + len(new))))
-                    used += len(new)
-                total = table[np.fromiter(map(rows.__getitem__, words), np.int64, len(words))].sum(axis=0)
+                total = memory.total(words)
                 post = np.exp(total - total.max())
                 pred.append(langs[int(total.argmax())])
                 score.append(float(post.max() / post.sum()))
