@@ -4,13 +4,16 @@ A document is the sequence of its non-blank lines (split at ``\\n``).  A run of
 characters in all is a repeated run if the same lines also start at an earlier place (smaller doc_id, or same document and
 smaller line number).  Lines covered by the later copy of a repeated run are deleted; the first copy stays.
 
-* A run is repeated exactly when the shortest qualifying run at each of its starts is, so each suffix is sorted by its first
-  ``need`` lines only, the fewest that reach ``min_chars``.
+* A start of a repeated run has a repeated shortest qualifying run, so each suffix is sorted by its first ``need`` lines, the
+  fewest that reach ``min_chars``.
 * Lines get ranks in the order of their IDs.  Prefix doubling: the suffixes ranked by h lines are ranked by 2h lines through the
   pair (own rank, rank h lines further).  A rank is the number of suffixes that sort before; ranks of one group are refined by
   running totals over split groups, so neither a line nor a run that makes up a third of all rows meets in one task.
 * Suffixes with the same first ``need`` lines form an interval of the suffix array whose longest common prefix is at least
   ``need``.  The interval's smallest place is the copy that stays; all other members are later copies.
+* The longest repeated run at a start ends no later than the one at the next start, if that is a later copy too.  So only the last of
+  adjoining later copies is carried on, within its interval: the next start has no copy, so less than ``min_chars`` characters
+  can follow.  Each longer prefix in turn has its smallest place, and a later copy of it is covered.
 * A suffix that meets a line without a second occurrence within its ``need`` lines has no copy and leaves the sort at once.
 
 Documents are told apart by (doc_id, text hash).  Null texts stay null; empty texts, blank lines and documents without repeated
@@ -73,9 +76,38 @@ def _doubled(suffixes: DataFrame, h: int, size: int) -> DataFrame:
     return pairs.join(ranks, ["rank", "next"]).select(*_DOC, "pos", "need", F.col("deeper").alias("rank"))
 
 
-def repeated_runs(numbered: DataFrame) -> DataFrame:
-    """(doc_id, __key, pos, need): the shortest qualifying runs that are later copies; ``numbered`` is the staged ``lines``."""
-    levels = staged(_first_ranks(numbered.filter("id IS NOT NULL").select(*_DOC, "pos", "id", "id2", "need")))
+def _longer_runs(members: DataFrame, singles: DataFrame, min_chars: int) -> DataFrame:
+    """(doc_id, __key, pos, need): the runs beyond the shortest one that are later copies, at the last of adjoining later copies.
+
+    ``members`` are the starts of all intervals, ``singles`` the lines that occur more than once by their first ranks.
+    """
+    key = ["h", "need", "rank", "tail"]
+    doc = [F.col("doc_id").alias("__doc"), F.col("__key").alias("__k")]
+    same = F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("__key") == F.col("__k"))
+    along = Window.partitionBy(*_DOC).orderBy("pos")
+    more = (F.lead("pos").over(along) == F.col("pos") + 1) & F.lead("later").over(along)
+    starts = members.withColumn("last", F.col("later") & ~F.coalesce(more, F.lit(False)))
+    # the run of the next start has no earlier copy, so less than min_chars characters follow this start's first line
+    after = singles.select(*doc, (F.col("pos") - 1).alias("__p"), F.coalesce("need", F.lit(min_chars)).alias("cap"))
+    starts = starts.join(after, same & (F.col("pos") == F.col("__p"))).filter("cap > need").drop("__doc", "__k", "__p")
+    wanted = starts.filter("last").select(*key).distinct()
+    asks = starts.join(wanted, key, "left_semi").withColumn("at", F.explode(F.expr("sequence(pos + need, pos + cap - 1)")))
+    found = asks.join(singles.select(*doc, F.col("pos").alias("__p"), F.col("rank").alias("line")), same & (F.col("at") == F.col("__p")))
+    found = found.groupBy(*_DOC, "pos", "last", *key).agg(F.array_sort(F.collect_list(F.struct("at", "line"))).alias("ls"))
+    # only as far as no line is missing; a line without a second occurrence is
+    found = found.withColumn("ls", F.expr("transform(filter(ls, (x, i) -> x.at = pos + need + i), x -> x.line)"))
+    runs = F.expr("transform(sequence(1, size(ls)), j -> struct(j AS more, xxhash64(slice(ls, 1, j)) AS a, xxhash64(slice(ls, 1, j), 1) AS b))")
+    found = staged(found.filter("size(ls) > 0").withColumn("x", F.explode(runs)).select(*_DOC, "pos", "last", *key, "x.*"))
+    place = F.struct(*_DOC, "pos")
+    key = [*key, "more", "a", "b"]
+    firsts = found.groupBy(*key).agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    later = found.filter("last").join(firsts, key).filter(place > F.col("first"))
+    return later.select(*_DOC, "pos", (F.col("need") + F.col("more")).alias("need"))
+
+
+def repeated_runs(numbered: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """(doc_id, __key, pos, need): later copies whose union is that of all later copies; ``numbered`` is the staged ``lines``."""
+    singles = levels = staged(_first_ranks(numbered.filter("id IS NOT NULL").select(*_DOC, "pos", "id", "id2", "need")))
     nothing = levels.select(*_DOC, "pos", "need").limit(0)
     top, size = levels.agg(F.max("need"), F.count(F.lit(1))).first()
     h, classes = 1, None
@@ -99,13 +131,14 @@ def repeated_runs(numbered: DataFrame) -> DataFrame:
     place = F.struct(*_DOC, "pos")
     key = ["h", "need", "rank", "tail"]
     intervals = staged(classes.groupBy(*key).agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"))
-    return classes.join(intervals, key).filter(place > F.col("first")).select(*_DOC, "pos", "need")
+    members = staged(classes.join(intervals, key).select(*_DOC, "pos", *key, (place > F.col("first")).alias("later")))
+    return members.filter("later").select(*_DOC, "pos", "need").unionByName(_longer_runs(members, singles, min_chars))
 
 
 def deleted_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """(doc_id, __key, __gone): for documents with deletions a flag for each line, true where it goes."""
     numbered = staged(lines(docs, min_chars))
-    runs = repeated_runs(numbered).select(*_DOC, "pos", "need", F.lit(-1).alias("no"), F.lit(False).alias("full"))
+    runs = repeated_runs(numbered, min_chars).select(*_DOC, "pos", "need", F.lit(-1).alias("no"), F.lit(False).alias("full"))
     rows = numbered.select(*_DOC, "pos", F.lit(None).cast("long").alias("need"), "no", F.col("id").isNotNull().alias("full")).unionByName(runs)
     along = Window.partitionBy(*_DOC).orderBy("pos", "no").rowsBetween(Window.unboundedPreceding, 0)
     reach = rows.withColumn("end", F.max(F.col("pos") + F.col("need")).over(along)).filter("no >= 0")
