@@ -1,4 +1,7 @@
-"""Substring deduplication by relative factoring against indexed reference blocks.
+"""Substring deduplication by matching the windows of anchored blocks.
+
+This takes the place of relative Lempel-Ziv factoring: no factors are formed.  A factor is parsed from left to right against the
+whole corpus, which can't be shared out, and windows that straddle two factors would be missed; here every window is looked up.
 
 A word is removed when a window of ``WINDOW`` consecutive words that covers it also starts earlier (smaller doc_id, or same document
 and earlier start).  All documents are reference and input alike:
@@ -6,8 +9,7 @@ and earlier start).  All documents are reference and input alike:
 * Each document is cut into blocks at content-defined anchors: a window's anchor is the smallest hash among its ``GRAM``-word runs,
   the leftmost if equal.  Equal windows have the same anchor at the same place, so an index by anchor finds every copy.
 * A block is the run of windows that share an anchor.  The index holds, by anchor hash, the place of the block and a code for each
-  of its windows.  A document's factor against a reference block is the run of windows that both have; where factors begin and end,
-  the windows across the boundary are looked at one by one.  The earliest place of a window is the reference, all others go.
+  of its windows.  Windows are grouped one by one by anchor and code; the earliest place of a window is the reference, all others go.
 * Equal blocks of one map task are settled there, so a passage in a third of all documents leaves a row per task and block.
   A first pass counts anchors in ``SLOTS`` hash slots; anchors of slots far above the mean are indexed window by window, so that a
   frequent phrase with many different contexts is spread by its contexts.
