@@ -6,7 +6,9 @@
 * Directory doubling: a bucket over ``capacity`` entries is split by one more bit, up to ``max_depth`` bits.  The directory is
   derived from a histogram over at most ``2 ** max_depth`` prefixes, whatever the size of the corpus.
 * The index (bucket, key, place in the chain, smallest doc_id, group size) is written by owner tasks that hold ranges of keys.
-* Documents probe the index by bucket, key and digest; only entries with copies are needed for that.
+* Documents probe the index by key and digest; only entries with copies are needed for that.  Bucket, depth and chain lay out the
+  stored index and take no part in the result: groups come from the aggregation.  A table of up to ``capacity`` distinct texts has
+  one bucket.
 
 Null texts count as empty; empty texts are equal.  Rows that share the smallest doc_id of a group (repeated rows) are all kept;
 a null doc_id never stays in favour of another one, and stays when its group has no other.  Any other columns are ignored by the
