@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import wraps
 
-from quadfield.llm import exact_dedup, language_id, line_dedup, mixing, nearest_vectors, packing, pii, quality, simhash_dedup, substring_dedup
+from quadfield.llm import exact_dedup, filter_audit, language_id, line_dedup, mixing, nearest_vectors, packing, pii, quality, simhash_dedup, substring_dedup
 from quadfield.llm.common import documents, table
 from quadfield.shipping import attach
 
@@ -77,3 +77,8 @@ def op6(spark, folder):
 @query("op3_nearest_vectors")
 def op3(spark, folder):
     return nearest_vectors.digest(table(spark, folder, "embeddings"))
+
+
+@query("op12_filter_audit", filter_audit.ORACLE)
+def op12(spark, folder):
+    return filter_audit.audit(documents(spark, folder), table(spark, folder, "labels"))
