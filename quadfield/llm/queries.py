@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import wraps
 
-from quadfield.llm import exact_dedup, filter_audit, language_id, line_dedup, mixing, nearest_vectors, packing, pii, quality, simhash_dedup, substring_dedup
+from quadfield.llm import embedding_dedup, exact_dedup, filter_audit, language_id, line_dedup, mixing, nearest_vectors, packing, pii, quality, simhash_dedup, substring_dedup
 from quadfield.llm.common import documents, table
 from quadfield.shipping import attach
 
@@ -82,3 +82,8 @@ def op3(spark, folder):
 @query("op12_filter_audit", filter_audit.ORACLE)
 def op12(spark, folder):
     return filter_audit.audit(documents(spark, folder), table(spark, folder, "labels"))
+
+
+@query("op13_embedding_dedup")
+def op13(spark, folder):
+    return embedding_dedup.mark(table(spark, folder, "embeddings"))
