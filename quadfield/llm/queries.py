@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import wraps
 
-from quadfield.llm import embedding_dedup, exact_dedup, filter_audit, language_id, line_dedup, mixing, nearest_vectors, packing, pii, quality, simhash_dedup, substring_dedup
+from quadfield.llm import embedding_dedup, exact_dedup, filter_audit, language_id, line_dedup, mixing, nearest_vectors, packing, pii, quality, simhash_dedup, substring_dedup, token_alignment
 from quadfield.llm.common import documents, table
 from quadfield.shipping import attach
 
@@ -87,3 +87,8 @@ def op12(spark, folder):
 @query("op13_embedding_dedup")
 def op13(spark, folder):
     return embedding_dedup.mark(table(spark, folder, "embeddings"))
+
+
+@query("op11_token_alignment")
+def op11(spark, folder):
+    return token_alignment.align(documents(spark, folder))
