@@ -39,7 +39,7 @@ BITS = 62
 ROUNDS = 2
 PASSES = 8
 WINDOW = 512
-PIECE = 16384
+PIECE = 4096
 LEADERS = 128
 STEP = 1024
 #: allowance for the rounding of an angle taken from a cosine near 1
@@ -140,7 +140,7 @@ class _Leaders:
                 got = np.array([i])
             else:
                 got = np.flatnonzero(near[i] & free)
-                free[got] = False
+            free[got] = False
             to[rest[got]] = old + len(lead)
             others = got[got != i]
             lead.append((rest[i], n[rest[got]].sum(), max(r[rest[i]], reach[i, others].max(initial=0.0))))

@@ -87,6 +87,26 @@ def test_settle_in_blocks(spark):
     assert seen == want and any(r.kind == "edge" for r in got)
 
 
+def test_each_ball_has_one_leader():
+    """Balls of different radii: one may absorb another that couldn't absorb it; none is leader and absorbed at once."""
+    rng = np.random.default_rng(9)
+    for most in (2, 50):
+        state = embedding_dedup._Leaders((math.acos(0.93) - 1e-5) / 2)
+        seen, weight = {}, 0
+        for step in range(6):
+            x = np.concatenate([around(rng, np.eye(6)[k], 40, 0.12) for k in range(3)])
+            x /= np.linalg.norm(x, axis=1)[:, None]
+            ids, n, r = np.arange(len(x)) + 1000 * step, rng.integers(1, 9, len(x)), rng.choice([0.0, 0.02, 0.08, 0.15], len(x))
+            to = state.absorb(x, ids, n, r)
+            assert (to >= 0).all()
+            seen.update(zip(ids.tolist(), np.array(state.rows)[to].tolist()))
+            weight += n.sum()
+            gone = state.spare(most)
+            weight -= state.n[gone].sum()
+            state.drop(gone)
+        assert all(seen[lead] == lead for lead in seen.values()) and weight == state.n.sum()
+
+
 def test_narrow_windows_count_each_pair_once(spark):
     """With windows far smaller than a label, links may be missed but none is invented or counted twice."""
     rng = np.random.default_rng(7)
