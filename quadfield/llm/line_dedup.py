@@ -173,8 +173,11 @@ WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_
      ends AS (SELECT a.doc_id, a.pos, (SELECT min(b.pos) FROM f b WHERE b.doc_id = a.doc_id AND b.pos >= a.pos AND b.upto >= a.upto - length(a.line) + {MIN_CHARS}) AS last FROM f a),
      runs AS (SELECT e.doc_id, e.pos, e.last, string_agg(f.line, chr(10) ORDER BY f.pos) AS body
               FROM ends e JOIN f ON f.doc_id = e.doc_id AND f.pos BETWEEN e.pos AND e.last GROUP BY ALL),
-     later AS (SELECT doc_id, pos, last FROM (SELECT *, row_number() OVER (PARTITION BY body ORDER BY doc_id, pos) AS copy FROM runs) WHERE copy > 1),
-     gone AS (SELECT DISTINCT f.doc_id, f.no FROM later JOIN f ON f.doc_id = later.doc_id AND f.pos BETWEEN later.pos AND later.last)
+     pairs AS (SELECT a.doc_id, a.pos, b.doc_id AS other, b.pos AS place FROM runs a JOIN runs b ON a.body = b.body AND (b.doc_id < a.doc_id OR b.doc_id = a.doc_id AND b.pos < a.pos)),
+     stops AS (SELECT p.doc_id, p.pos, p.other, p.place, min(x.pos) FILTER (y.line IS DISTINCT FROM x.line) AS stop
+               FROM pairs p JOIN f x ON x.doc_id = p.doc_id AND x.pos >= p.pos LEFT JOIN f y ON y.doc_id = p.other AND y.pos = p.place + x.pos - p.pos GROUP BY ALL),
+     later AS (SELECT doc_id, pos, max(coalesce(stop, 1000000000)) AS stop FROM stops GROUP BY ALL),
+     gone AS (SELECT DISTINCT f.doc_id, f.no FROM later JOIN f ON f.doc_id = later.doc_id AND f.pos >= later.pos AND f.pos < later.stop)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_lines, coalesce(g.n, 0) AS n_removed, sha256(coalesce(k.body, '')) AS kept_sha256
 FROM documents d
 LEFT JOIN (SELECT doc_id, count(*) AS n FROM l GROUP BY doc_id) n USING (doc_id)

@@ -1,28 +1,8 @@
 """Repeated line runs are followed to their end."""
 
-import pytest
-
 from quadfield.llm import line_dedup
 
-from .test_text_operators import corpus, docs, frame, rows_by_id  # noqa: F401
-
-
-def covered(rows, least):
-    """Line numbers that go: in any run of at least ``least`` characters that starts at an earlier place as well."""
-    places, gone = [], {}
-    for k, t in sorted(rows):
-        ls = (t or "").split("\n")
-        full = [i for i, x in enumerate(ls) if x.strip(" ")]
-        seq = [ls[i] for i in full]
-        for a in range(len(seq)):
-            for other, s in places:
-                n = 0
-                while a + n < len(seq) and s + n < len(other) and other[s + n] == seq[a + n]:
-                    n += 1
-                if sum(map(len, seq[a : a + n])) >= least:
-                    gone.setdefault(k, set()).update(full[a : a + n])
-            places.append((seq, a))
-    return gone
+from .test_text_operators import frame, rows_by_id
 
 
 def test_end_of_a_shared_run(spark):
@@ -31,13 +11,3 @@ def test_end_of_a_shared_run(spark):
     got = rows_by_id(line_dedup.delete_lines(frame(spark, list(enumerate(texts)), "doc_id long, text string")))
     assert [got[k].text for k in range(4)] == [texts[0], "first\n\nthat one differs", "", texts[3]]
     assert [got[k]["__lines_removed"] for k in range(4)] == [0, 3, 3, 0]
-
-
-@pytest.mark.parametrize("least", [20, 100, 400])
-def test_all_runs(docs, corpus, least):  # noqa: F811
-    rows = [(k, t) for k, t, *_ in corpus]
-    gone = covered(rows, least)
-    got = rows_by_id(line_dedup.delete_lines(docs, least))
-    for k, t in rows:
-        if t is not None:
-            assert got[k].text == "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone.get(k, ()))

@@ -91,5 +91,5 @@ def test_everything_is_registered():
     import __spark_entry__ as entry
 
     names = set(entry.queries())
-    assert {int(m[1]) for n in names if (m := re.match(r"op(\d+)_", n))} == set(range(1, 11)) and "pipeline" in names
-    assert {"op2_line_dedup", "op4_exact_dedup", "op10_mixing"} <= set(entry.oracle_sql())
+    assert {int(m[1]) for n in names if (m := re.match(r"op(\d+)_", n))} == set(range(1, 14)) and "pipeline" in names
+    assert {"op2_line_dedup", "op4_exact_dedup", "op10_mixing", "op12_filter_audit"} <= set(entry.oracle_sql())

@@ -79,20 +79,20 @@ def test_exact_directory(docs):
 
 
 def gone_lines(corpus, least):
-    """Line numbers that go, by the definition: covered by the shortest qualifying run that starts earlier as well."""
-    seen, gone = {}, {}
+    """Line numbers that go: in any run of at least ``least`` characters that starts at an earlier place as well."""
+    places, gone = {}, {}
     for k, t, *_ in sorted(corpus):
         ls = (t or "").split("\n")
         full = [i for i, x in enumerate(ls) if x.strip(" ")]
-        for a in range(len(full)):
-            size = 0
-            for b in range(a, len(full)):
-                size += len(ls[full[b]])
-                if size >= least:
-                    run = tuple(ls[i] for i in full[a : b + 1])
-                    if seen.setdefault(run, (k, a)) != (k, a):
-                        gone.setdefault(k, set()).update(full[a : b + 1])
-                    break
+        seq = [ls[i] for i in full]
+        for a, line in enumerate(seq):
+            for other, s in places.get(line, ()):
+                n = 0
+                while a + n < len(seq) and s + n < len(other) and other[s + n] == seq[a + n]:
+                    n += 1
+                if sum(map(len, seq[a : a + n])) >= least:
+                    gone.setdefault(k, set()).update(full[a : a + n])
+            places.setdefault(line, []).append((seq, a))
     return gone
 
 
