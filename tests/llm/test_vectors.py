@@ -15,7 +15,7 @@ def frame(spark, rows):
 
 def brute(rows, q, top=10):
     own = {i: np.array(v, float) for i, v in rows if v and all(x is not None and math.isfinite(x) for x in v) and any(v)}
-    d = sorted((float(np.sqrt(((own[q] - x) ** 2).sum())), i) for i, x in own.items() if i != q)
+    d = sorted((float(np.sqrt(((own[q] - x) ** 2).sum())), i) for i, x in own.items() if i != q and len(x) == len(own[q]))
     return d[:top]
 
 
@@ -59,3 +59,32 @@ def test_few_and_none(spark):
     assert nearest_vectors.digest(frame(spark, [(100, [1.0, 2.0])])).count() == 0
     got = nearest_vectors.digest(frame(spark, [(100, [1.0, 2.0]), (1, [1.0, 2.0]), (2, [4.0, 6.0]), (None, [1.0, 1.0]), (2, [4.0, 6.0])])).collect()
     assert sorted((r["rank"], r.vec_id, r.score) for r in got) == [(1, 1, 0.0), (2, 2, 5.0)]
+
+
+def test_lengths_are_spaces_of_their_own(spark):
+    rng = np.random.default_rng(3)
+    rows = [(k, rng.normal(size=2 + k % 3).astype(np.float32).tolist()) for k in range(600)] + [(k, rng.normal(size=9).astype(np.float32).tolist()) for k in (1000, 1100, 1101)]
+    for sample in (300, 16):
+        got = nearest_vectors.nearest(frame(spark, rows), F.col("vec_id") % 100 == 0, budget=9.0, sample=sample, leaf=16, chunk=64).collect()
+        for q in [*range(0, 600, 100), 1000, 1100]:
+            own = sorted((r["rank"], r.vec_id) for r in got if r.query_id == q)
+            assert [i for _, i in own] == [i for _, i in brute(rows, q)]
+
+
+def test_ties_between_different_vectors(spark):
+    """Far more candidates at one distance than the list is long: the smaller ids, whatever rounding says."""
+    rng = np.random.default_rng(5)
+    rows = [(0, [1.0] * 24)] + [(1 + k, v.tolist()) for k, v in enumerate(np.float32(rng.permuted(np.tile([0.0] * 3 + [1.0] * 21, (400, 1)), axis=1)))]
+    got = nearest_vectors.nearest(frame(spark, rows), F.col("vec_id") == 0, budget=9.0, sample=512, leaf=512, chunk=4096).collect()
+    assert [r.vec_id for r in sorted(got, key=lambda r: r["rank"])] == [i for _, i in brute(rows, 0)] == list(range(1, 11))
+
+
+def test_near_copies_beyond_rounding():
+    """Distances below the rounding of products are measured."""
+    rng = np.random.default_rng(6)
+    q = np.full((1, 8), 1000.0)
+    c = q + 1e-9 * rng.normal(size=(300, 8))
+    ids = rng.permutation(300)
+    _, near, exact = nearest_vectors.closest(q, c, (c * c).sum(axis=1), ids, 10)
+    want = sorted(zip(np.sqrt(((q - c) ** 2).sum(axis=1)), ids))[:11]
+    assert list(zip(exact, near)) == want
