@@ -1,4 +1,11 @@
-"""Nearest point of a wall to query points."""
+"""Nearest point of a wall to query points.
+
+:func:`nearest_wall` looks within a distance; :func:`nearest_wall_any` has no limit.  The latter descends a pyramid of grid cells:
+edges are counted into the cells of every level above their size, each cell with the box of what it holds.  Groups of neighbouring
+points go down from the coarsest level and only follow cells that may still hold the nearest edge of one of their points: a cell whose smallest
+distance exceeds another cell's largest one is left.  Bounds are minima of doubles, so each level is one join and one hash
+aggregation over narrow rows; points and curves meet once, at the end.
+"""
 
 from __future__ import annotations
 
@@ -12,6 +19,7 @@ from quadfield import basis
 from quadfield.functions.arrow_lists import row_groups
 from quadfield.functions import kernels
 from quadfield.operators.locate import SLICE
+from quadfield.operators.scans import checkpointed
 from quadfield.operators.spatial import CELL, pack, probe_points, register_boxes, repeat_index
 
 # fixed values of the search: coarse points per edge, refinement rounds and steps
@@ -45,6 +53,24 @@ def _closest(px, py, xe, ye):
     return best, dist
 
 
+def _points_on(qx, qy, X, Y, NX, NY, node):
+    """``t``, distance and ``(wx, wy, nx, ny)`` on the edge of each point: the exact curve, or the given nodes."""
+    n = X.shape[1]
+    gll, d_mat, rows = basis.nodes(n), basis.derivative_matrix(n), np.arange(len(qx))
+    if node is not None:
+        wx, wy = X[rows, node], Y[rows, node]
+        return gll[node], np.hypot(qx - wx, qy - wy), (wx, wy, NX[rows, node], NY[rows, node])
+    t, dist = _closest(qx, qy, X, Y)
+    L = basis.lagrange(n, t)
+    on = lambda m: np.einsum("pi,pi->p", m, L)
+    tx, ty = on(X @ d_mat.T), on(Y @ d_mat.T)
+    size = np.maximum(np.hypot(tx, ty), 1e-300)
+    nx, ny = ty / size, -tx / size
+    k = np.abs(gll[None, :] - t[:, None]).argmin(axis=1)
+    turn = np.where(nx * NX[rows, k] + ny * NY[rows, k] < 0, -1.0, 1.0)
+    return t, dist, (on(X), on(Y), nx * turn, ny * turn)
+
+
 def _solve(batches, keys, snap, limit):
     for b in batches:
         col = {name: b.column(k) for k, name in enumerate(b.schema.names)}
@@ -52,7 +78,7 @@ def _solve(batches, keys, snap, limit):
             take = pa.array(np.arange(b.num_rows) if rows is None else rows)
             part = {c: col[c].take(take) for c in ["case", "elem", "side", "_px", "_py", *[f"_k_{k}" for k in keys]]}
             n = X.shape[1]
-            gll, d_mat, sketch = basis.nodes(n), basis.derivative_matrix(n), basis.resample_matrix(n, COARSE, "uniform")
+            sketch = basis.resample_matrix(n, COARSE, "uniform")
             row = repeat_index(part["_px"])
             px, py = (part[c].flatten().to_numpy(zero_copy_only=False) for c in ("_px", "_py"))
             payload = {k: part[f"_k_{k}"].flatten() for k in keys}
@@ -68,27 +94,23 @@ def _solve(batches, keys, snap, limit):
                 if not len(near):
                     continue
                 e, qx, qy, rank = e[near], qx[near], qy[near], rank[near]
-                if snap:
-                    node = node[near]
-                    t, dist = gll[node], rank
-                    at = (X[e, node], Y[e, node], NX[e, node], NY[e, node])
-                else:
-                    node = np.full(len(e), -1)
-                    t, dist = _closest(qx, qy, X[e], Y[e])
-                    L = basis.lagrange(n, t)
-                    on = lambda m: np.einsum("pi,pi->p", m, L)
-                    tx, ty = on(X[e] @ d_mat.T), on(Y[e] @ d_mat.T)
-                    size = np.maximum(np.hypot(tx, ty), 1e-300)
-                    nx, ny = ty / size, -tx / size
-                    k = np.abs(gll[None, :] - t[:, None]).argmin(axis=1)
-                    turn = np.where(nx * NX[e, k] + ny * NY[e, k] < 0, -1.0, 1.0)
-                    at = (on(X[e]), on(Y[e]), nx * turn, ny * turn)
+                node = node[near] if snap else None
+                t, dist, at = _points_on(qx, qy, X[e], Y[e], NX[e], NY[e], node)
+                node = np.full(len(e), -1) if node is None else node
                 at_row = pa.array(e)
                 sel = pa.array(a + near)
                 out = [part["case"].take(at_row)] + [payload[k].take(sel) for k in keys] + [part["elem"].take(at_row), part["side"].take(at_row), pa.array(node.astype(np.int32)), pa.array(t)]
                 yield pa.RecordBatch.from_arrays(out + [pa.array(v) for v in (*at, dist, rank)], names=["case", *keys, "elem", "side", "node", "t", "wx", "wy", "nx", "ny", "dist", "_rank"])
 
 
+def _wall_curves(edges: DataFrame, mesh: DataFrame) -> DataFrame:
+    """``case elem side`` with the nodes ``_ex _ey`` and normals ``_nx _ny`` of each edge."""
+    c = F.col
+    walls = edges.select("case", "elem", "side").join(mesh.select("case", "elem", "x", "y"), ["case", "elem"])
+    walls = walls.select("case", "elem", "side", kernels.edge_frame("x", "y", "side", traversal=False).alias("_f"))
+    return walls.select("case", c("elem").cast("long").alias("elem"), c("side").cast("int").alias("side"), *[c(f"_f.{k}").alias(v) for k, v in (("x", "_ex"), ("y", "_ey"), ("nx", "_nx"), ("ny", "_ny"))])
+
+
 def nearest_wall(points: DataFrame, edges: DataFrame, mesh: DataFrame, max_dist: float, keys: list[str] | None = None, snap: bool = False) -> DataFrame:
     """Closest wall point within ``max_dist`` of each point ``(case, x, y, <keys>)``.
 
@@ -102,9 +124,7 @@ def nearest_wall(points: DataFrame, edges: DataFrame, mesh: DataFrame, max_dist:
     keys = given + [f"_at_{k}" for k in ("x", "y") if k not in given]
     points = points.withColumns({"_at_x": F.col("x"), "_at_y": F.col("y")})
     c = F.col
-    walls = edges.select("case", "elem", "side").join(mesh.select("case", "elem", "x", "y"), ["case", "elem"])
-    walls = walls.select("case", "elem", "side", kernels.edge_frame("x", "y", "side", traversal=False).alias("_f"))
-    walls = walls.select("case", c("elem").cast("long").alias("elem"), c("side").cast("int").alias("side"), *[c(f"_f.{k}").alias(v) for k, v in (("x", "_ex"), ("y", "_ey"), ("nx", "_nx"), ("ny", "_ny"))])
+    walls = _wall_curves(edges, mesh)
     lo = lambda k: F.array_min(k) - max_dist
     hi = lambda k: F.array_max(k) + max_dist
     boxes = register_boxes(walls.select("*", lo("_ex").alias("_x0"), hi("_ex").alias("_x1"), lo("_ey").alias("_y0"), hi("_ey").alias("_y1")), "_x0", "_x1", "_y0", "_y1").drop("_x0", "_x1", "_y0", "_y1")
@@ -127,3 +147,160 @@ def nearest_wall(points: DataFrame, edges: DataFrame, mesh: DataFrame, max_dist:
     best = best.select("case", *given, *[c(f"_b.{k}").alias(k) for k in picked], "_times")
     once = F.explode(F.when(c("_times") > 1, F.sequence(F.lit(1).cast("long"), "_times")).otherwise(F.array(F.lit(1).cast("long"))))
     return best.select("case", *given, *picked, once.alias("_k")).drop("_k")
+
+
+#: cells of a level are so many powers of two wider than those of the level below
+STRIDE = 2
+_SALTS = 16
+
+
+def _spans(a0, a1, b0, b1):
+    """Smallest and largest distance between a point of ``[a0, a1]`` and one of ``[b0, b1]``."""
+    return F.greatest(F.lit(0.0), b0 - a1, a0 - b1), F.greatest(b1 - a0, a1 - b0)
+
+
+def _with_bounds(df: DataFrame) -> DataFrame:
+    """Adds ``_low`` and ``_up``: bounds of the distance from any point of the group's box to the nearest thing in the other box."""
+    c = F.col
+    lx, ux = _spans(c("_gx0"), c("_gx1"), c("_x0"), c("_x1"))
+    ly, uy = _spans(c("_gy0"), c("_gy1"), c("_y0"), c("_y1"))
+    return df.withColumns({"_low": F.hypot(lx, ly), "_up": F.hypot(ux, uy)})
+
+
+def _pyramid(walls: DataFrame, bottom: int, top: int) -> DataFrame:
+    """Entries ``(case, plvl, pcx, pcy, lvl, cx, cy, box, wall)``: cells and edges with the cell that holds them.
+
+    Cells of the top level have ``plvl`` NULL; ``wall`` is NULL for cells.  An edge hangs on the cell of its own size.
+    """
+    c = F.col
+    cell = lambda v, l: F.floor(v / F.pow(F.lit(2.0), l)).cast("long")
+    box = ["_x0", "_x1", "_y0", "_y1"]
+    own = walls.select("case", "wall", *box, c("own").alias("lvl"), ((c("_x0") + c("_x1")) / 2).alias("_mx"), ((c("_y0") + c("_y1")) / 2).alias("_my"))
+    leaves = own.select("case", c("lvl").alias("plvl"), cell(c("_mx"), c("lvl")).alias("pcx"), cell(c("_my"), c("lvl")).alias("pcy"), F.lit(None).cast("int").alias("lvl"), F.lit(None).cast("long").alias("cx"), F.lit(None).cast("long").alias("cy"), *box, "wall")
+    every = own.withColumn("lvl", F.explode(F.expr(f"sequence(lvl, {top}, {STRIDE})"))).withColumns({"cx": cell(c("_mx"), c("lvl")), "cy": cell(c("_my"), c("lvl"))})
+    cells = every.groupBy("case", "lvl", "cx", "cy").agg(F.min("_x0").alias("_x0"), F.max("_x1").alias("_x1"), F.min("_y0").alias("_y0"), F.max("_y1").alias("_y1"))
+    below = c("lvl") < top
+    up = lambda k: F.when(below, F.shiftright(k, STRIDE))
+    cells = cells.select("case", F.when(below, c("lvl") + STRIDE).alias("plvl"), up("cx").alias("pcx"), up("cy").alias("pcy"), "lvl", "cx", "cy", *box, F.lit(None).cast("long").alias("wall"))
+    return cells.unionByName(leaves)
+
+
+def _pruned(found: DataFrame) -> DataFrame:
+    """Entries that may hold the nearest edge of a point of their group."""
+    least = found.groupBy("_g").agg(F.min("_up").alias("_least"))
+    return found.join(least, "_g").where(F.col("_low") <= F.col("_least") * (1 + 1e-12)).drop("_least", "_low", "_up")
+
+
+def _nearest_stream(batches, keys, snap):
+    """One row per point: a group's points come first, then its candidate edges in any number of batches."""
+    names = ["case", *keys, "elem", "side", "node", "t", "wx", "wy", "nx", "ny", "dist"]
+    held = None  # group, points, best rank, best edge id, best edge, payload
+
+    def finish():
+        g = held
+        chosen = np.array([e is not None for e in g["edge"]], bool)
+        if not chosen.any():
+            return
+        at = np.flatnonzero(chosen)
+        out = {k: np.empty(len(at)) for k in names[-6:]}
+        node = np.full(len(at), -1, np.int32)
+        sizes = np.array([len(g["edge"][p][0]) for p in at])
+        for n in np.unique(sizes):
+            own = np.flatnonzero(sizes == n)
+            X, Y, NX, NY = (np.stack([g["edge"][at[k]][m] for k in own]) for m in range(4))
+            qx, qy = g["x"][at[own]], g["y"][at[own]]
+            pick = np.hypot(qx[:, None] - X, qy[:, None] - Y).argmin(axis=1) if snap else None
+            t, dist, place = _points_on(qx, qy, X, Y, NX, NY, pick)
+            if snap:
+                node[own] = pick
+            for k, v in zip(names[-6:], (t, *place, dist)):
+                out[k][own] = v
+        ids = g["id"][at]
+        row = pa.array(at)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([g["case"].as_py()] * len(at), g["case"].type)] + [g["payload"][k].take(row) for k in keys]
+            + [pa.array(ids >> 2), pa.array((ids & 3).astype(np.int32)), pa.array(node)] + [pa.array(out[k]) for k in names[-6:]],
+            names=names,
+        )
+
+    for b in batches:
+        col = {name: b.column(k) for k, name in enumerate(b.schema.names)}
+        group, wall = col["_g"].to_numpy(), col["wall"]
+        points = np.flatnonzero(np.asarray(wall.is_null()))
+        cuts = np.unique(np.concatenate([[0, b.num_rows], points, points + 1, np.flatnonzero(np.diff(group)) + 1])).astype(int)
+        for lo, hi in zip(cuts[:-1], cuts[1:]):
+            if not wall[lo].is_valid:
+                if held is not None:
+                    yield from finish()
+                x, y = (np.array(col[k][lo].values.to_numpy(zero_copy_only=False), float) for k in ("_px", "_py"))
+                held = {"case": col["case"][lo], "x": x, "y": y, "rank": np.full(len(x), np.inf), "id": np.full(len(x), -1, np.int64), "edge": [None] * len(x), "payload": {k: col[f"_k_{k}"][lo].values for k in keys}}
+                continue
+            take = pa.array(np.arange(lo, hi))
+            ids = wall.slice(lo, hi - lo).to_numpy()
+            for rows, (X, Y, NX, NY) in row_groups([col[k].take(take) for k in ("_ex", "_ey", "_nx", "_ny")]):
+                own = ids if rows is None else ids[rows]
+                order = np.argsort(own)
+                sketch = basis.resample_matrix(X.shape[1], COARSE, "uniform")
+                for k in order:
+                    line = (np.broadcast_to(v, (len(held["x"]), v.size)) for v in (X[k] if snap else sketch @ X[k], Y[k] if snap else sketch @ Y[k]))
+                    if snap:
+                        u, v = line
+                        rank = np.hypot(held["x"][:, None] - u, held["y"][:, None] - v).min(axis=1)
+                    else:
+                        rank = _segment_distance(held["x"], held["y"], *line)
+                    rank = np.round(rank, 12)
+                    better = (rank < held["rank"]) | ((rank == held["rank"]) & (own[k] < held["id"]))
+                    for p in np.flatnonzero(better):
+                        held["edge"][p] = (X[k], Y[k], NX[k], NY[k])
+                    held["rank"][better], held["id"][better] = rank[better], own[k]
+    if held is not None:
+        yield from finish()
+
+
+def nearest_wall_any(points: DataFrame, edges: DataFrame, mesh: DataFrame, keys: list[str] | None = None, snap: bool = False) -> DataFrame:
+    """Closest wall point of each point ``(case, x, y, <keys>)``, however far away; columns as in :func:`nearest_wall`.
+
+    Points of a case without edges and points with a coordinate that is not finite are left out; repeated rows stay.  An
+    edge's curve is taken to stay within its nodes' box and a tenth of its size around it.
+    """
+    keys, c = list(keys or ["pid"]), F.col
+    span = F.greatest(F.array_max("_ex") - F.array_min("_ex"), F.array_max("_ey") - F.array_min("_ey"))
+    walls = _wall_curves(edges, mesh).withColumns({"_pad": 0.1 * span + 1e-12 * F.array_max(F.transform("_ex", lambda v: F.abs(v))), "wall": c("elem") * 4 + c("side")})
+    walls = walls.withColumns({"_x0": F.array_min("_ex") - c("_pad"), "_x1": F.array_max("_ex") + c("_pad"), "_y0": F.array_min("_ey") - c("_pad"), "_y1": F.array_max("_ey") + c("_pad")})
+    size = F.greatest(c("_x1") - c("_x0"), c("_y1") - c("_y0"), F.lit(1e-290))
+    walls = checkpointed(walls.withColumn("own", (F.ceil(F.log2(size) / STRIDE) * STRIDE).cast("int")).drop("_pad"))
+    ends = walls.agg(F.min("own"), F.max("own"), F.avg("own"), *[F.log2(F.greatest(F.max(b) - F.min(a), F.lit(1e-290))) for a, b in (("_x0", "_x1"), ("_y0", "_y1"))]).first()
+    finite = points.where((F.abs("x") < float("inf")) & (F.abs("y") < float("inf")))
+    kinds = {f.name: f.dataType for f in points.schema.fields}
+    num = T.DoubleType()
+    schema = T.StructType(
+        [T.StructField("case", kinds["case"])] + [T.StructField(k, kinds[k]) for k in keys]
+        + [T.StructField("elem", T.LongType()), T.StructField("side", T.IntegerType()), T.StructField("node", T.IntegerType())] + [T.StructField(k, num) for k in ("t", "wx", "wy", "nx", "ny", "dist")]
+    )
+    if ends[0] is None:
+        return points.sparkSession.createDataFrame([], schema)
+    bottom, most, usual = int(ends[0]), int(ends[1]), round(ends[2])
+    top = max(most, STRIDE * -int(-max(ends[3], ends[4]) // STRIDE))
+    entries = checkpointed(_pyramid(walls, bottom, top))
+
+    # groups of at most CHUNK points of one cell about as wide as a usual edge
+    width = 2.0 ** (usual - 1)
+    cells = finite.select("case", F.floor(c("x") / width).cast("long").alias("_cx"), F.floor(c("y") / width).cast("long").alias("_cy"), c("x").alias("_px"), c("y").alias("_py"), *[c(k).alias(f"_k_{k}") for k in keys])
+    packs = pack(cells, ["case", "_cx", "_cy"], ["_px", "_py", *[f"_k_{k}" for k in keys]]).drop("_cx", "_cy")
+    packs = checkpointed(packs.withColumn("_g", F.monotonically_increasing_id()))
+    group = packs.select("case", "_g", F.array_min("_px").alias("_gx0"), F.array_max("_px").alias("_gx1"), F.array_min("_py").alias("_gy0"), F.array_max("_py").alias("_gy1"))
+
+    picked = ["case", "_g", "_gx0", "_gx1", "_gy0", "_gy1", "lvl", "cx", "cy", "wall"]
+    roots = entries.where("plvl is null").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    found = group.withColumn("_salt", F.pmod(F.xxhash64("_g"), F.lit(_SALTS)).cast("int")).join(roots, ["case", "_salt"])
+    open_ = checkpointed(_pruned(_with_bounds(found)).select(*picked, "_x0", "_x1", "_y0", "_y1"))
+    while open_.where("wall is null").limit(1).count():
+        down = open_.where("wall is null").select(*picked[:6], c("lvl").alias("plvl"), c("cx").alias("pcx"), c("cy").alias("pcy"))
+        down = down.join(entries.where("plvl is not null"), ["case", "plvl", "pcx", "pcy"])
+        both = down.select(*picked, "_x0", "_x1", "_y0", "_y1").unionByName(open_.where("wall is not null"))
+        open_ = checkpointed(_pruned(_with_bounds(both)).select(*picked, "_x0", "_x1", "_y0", "_y1"))
+
+    curves = open_.select("case", "_g", "wall").join(walls.select("case", "wall", "_ex", "_ey", "_nx", "_ny"), ["case", "wall"])
+    rows = packs.withColumn("wall", F.lit(None).cast("long")).unionByName(curves, allowMissingColumns=True)
+    rows = rows.repartition("_g").sortWithinPartitions("_g", c("wall").asc_nulls_first())
+    return rows.mapInArrow(lambda it: _nearest_stream(it, keys, snap), schema)

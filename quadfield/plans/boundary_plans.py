@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quadfield import basis
 from quadfield.operators import boundary as bd
 from quadfield.operators.locate import sample_lines
-from quadfield.operators.nearest import nearest_wall
+from quadfield.operators.nearest import nearest_wall, nearest_wall_any
 from quadfield.operators.scans import checkpointed
 from quadfield.plans.registry import plan, rounded
 from quadfield.plans.tables import (
@@ -155,6 +155,14 @@ def nearest(spark, folder):
     return got.select(*POINT_KEYS, "elem", "side", rounded("dist", 4).alias("dist"))
 
 
+@plan("nearest_wall_any", _WALLS + """ SELECT price, part, arg_min(elem, d) AS elem, arg_min(side, d) AS side, round(min(d), 4) AS dist FROM w GROUP BY price, part""")
+def nearest_any(spark, folder):
+    """The wall nearest to every line item's point, with no limit to the distance."""
+    mesh = stored(cell_mesh(spark, folder))
+    got = nearest_wall_any(probe_points(spark, folder), bd.external_edges(mesh), mesh, POINT_KEYS)
+    return got.select(*POINT_KEYS, "elem", "side", rounded("dist", 4).alias("dist")).distinct()
+
+
 _G8 = [float(v) for v in basis.nodes(8)]
 _SNAP_T = "[" + ", ".join(repr(v) for v in _G8) + "]"
 

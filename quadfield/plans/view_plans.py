@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from quadfield.operators import lod
 from quadfield.operators.layout import visible, with_bbox
+from quadfield.operators.scans import shared_folder
 from quadfield.plans.registry import plan, rounded
 from quadfield.plans.tables import WAVE, cell_mesh, nodes_sql
+from quadfield.sources import cases
 from quadfield.sources.generators import analytic_field
 
 XLIM, YLIM = (0.413, 1.307), (0.213, 0.777)
@@ -24,6 +28,19 @@ def visible_elements(spark, folder):
     return visible(with_bbox(cell_mesh(spark, folder, WAVE)), XLIM, YLIM).select("elem")
 
 
+ACROSS, UP = (0.3137, 0.6241), (0.4113, 0.5527)
+
+
+@plan("visible_stored", f"""{_BOX}, d AS (SELECT min(x0) AS l, max(x1) - min(x0) AS w, min(y0) AS t, max(y1) - min(y0) AS h FROM b)
+SELECT elem, round(x0, 6) + 0.0 AS xmin, round(y1, 6) + 0.0 AS ymax FROM b, d WHERE x1 >= l + w * {ACROSS[0]} AND x0 <= l + w * {ACROSS[1]} AND y1 >= t + h * {UP[0]} AND y0 <= t + h * {UP[1]}""")
+def visible_stored(spark, folder):
+    """The bent box stored along a curve; a window that grows with the domain reads only the row groups it touches."""
+    out = f"{shared_folder(spark)}/mesh-{uuid.uuid4().hex}"
+    cases.write_mesh(cell_mesh(spark, folder, WAVE).select("case", "elem", "gid", "n", "x", "y"), out)
+    seen = cases.read_window(spark, out, *cases.window_of(spark, out, ACROSS, UP), ["elem", "xmin", "ymax"])
+    return seen.select("elem", rounded("xmin").alias("xmin"), rounded("ymax").alias("ymax"))
+
+
 @plan("lod_level", f"{_BOX} SELECT elem, {_LEVEL} AS spectral, greatest(4, least(64, greatest(2, ceil(greatest((x1 - x0) * {SCALE[0]}, (y1 - y0) * {SCALE[1]}) / 1.5))))::INT AS contour, {_POWER} AS power FROM b")
 def lod_level(spark, folder):
     b = with_bbox(cell_mesh(spark, folder, WAVE))

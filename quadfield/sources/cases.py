@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quadfield.operators.clustering import clustered
 from quadfield.operators.fields import domain_bounds, field_range
-from quadfield.operators.layout import KEYS, field_names, with_bbox, with_metric
+from quadfield.operators.layout import KEYS, field_names, visible, with_bbox, with_metric
+
+#: target size of a Parquet row group of a stored mesh
+GROUP_BYTES = 8 << 20
 
 
 def ordered_columns(df: DataFrame) -> list[str]:
@@ -24,9 +28,34 @@ def write_case(df: DataFrame, path: str, float32: bool = False, mode: str = "ove
     df.select(*cols).write.mode(mode).partitionBy(*parts).parquet(path)
 
 
-def write_mesh(mesh: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Mesh with bounding boxes and metric stored once; boxes make window filters skip row groups."""
-    with_metric(with_bbox(mesh)).write.mode(mode).partitionBy("case").parquet(path)
+def write_mesh(mesh: DataFrame, path: str, mode: str = "overwrite", group_bytes: int = GROUP_BYTES, partitions: int | None = None) -> None:
+    """Mesh with bounding boxes and metric stored once, elements along a space-filling curve.
+
+    Neighbours lie in one row group, so the boxes' statistics let :func:`read_window` skip the groups outside a window.
+    """
+    boxed = with_bbox(mesh)
+    rows = clustered(boxed, (F.col("xmin") + F.col("xmax")) / 2, (F.col("ymin") + F.col("ymax")) / 2, ["case"], partitions)
+    _sized(with_metric(rows).write, group_bytes).mode(mode).partitionBy("case").parquet(path)
+
+
+def _sized(writer, group_bytes: int):
+    # the writer looks at the size of a group every so many rows: a wide row must not wait for the default of 100
+    return writer.option("parquet.block.size", group_bytes).option("parquet.page.size.row.check.min", 8).option("parquet.page.size", group_bytes // 4)
+
+
+def read_window(spark: SparkSession, path: str, xlim: tuple[float, float], ylim: tuple[float, float], columns: list[str] | None = None) -> DataFrame:
+    """Stored elements whose box overlaps the window; row groups and columns outside are not read."""
+    found = visible(read_case(spark, path, float64=False), xlim, ylim)
+    return found.select(*columns) if columns else found
+
+
+def window_of(spark: SparkSession, path: str, across: tuple[float, float], up: tuple[float, float]) -> tuple[tuple[float, float], tuple[float, float]]:
+    """A window in data units from shares of the stored domain (0 to 1 in both directions); reads the boxes only."""
+    box = spark.read.parquet(path).agg(F.min("xmin").alias("x0"), F.max("xmax").alias("x1"), F.min("ymin").alias("y0"), F.max("ymax").alias("y1")).first()
+    if box.x0 is None:
+        return (0.0, 0.0), (0.0, 0.0)
+    at = lambda lo, hi, share: lo + (hi - lo) * share
+    return tuple(at(box.x0, box.x1, s) for s in across), tuple(at(box.y0, box.y1, s) for s in up)
 
 
 def read_case(spark: SparkSession, path: str, float64: bool = True) -> DataFrame:
