@@ -194,34 +194,52 @@ def _pruned(found: DataFrame) -> DataFrame:
 def _nearest_stream(batches, keys, snap):
     """One row per point: a group's points come first, then its candidate edges in any number of batches."""
     names = ["case", *keys, "elem", "side", "node", "t", "wx", "wy", "nx", "ny", "dist"]
-    held = None  # group, points, best rank, best edge id, best edge, payload
+    held = None  # the running group: its points, and for each the best rank, edge id, and place among the edges seen
 
-    def finish():
+    done, waiting = [], 0  # settled points of many groups, refined together
+
+    def settle():
+        nonlocal waiting
         g = held
-        chosen = np.array([e is not None for e in g["edge"]], bool)
-        if not chosen.any():
-            return
-        at = np.flatnonzero(chosen)
-        out = {k: np.empty(len(at)) for k in names[-6:]}
-        node = np.full(len(at), -1, np.int32)
-        sizes = np.array([len(g["edge"][p][0]) for p in at])
-        for n in np.unique(sizes):
-            own = np.flatnonzero(sizes == n)
-            X, Y, NX, NY = (np.stack([g["edge"][at[k]][m] for k in own]) for m in range(4))
-            qx, qy = g["x"][at[own]], g["y"][at[own]]
+        for pool in np.unique(g["pool"]):
+            at = np.flatnonzero(g["pool"] == pool)
+            if pool >= 0:
+                row = pa.array(at)
+                done.append((g["x"][at], g["y"][at], g["id"][at], [m[g["row"][at]] for m in g["seen"][pool]], [pa.repeat(g["case"], len(at)), *[g["payload"][k].take(row) for k in keys]]))
+                waiting += len(at)
+
+    def refine():
+        nonlocal waiting
+        for n in sorted({d[3][0].shape[1] for d in done}):
+            own = [d for d in done if d[3][0].shape[1] == n]
+            qx, qy, ids = (np.concatenate([d[k] for d in own]) for k in range(3))
+            X, Y, NX, NY = (np.concatenate([d[3][k] for d in own]) for k in range(4))
             pick = np.hypot(qx[:, None] - X, qy[:, None] - Y).argmin(axis=1) if snap else None
             t, dist, place = _points_on(qx, qy, X, Y, NX, NY, pick)
-            if snap:
-                node[own] = pick
-            for k, v in zip(names[-6:], (t, *place, dist)):
-                out[k][own] = v
-        ids = g["id"][at]
-        row = pa.array(at)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([g["case"].as_py()] * len(at), g["case"].type)] + [g["payload"][k].take(row) for k in keys]
-            + [pa.array(ids >> 2), pa.array((ids & 3).astype(np.int32)), pa.array(node)] + [pa.array(out[k]) for k in names[-6:]],
-            names=names,
-        )
+            node = np.full(len(ids), -1) if pick is None else pick
+            given = [pa.concat_arrays([d[4][k] for d in own]) for k in range(1 + len(keys))]
+            yield pa.RecordBatch.from_arrays(given + [pa.array(ids >> 2), pa.array((ids & 3).astype(np.int32)), pa.array(node.astype(np.int32))] + [pa.array(v) for v in (t, *place, dist)], names=names)
+        done.clear()
+        waiting = 0
+
+    def meet(ids, mats):
+        """Edges against all points of the group, a bounded number of pairs at a time."""
+        g, points = held, len(held["x"])
+        every = np.argsort(ids)
+        sketch = basis.resample_matrix(mats[0].shape[1], COARSE, "uniform")
+        for lo in range(0, len(ids), max(1, SLICE // points)):
+            order = every[lo : lo + max(1, SLICE // points)]
+            part = [m[order] for m in mats]
+            px, py = np.tile(g["x"], len(order)), np.tile(g["y"], len(order))
+            u, v = (np.repeat(m if snap else m @ sketch.T, points, axis=0) for m in part[:2])
+            rank = np.hypot(px[:, None] - u, py[:, None] - v).min(axis=1) if snap else _segment_distance(px, py, u, v)
+            rank = np.round(rank, 12).reshape(len(order), points)
+            best = rank.argmin(axis=0)
+            low, own = rank[best, np.arange(points)], ids[order][best]
+            better = (low < g["rank"]) | ((low == g["rank"]) & (own < g["id"]))
+            if better.any():
+                g["rank"][better], g["id"][better], g["row"][better], g["pool"][better] = low[better], own[better], best[better], len(g["seen"])
+                g["seen"].append(part)
 
     for b in batches:
         col = {name: b.column(k) for k, name in enumerate(b.schema.names)}
@@ -231,30 +249,22 @@ def _nearest_stream(batches, keys, snap):
         for lo, hi in zip(cuts[:-1], cuts[1:]):
             if not wall[lo].is_valid:
                 if held is not None:
-                    yield from finish()
+                    settle()
+                if waiting >= SLICE:
+                    yield from refine()
                 x, y = (np.array(col[k][lo].values.to_numpy(zero_copy_only=False), float) for k in ("_px", "_py"))
-                held = {"case": col["case"][lo], "x": x, "y": y, "rank": np.full(len(x), np.inf), "id": np.full(len(x), -1, np.int64), "edge": [None] * len(x), "payload": {k: col[f"_k_{k}"][lo].values for k in keys}}
+                held = {
+                    "case": col["case"][lo], "x": x, "y": y, "rank": np.full(len(x), np.inf), "seen": [], **{k: np.full(len(x), -1, np.int64) for k in ("id", "row", "pool")},
+                    "payload": {k: col[f"_k_{k}"][lo].values for k in keys},
+                }
                 continue
             take = pa.array(np.arange(lo, hi))
             ids = wall.slice(lo, hi - lo).to_numpy()
-            for rows, (X, Y, NX, NY) in row_groups([col[k].take(take) for k in ("_ex", "_ey", "_nx", "_ny")]):
-                own = ids if rows is None else ids[rows]
-                order = np.argsort(own)
-                sketch = basis.resample_matrix(X.shape[1], COARSE, "uniform")
-                for k in order:
-                    line = (np.broadcast_to(v, (len(held["x"]), v.size)) for v in (X[k] if snap else sketch @ X[k], Y[k] if snap else sketch @ Y[k]))
-                    if snap:
-                        u, v = line
-                        rank = np.hypot(held["x"][:, None] - u, held["y"][:, None] - v).min(axis=1)
-                    else:
-                        rank = _segment_distance(held["x"], held["y"], *line)
-                    rank = np.round(rank, 12)
-                    better = (rank < held["rank"]) | ((rank == held["rank"]) & (own[k] < held["id"]))
-                    for p in np.flatnonzero(better):
-                        held["edge"][p] = (X[k], Y[k], NX[k], NY[k])
-                    held["rank"][better], held["id"][better] = rank[better], own[k]
+            for rows, mats in row_groups([col[k].take(take) for k in ("_ex", "_ey", "_nx", "_ny")]):
+                meet(ids if rows is None else ids[rows], mats)
     if held is not None:
-        yield from finish()
+        settle()
+    yield from refine()
 
 
 def nearest_wall_any(points: DataFrame, edges: DataFrame, mesh: DataFrame, keys: list[str] | None = None, snap: bool = False) -> DataFrame:
