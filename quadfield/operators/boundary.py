@@ -11,10 +11,14 @@ edges that nearly coincide, whatever the grading of the mesh.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quadfield.functions import kernels
+from quadfield.operators.clustering import with_curve
 from quadfield.operators.scans import checkpointed, running_sum
 
 # fixed values of the vertex matching
@@ -143,47 +147,120 @@ def successors(edges: DataFrame, tol: float | None = None, keys: list[str] | Non
     )
 
 
-def rank_chains(edges: DataFrame, links: DataFrame, keys: list[str] | None = None) -> DataFrame:
+def _local_lists(batches, keys: list[str]):
+    """Contracts the chains of a partition: every edge gets the local list it is in.
+
+    A list runs as far as predecessors are in the partition.  Columns: first edge ``h`` and its predecessor elsewhere ``prev``, place
+    ``off`` and length ``n``, smallest edge ``low`` and its place ``low_off``.  A loop that lies in the partition is a list from its
+    smallest edge on, with ``loop`` set.
+    """
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return
+    table = pa.Table.from_batches(held).combine_chunks()
+    columns = {k: table.column(k).chunk(0) for k in table.column_names}
+    total = table.num_rows
+    eid = columns["eid"].to_numpy(zero_copy_only=False)
+    none = np.asarray(columns["prev"].is_null())
+    prev = np.where(none, -1, columns["prev"].fill_null(-1).to_numpy(zero_copy_only=False))
+    group = np.zeros(total, np.int64)
+    for k in keys:
+        code = columns[k].dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        group = np.unique(group * (code.max() + 1) + code, return_inverse=True)[1]
+    number = np.unique(np.concatenate([eid, prev]), return_inverse=True)[1].astype(np.int64)
+    wide = number.max() + 1
+    own, wanted = group * wide + number[:total], group * wide + number[total:]
+    order = np.argsort(own)
+    at = np.minimum(np.searchsorted(own[order], wanted), total - 1)
+    back = np.where(~none & (own[order][at] == wanted), order[at], -1)
+
+    # pointer jumping inside the task
+    me = np.arange(total)
+    jump, off = np.where(back >= 0, back, me), (back >= 0).astype(np.int64)
+    low, low_at, span = me.copy(), np.zeros(total, np.int64), 1
+    hop = jump.copy()
+    for _ in range(max(1, int(total).bit_length())):
+        smaller = eid[low[hop]] < eid[low]
+        low, low_at = np.where(smaller, low[hop], low), np.where(smaller, low_at[hop] + span, low_at)
+        off, hop = off + off[hop], hop[hop]
+        span *= 2
+    loop = back[hop] >= 0
+    head, place = np.where(loop, low, hop), np.where(loop, low_at, off)
+    n = np.bincount(head, minlength=total)
+    first = np.lexsort((eid, head))
+    starts = np.flatnonzero(np.r_[True, head[first][1:] != head[first][:-1]])
+    least = np.zeros(total, np.int64)
+    least[head[first][starts]] = first[starts]
+    least = least[head]
+    out = [columns[k] for k in keys] + [
+        columns["eid"], pa.array(eid[head]), pa.array(place), pa.array(n[head]), pa.array(prev[head], mask=none[head] | loop), pa.array(eid[least]), pa.array(place[least]), pa.array(loop),
+    ]
+    yield pa.RecordBatch.from_arrays(out, names=[*keys, "eid", "h", "off", "n", "prev", "low", "low_off", "loop"])
+
+
+def rank_chains(edges: DataFrame, links: DataFrame, keys: list[str] | None = None, partitions: int | None = None) -> DataFrame:
     """Position of every edge in its chain: ``(keys, eid, head, pos, closed)``.
 
-    Pointer doubling over the predecessor links: after round k an edge knows the
-    ``2^k`` edges before it, so chains of any length need about log2(length) doublings
-    and no chain is ever collected.  An open chain ends at its first edge, a loop is
-    headed by its smallest edge.  Rounds stop when nothing changes.
+    Edges are dealt along a space-filling curve of their start points, so most of a chain lies in few partitions.  Each
+    partition contracts what it holds of a chain to one list; pointer doubling then runs over the lists that began elsewhere, about
+    log2(lists of a chain) rounds of narrow joins, and none if no chain leaves its partition.  No chain is ever collected in one
+    place.  An open chain is headed by its first edge, a loop by its smallest edge.
     """
     keys = list(keys or ["case"])
     c = F.col
-    # ptr: edge 2^k steps back, NULL once the walk fell off the start;
-    # head, dist: the start of an open chain; low, low_dist: smallest edge seen and its distance
-    state = edges.select(*keys, "eid").join(links.select(*keys, "eid", c("prev").alias("ptr")), [*keys, "eid"], "left")
-    state = state.select(
-        *keys, "eid", "ptr", F.when(c("ptr").isNull(), c("eid")).alias("head"), F.lit(0).cast("long").alias("dist"),
-        c("eid").alias("low"), F.lit(0).cast("long").alias("low_dist"), F.lit(True).alias("changed"),
+    rows = edges.select(*keys, "eid", *[k for k in ("x0", "y0") if k in edges.columns]).join(links.select(*keys, "eid", "prev"), [*keys, "eid"], "left")
+    rows = with_curve(rows, "x0", "y0") if "x0" in edges.columns else rows.withColumn("_curve", c("eid"))
+    order = [*keys, "_curve"]
+    dealt = (rows.repartitionByRange(partitions, *order) if partitions else rows.repartitionByRange(*order)).select(*keys, c("eid").cast("long").alias("eid"), c("prev").cast("long").alias("prev"))
+    kinds = {f.name: f.dataType for f in dealt.schema.fields}
+    schema = T.StructType(
+        [T.StructField(k, kinds[k]) for k in keys] + [T.StructField(k, T.LongType()) for k in ("eid", "h", "off", "n", "prev", "low", "low_off")] + [T.StructField("loop", T.BooleanType())]
     )
+    local = checkpointed(dealt.mapInArrow(lambda it: _local_lists(it, keys), schema))
+    done = local.where("prev is null").select(*keys, "eid", c("h").alias("head"), c("off").alias("pos"), c("loop").alias("closed"))
+    if local.where("prev is not null").isEmpty():
+        return done
+    return done.unionByName(_ranked_lists(local, keys))
+
 
-    def double(state: DataFrame, span: int) -> DataFrame:
-        far = state.select(*keys, c("eid").alias("ptr"), c("ptr").alias("f_ptr"), c("head").alias("f_head"), c("dist").alias("f_dist"), c("low").alias("f_low"), c("low_dist").alias("f_low_dist"))
+def _ranked_lists(local: DataFrame, keys: list[str]) -> DataFrame:
+    """Positions of the edges whose list began elsewhere, by pointer doubling over lists.
+
+    Of a list: ``ptr`` the list 2^k steps back, NULL once the walk fell off the start, ``back`` the edges from there to here; ``head``,
+    ``dist`` the start of an open chain; ``low``, ``low_dist`` the list with the smallest edge seen so far.
+    """
+    c = F.col
+    lists = local.where("off = 0 and not loop")
+    tails = local.where("off = n - 1 and not loop").select(*keys, c("eid").alias("prev"), c("h").alias("ptr"), c("n").alias("back"))
+    zero = F.lit(0).cast("long")
+    state = lists.join(tails, [*keys, "prev"], "left").select(
+        *keys, "h", "n", c("low").alias("own_low"), "low_off", "ptr", "back", F.when(c("ptr").isNull(), c("h")).alias("head"), zero.alias("dist"), "low", zero.alias("low_dist"), F.lit(True).alias("changed"),
+    )
+
+    def double(state: DataFrame) -> DataFrame:
+        far = state.select(*keys, c("h").alias("ptr"), *[c(k).alias(f"f_{k}") for k in ("ptr", "back", "head", "dist", "low", "low_dist")])
         moved = c("ptr").isNotNull()
         fell = moved & c("f_ptr").isNull()
         lower = moved & (c("f_low") < c("low"))
         return state.join(far, [*keys, "ptr"], "left").select(
-            *keys, "eid", F.when(moved, c("f_ptr")).alias("ptr"),
-            F.when(fell, c("f_head")).otherwise(c("head")).alias("head"),
-            F.when(fell, c("f_dist") + span).otherwise(c("dist")).alias("dist"),
-            F.when(lower, c("f_low")).otherwise(c("low")).alias("low"),
-            F.when(lower, c("f_low_dist") + span).otherwise(c("low_dist")).alias("low_dist"),
-            (fell | lower).alias("changed"),
+            *keys, "h", "n", "own_low", "low_off", F.when(moved, c("f_ptr")).alias("ptr"), F.when(moved & ~fell, c("back") + c("f_back")).otherwise(c("back")).alias("back"),
+            F.when(fell, c("f_head")).otherwise(c("head")).alias("head"), F.when(fell, c("back") + c("f_dist")).otherwise(c("dist")).alias("dist"),
+            F.when(lower, c("f_low")).otherwise(c("low")).alias("low"), F.when(lower, c("back") + c("f_low_dist")).otherwise(c("low_dist")).alias("low_dist"), (fell | lower).alias("changed"),
         )
 
-    span = 1
+    state = checkpointed(state)
     while True:
-        # two doublings per materialisation: fewer tables written, one join repeated
-        state = checkpointed(double(double(state, span), 2 * span))
-        span *= 4
+        state = checkpointed(double(state))
         if state.where("changed").isEmpty():
             break
+    around = state.where("ptr is not null").groupBy(*keys, "low").agg(F.sum("n").alias("length"), F.max(F.when(c("own_low") == c("low"), c("low_off"))).alias("first"))
+    ranked = state.join(around, [*keys, "low"], "left")
+    rest = local.where("prev is not null").select(*keys, "eid", "h", "off").join(ranked.select(*keys, "h", "ptr", "head", "dist", "low", "low_dist", "length", "first"), [*keys, "h"])
     loop = c("ptr").isNotNull()
-    return state.select(*keys, "eid", F.when(loop, c("low")).otherwise(c("head")).alias("head"), F.when(loop, c("low_dist")).otherwise(c("dist")).alias("pos"), loop.alias("closed"))
+    return rest.select(
+        *keys, "eid", F.when(loop, c("low")).otherwise(c("head")).alias("head"),
+        F.when(loop, F.pmod(c("low_dist") + c("off") - c("first"), c("length"))).otherwise(c("dist") + c("off")).alias("pos"), loop.alias("closed"),
+    )
 
 
 def chain_edges(edges: DataFrame, tol: float | None = None, keys: list[str] | None = None) -> DataFrame:

@@ -50,6 +50,19 @@ def boundary_one_loop(spark, folder):
     return out.select(F.col("case").alias("supplier"), "boundary", "edges", "closed", rounded("length").alias("length"))
 
 
+@plan("box_outline", f"""WITH s AS (SELECT count(*) // {WIDE} AS r, count(*) % {WIDE} AS m FROM embeddings), e AS (SELECT vec_id AS elem, vec_id % {WIDE} AS ex, vec_id // {WIDE} AS ey, r, m FROM embeddings, s)
+SELECT elem, 0 AS side, ex AS seq, true AS closed FROM e WHERE ey = 0
+UNION ALL SELECT elem, 1, {WIDE} + ey, true FROM e WHERE ey < r AND ex = {WIDE - 1}
+UNION ALL SELECT elem, 2, {WIDE} + r + {WIDE - 1} - ex, true FROM e WHERE ey = r - 1 AND ex >= m
+UNION ALL SELECT elem, 1, {2 * WIDE} + r - m, true FROM e WHERE ey = r AND ex = m - 1
+UNION ALL SELECT elem, 2, {2 * WIDE} + r - ex, true FROM e WHERE ey = r
+UNION ALL SELECT elem, 3, {2 * WIDE} + r + CASE WHEN m > 0 THEN 1 + r ELSE r - 1 END - ey, true FROM e WHERE ex = 0""")
+def box_outline(spark, folder):
+    """The outline of the embedding box as one loop, which grows with the table."""
+    b = bd.detect_boundaries(stored(cell_mesh(spark, folder)), 179.0)
+    return b.where("boundary = 'B1'").select("elem", "side", "seq", "closed")
+
+
 @plan("boundary_sides", f"""WITH {BLOCK_EDGE_SQL} SELECT c AS supplier, boundary, count(*) AS edges, false AS closed, count(*) FILTER (side = 0) AS bottom, count(*) FILTER (side = 1) AS right, count(*) FILTER (side = 2) AS top, count(*) FILTER (side = 3) AS left FROM be GROUP BY c, boundary""")
 def boundary_sides(spark, folder):
     b = bd.detect_boundaries(stored(block_mesh(spark, folder)))
