@@ -64,14 +64,14 @@ def roundtrip_f32(spark, folder):
     return _totals(fieldfiles.read_steps_table(spark, f"{out}/emb0.f00000"))
 
 
-def _written(spark, folder, steps, **how):
+def _written(spark, folder, steps, case="emb", **how):
     """Field files of the embedding mesh, values times step + 1, in a fresh folder."""
     out = _scratch(spark, "files")
     spark.createDataFrame([], "x int").write.mode("overwrite").parquet(out)
     mesh = cell_mesh(spark, folder)
     for k in steps:
         step = mesh.select("elem", "gid", "x", "y", F.transform("f", lambda v: v * (k + 1)).alias("f"))
-        fieldfiles.write_field_file(step, out, "emb", k, 0.25 * k, ["f"], **how).collect()
+        fieldfiles.write_field_file(step, out, case, k, 0.25 * k, ["f"], **how).collect()
     return out
 
 
@@ -94,6 +94,20 @@ def roundtrip_parts(spark, folder):
     return _totals(fieldfiles.read_steps_table(spark, f"{out}/emb0.f00000"))
 
 
+@plan("roundtrip_padded", f"WITH {nodes_sql()} " + _BACK.format(step="s", steps="range(2)"))
+def roundtrip_padded(spark, folder):
+    """Part numbers with leading zeros, opened by the file of one part."""
+    out = _written(spark, folder, range(2), elements_per_file=40, part_digits=3)
+    return _totals(fieldfiles.read_steps_table(spark, f"{out}/emb001.f00000"))
+
+
+@plan("roundtrip_digit_case", f"WITH {nodes_sql()} " + _BACK.format(step="s", steps="range(2)"))
+def roundtrip_digit_case(spark, folder):
+    """A case whose name ends in digits, in parts, opened by a glob."""
+    out = _written(spark, folder, range(2), case="run20", elements_per_file=100)
+    return _totals(fieldfiles.read_steps_table(spark, f"{out}/run200.f*"))
+
+
 @plan("metafile_case", f"WITH {nodes_sql()} " + _BACK.format(step="s - 1", steps="[1, 2]"))
 def metafile_case(spark, folder):
     """A case named by a metafile, given as a URI."""

@@ -27,8 +27,9 @@ from quadfield.operators.scans import checkpointed
 HEADER = 132
 ENDIAN_MARK = 6.54321       # fixed value of the format
 META_SUFFIX = ".nek5000"    # fixed value of the format
-STEP_FILE = r"^(.*?)(\d+)\.f(\d{5})$"
+STEP_FILE = r"^(.*)(\d)\.f(\d{5})$"
 BYTES_PER_READ = 1 << 26    # of the chosen arrays, in double precision
+BYTES_PER_FILE = 1 << 27    # of a part written by one task
 
 STEPS = T.StructType([
     T.StructField("case", T.StringType()), T.StructField("step", T.IntegerType()), T.StructField("file", T.StringType()),
@@ -145,7 +146,8 @@ def resolve_case(spark: SparkSession, path: str) -> DataFrame:
     """``(case, file, step)`` for a metafile, a directory with one metafile, a glob, or a step file.
 
     A single step file brings its siblings (same base name and file number); any
-    other existing file is a case of one step.
+    other existing file is a case of one step.  The case is named by the file without its
+    last digit; :func:`read_headers` knows better where part numbers have several digits.
     """
     base = posixpath.basename(path.rstrip("/"))
     if path.endswith(META_SUFFIX):
@@ -167,7 +169,7 @@ def resolve_case(spark: SparkSession, path: str) -> DataFrame:
     m = re.match(STEP_FILE, base)
     if m:
         folder = posixpath.dirname(path) or "."
-        return _number(list_files(spark, folder, f"{m[1]}{m[2]}.f[0-9][0-9][0-9][0-9][0-9]"), m[1])
+        return _number(list_files(spark, folder, f"{m[1]}{m[2]}.f[0-9][0-9][0-9][0-9][0-9]"), m[1])  # the part's number is cut off later
     return _number(list_files(spark, path), base)
 
 
@@ -188,36 +190,92 @@ def _scan_headers(files: DataFrame) -> DataFrame:
     return files.select("case", F.col("step").cast("int").alias("step"), "file").repartition(wide, "file").mapInArrow(scan, STEPS)
 
 
+def part_layouts(name: str, part: int) -> list[tuple[str, int]]:
+    """Ways to read a file name as (name of the case, width of the part number); width 0 is a number without leading zeros.
+
+    ``box012.f00001`` as part 12 is part 12 of ``box0``, or of ``box`` with numbers of three digits; ``run20.f00001`` as part 0
+    can only be a part of ``run2``.
+    """
+    m = re.match(r"^(.*?)(\d+)\.f\d{5}$", name)
+    if not m or not m[2].endswith(str(part)):
+        return []
+    cut = lambda w: m[1] + m[2][: len(m[2]) - w]
+    least = len(str(part))
+    zeros = len(m[2]) - least - len(m[2][: len(m[2]) - least].rstrip("0"))
+    return [(cut(least), 0), *[(cut(least + k), least + k) for k in range(0, zeros + 1)]]
+
+
+def _layouts(listed: DataFrame) -> DataFrame:
+    """(case, file, head, width, tail, files): for every file of a step in parts the layout that its parts really have.
+
+    Each way to read the name gives the names of all parts; the one whose files are there is taken (numbers without zeros
+    first, then narrow ones), or the one with most files.  ``files`` are the parts found, ``absent`` the names of the others.  Works on file metadata only.
+    """
+    spark, c = listed.sparkSession, F.col
+    kind = T.ArrayType(T.StructType([T.StructField("head", T.StringType()), T.StructField("width", T.IntegerType())]))
+
+    @F.udf(kind)
+    def ways(name, part):
+        return part_layouts(name, part)
+
+    folder = F.regexp_extract("file", "^(.*/)[^/]*$", 1)
+    base = F.regexp_extract("file", "([^/]*)$", 1)
+    read = listed.select("case", "file", "parts", folder.alias("folder"), F.regexp_extract("file", "[.]f[0-9]{5}$", 0).alias("tail"), F.explode(ways(base, "part")).alias("w"))
+    read = checkpointed(read.select("case", "file", "parts", "folder", "tail", "w.head", "w.width"))
+    key = ["case", "folder", "head", "width", "tail", "parts"]
+    number = F.when(c("width") > 0, F.lpad(c("k").cast("string"), F.greatest("width", F.length(c("k").cast("string"))), F.lit("0"))).otherwise(c("k").cast("string"))
+    named = read.select(*key).distinct().withColumn("k", F.explode(F.sequence(F.lit(0), c("parts") - 1))).withColumn("file", F.concat("folder", "head", number, "tail"))
+    there = None
+    for r in read.select("folder").distinct().collect():  # folders of one opened case: a handful
+        more = list_files(spark, r.folder, "*.f[0-9][0-9][0-9][0-9][0-9]").select(F.regexp_replace("file", "^file:/+", "file:/").alias("file"))
+        there = more if there is None else there.unionByName(more)
+    plain = F.regexp_replace("file", "^file:/+", "file:/")
+    seen = named.withColumn("plain", plain).join(there.select(c("file").alias("plain"), F.lit(True).alias("there")).distinct(), "plain", "left")
+    base = F.when(c("there").isNull(), F.regexp_extract("file", "([^/]*)$", 1))
+    held = seen.groupBy(*key).agg(F.collect_list(F.when(c("there"), c("file"))).alias("files"), F.concat_ws(", ", F.array_sort(F.collect_list(base))).alias("absent"))
+    rank = F.struct((F.size("files") < c("parts")).alias("a"), (-F.when(F.size("files") < c("parts"), F.size("files")).otherwise(0)).alias("b"), "width", "head")
+    return read.join(held, key).groupBy("case", "file").agg(F.min_by(F.struct("folder", "head", "width", "tail", "files", "absent"), rank).alias("l")).select("case", "file", "l.*")
+
+
 def read_headers(files: DataFrame) -> DataFrame:
     """``steps`` metadata of ``(case, step, file)``: one row per file, all parts of every step.
 
-    Files whose headers name several parts bring the parts that are not listed (same name,
-    other part number) and share one step; ``first_elem`` is the number of elements in the
+    Files whose headers name several parts bring the parts that are not listed and share one step; part numbers may be padded
+    with zeros, and case names may end in digits.  ``first_elem`` is the number of elements in the
     parts before.  Steps are counted in the order of their first files.  Fails where a part
     is missing or the parts do not add up to the step's number of elements.  The windows
     run over file metadata: one row per file of a case.
     """
-    listed = checkpointed(_scan_headers(files))
-    name = F.element_at(F.split("file", "/"), -1)
-    several = F.col("parts") > 1
-    head = F.expr("substring(file, 1, length(file) - length(regexp_extract(file, '[0-9]+[.]f[0-9]{5}$', 0)))")
-    tail = F.regexp_extract("file", "[.]f[0-9]{5}$", 0)
+    listed, c = checkpointed(_scan_headers(files)), F.col
+    several = c("parts") > 1
+    base = F.regexp_extract("file", "([^/]*)$", 1)
     if listed.where(several).isEmpty():
-        found = listed
+        found = listed.withColumns({"_g": c("file"), "absent": F.lit(None).cast("string")})
     else:
-        wanted = listed.where(several).groupBy("case", head.alias("h"), tail.alias("t")).agg(F.min("step").alias("step"), F.max("parts").alias("parts"))
-        wanted = wanted.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("case", "step", F.concat("h", F.col("k").cast("string"), "t").alias("file"))
-        more = _scan_headers(wanted.join(listed.select("case", "file"), ["case", "file"], "left_anti"))
-        found = checkpointed(listed.unionByName(more))
-    group = F.when(several, F.concat(head, tail)).otherwise(F.col("file"))
+        layout = checkpointed(_layouts(listed.where(several)))
+        group = F.concat_ws("/", "folder", "head", c("width").cast("string"), "tail")
+        # a case named by its files takes the name that the layout gives
+        own = c("case") == F.regexp_replace(base, "[0-9][.]f[0-9]{5}$", "")
+        whole = listed.where(several).join(layout, ["case", "file"], "left")
+        whole = whole.withColumns({"_g": F.coalesce(group, c("file")), "_name": F.when(own & c("head").isNotNull(), c("head")).otherwise(c("case"))})
+        known = whole.select("case", "_name", "_g", "step", "files")
+        wanted = known.groupBy("case", "_name", "_g").agg(F.min("step").alias("step"), F.first("files").alias("files")).withColumn("file", F.explode("files"))
+        more = wanted.join(listed.select("case", "file"), ["case", "file"], "left_anti")
+        scanned = checkpointed(_scan_headers(more.select("case", "step", "file")))
+        added = scanned.join(more.select("case", "file", "_name", "_g"), ["case", "file"])
+        columns = [f.name for f in STEPS.fields]
+        parts = whole.select(*columns, "_name", "_g", "absent").unionByName(added.select(*columns, "_name", "_g"), allowMissingColumns=True)
+        single = listed.where(~several).withColumn("_g", c("file"))
+        found = checkpointed(single.unionByName(parts.withColumn("case", c("_name")).drop("_name"), allowMissingColumns=True))
+    name = F.element_at(F.split("file", "/"), -1)
     along = Window.partitionBy("case", "_g").orderBy("part", "file").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy("case", "_g")
-    found = found.withColumn("_g", group).withColumns({
-        "first_elem": F.coalesce(F.sum("nelv").over(along), F.lit(0)), "_held": F.sum("nelv").over(whole), "_files": F.count(F.lit(1)).over(whole), "_first": F.min("step").over(whole),
+    found = found.withColumns({
+        "first_elem": F.coalesce(F.sum("nelv").over(along), F.lit(0)), "_held": F.sum("nelv").over(whole), "_files": F.count(F.lit(1)).over(whole), "_first": F.min("step").over(whole), "_absent": F.max("absent").over(whole),
     })
-    complete = ~several | ((F.col("_held") == F.col("total")) & (F.col("_files") == F.col("parts")))
-    problem = F.concat(name, F.lit(": parts of the step hold "), F.col("_held").cast("string"), F.lit(" of "), F.col("total").cast("string"), F.lit(" elements"))
-    found = found.withColumn("nelv", F.when(complete, F.col("nelv")).otherwise(F.raise_error(problem).cast("long")))
+    complete = ~several | ((c("_held") == c("total")) & (c("_files") == c("parts")))
+    problem = F.concat(name, F.lit(": parts of the step hold "), c("_held").cast("string"), F.lit(" of "), c("total").cast("string"), F.lit(" elements"), F.coalesce(F.concat(F.lit("; not there: "), F.nullif(c("_absent"), F.lit(""))), F.lit("")))
+    found = found.withColumn("nelv", F.when(complete, c("nelv")).otherwise(F.raise_error(problem).cast("long")))
     number = F.dense_rank().over(Window.partitionBy("case").orderBy("_first")) - 1
     return found.withColumn("step", number.cast("int")).select(*[f.name for f in STEPS.fields])
 
@@ -318,13 +376,16 @@ def read_mesh(steps: DataFrame, mesh_file: str | None = None) -> DataFrame:
     return mesh.withColumn("case", F.explode(F.array(*[F.lit(k) for k in names])))
 
 
-def write_field_file(step: DataFrame, folder: str, case: str, number: int, time: float = 0.0, names: list[str] | None = None, elements_per_file: int = 1 << 16) -> DataFrame:
+def write_field_file(
+    step: DataFrame, folder: str, case: str, number: int, time: float = 0.0, names: list[str] | None = None, elements_per_file: int | None = None, part_digits: int = 0, bytes_per_file: int = BYTES_PER_FILE,
+) -> DataFrame:
     """Write one step as single-precision field files with the mesh; returns ``(file, elements)``.
 
     ``step`` has ``elem, x, y`` and fields (``gid`` defaults to ``elem + 1``).  Velocity
     comes first, ``p`` and ``t`` keep their slots, all others become scalars in name
     order.  A large step is written by many tasks, one file of the multi-file layout
-    each; a task holds at most ``elements_per_file`` elements.
+    each; a file holds at most ``bytes_per_file`` (or ``elements_per_file``).  Gaps in ``elem`` leave no empty
+    part: files are counted over the elements that are there.  ``part_digits`` pads part numbers with zeros.
     """
     names = [c for c, t in step.dtypes if t.startswith("array") and c not in ("x", "y")] if names is None else list(names)
     vector = all(k in names for k in ("u", "v"))
@@ -332,11 +393,17 @@ def write_field_file(step: DataFrame, folder: str, case: str, number: int, time:
     scalars = sorted(k for k in names if k not in known and not (vector and k in ("u", "v")))
     code = "X" + ("U" if vector else "") + "".join(k.upper() for k in known) + (f"S{len(scalars):02d}" if scalars else "")
     folder = qualified(step.sparkSession, folder)
-    total, top = step.agg(F.count(F.lit(1)), F.max("elem")).first()
-    files = (top or 0) // elements_per_file + 1
+    total, nodes = step.agg(F.count(F.lit(1)), F.max(F.size("x"))).first()
     blocks = [["x", "y"]] + ([["u", "v"]] if vector else []) + [[k] for k in known + scalars]
+    if elements_per_file is None:
+        elements_per_file = max(1, bytes_per_file // (4 * max(1, nodes or 1) * sum(map(len, blocks))))
     rows = step if "gid" in step.columns else step.withColumn("gid", (F.col("elem") + 1).cast("int"))
-    flat = rows.select(F.floor(F.col("elem") / elements_per_file).alias("fid"), "elem", "gid", "x", "y", *names)
+    flat = rows.select(F.floor(F.col("elem") / elements_per_file).alias("block"), "elem", "gid", "x", "y", *names)
+    # one row per file: blocks that hold elements, numbered without gaps
+    held = checkpointed(flat.groupBy("block").agg(F.count(F.lit(1)).alias("_n")))
+    files = held.count()
+    part = held.select("block", (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("block")) - 1).alias("fid"))
+    flat = flat.join(part, "block").drop("block")
 
     def write(table: pa.Table) -> pa.Table:
         table = table.sort_by("elem")
@@ -345,7 +412,7 @@ def write_field_file(step: DataFrame, folder: str, case: str, number: int, time:
         mats = {k: table.column(k).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(rows_n, -1) for b in blocks for k in b}
         n = int(round(mats["x"].shape[1] ** 0.5))
         head = f"#std 4 {n:2d} {n:2d}  1 {rows_n:10d} {total:10d} {time:20.13E} {0:9d} {fid:6d} {files:6d} {code}"
-        path = posixpath.join(folder, f"{case}{fid}.f{number:05d}")
+        path = posixpath.join(folder, f"{case}{fid:0{part_digits}d}.f{number:05d}" if part_digits else f"{case}{fid}.f{number:05d}")
         system, local = _open(path)
         with system.open_output_stream(local) as out:
             out.write(head.ljust(HEADER)[:HEADER].encode("ascii"))
