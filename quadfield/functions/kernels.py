@@ -14,7 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quadfield import basis
-from quadfield.functions.arrow_lists import map_matrices, side_of, to_list
+from quadfield.functions.arrow_lists import flat, map_matrices, side_of, to_list
 
 _LIST = pa.list_(pa.float64())
 METRIC = ("xr", "xs", "yr", "ys", "jac", "rx", "ry", "sx", "sy")
@@ -243,6 +243,18 @@ def _arc_length(xe: np.ndarray, ye: np.ndarray, fine: int = 8) -> np.ndarray:
     return run[:, cell] + (pos - cell) * (run[:, cell + 1] - run[:, cell])
 
 
+def _frame(cx: np.ndarray, cy: np.ndarray, pick: np.ndarray, flip: np.ndarray, mirrored: np.ndarray) -> dict[str, np.ndarray]:
+    """Nodes, outward normals, weights and arc length along a side of each element."""
+    n = cx.shape[1]
+    d = basis.derivative_matrix(n)
+    xe, ye = _pick_side(cx, pick, flip), _pick_side(cy, pick, flip)
+    tx, ty = xe @ d.T, ye @ d.T
+    speed = np.hypot(tx, ty)
+    # right-hand normal of the direction that has the domain on its left
+    sign = np.where(mirrored & ~flip, -1.0, 1.0)[:, None] / np.maximum(speed, 1e-300)
+    return {"x": xe, "y": ye, "nx": ty * sign, "ny": -tx * sign, "w": speed * basis.weights(n), "s": _arc_length(xe, ye)}
+
+
 def edge_frame(x, y, side, traversal: bool = True) -> Column:
     """Struct ``(x, y, nx, ny, w, s)`` of node arrays along one side of each row's element.
 
@@ -253,16 +265,8 @@ def edge_frame(x, y, side, traversal: bool = True) -> Column:
 
     def make(mx, my, rows, sd):
         cx, cy = _square(mx), _square(my)
-        n = cx.shape[1]
-        d = basis.derivative_matrix(n)
         mirrored = _mirrored(cx, cy)
-        flip = mirrored if traversal else np.zeros(len(cx), dtype=bool)
-        xe, ye = _pick_side(cx, sd[rows], flip), _pick_side(cy, sd[rows], flip)
-        tx, ty = xe @ d.T, ye @ d.T
-        speed = np.hypot(tx, ty)
-        # right-hand normal of the direction that has the domain on its left
-        sign = np.where(mirrored & ~flip, -1.0, 1.0)[:, None] / np.maximum(speed, 1e-300)
-        return _struct({"x": xe, "y": ye, "nx": ty * sign, "ny": -tx * sign, "w": speed * basis.weights(n), "s": _arc_length(xe, ye)})
+        return _struct(_frame(cx, cy, sd[rows], mirrored if traversal else np.zeros(len(cx), dtype=bool), mirrored))
 
     out = pa.struct([(k, _LIST) for k in EDGE_PARTS])
 
@@ -274,6 +278,80 @@ def edge_frame(x, y, side, traversal: bool = True) -> Column:
     return apply(_c(x), _c(y), _c(side))
 
 
+WALL_METRIC = ("rx", "ry", "sx", "sy")
+
+
+def wall_frame(x, y, side) -> Column:
+    """:func:`edge_frame` with what gradients on the side need: the inverse metric ``rx ry sx sy`` there, and ``mirrored``."""
+
+    def make(mx, my, rows, sd):
+        cx, cy = _square(mx), _square(my)
+        d, pick, flip = basis.derivative_matrix(cx.shape[1]), sd[rows], _mirrored(cx, cy)
+        xr, xs, yr, ys = (_pick_side(c, pick, flip) for c in (cx @ d.T, d @ cx, cy @ d.T, d @ cy))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            jac = xr * ys - xs * yr
+            parts = _frame(cx, cy, pick, flip, flip) | {"rx": ys / jac, "ry": -xs / jac, "sx": -yr / jac, "sy": xr / jac}
+        return pa.StructArray.from_arrays([*[to_list(v) for v in parts.values()], pa.array(flip)], names=[*parts, "mirrored"])
+
+    names = (*EDGE_PARTS, *WALL_METRIC)
+    out = pa.struct([*[(k, _LIST) for k in names], ("mirrored", pa.bool_())])
+
+    @F.arrow_udf("struct<" + ",".join(f"{k}:array<double>" for k in names) + ",mirrored:boolean>")
+    def apply(px: pa.Array, py: pa.Array, ps: pa.Array) -> pa.Array:
+        sd = ps.to_numpy(zero_copy_only=False).astype(int)
+        return map_matrices(lambda mx, my, rows: make(mx, my, rows, sd), [px, py], out)
+
+    return apply(_c(x), _c(y), _c(side))
+
+
+def _side_derivatives(cube: np.ndarray, side: np.ndarray, flip: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Reference derivatives along r and s on one side of each element, in traversal order; only the side's nodes are computed."""
+    n = cube.shape[1]
+    d = basis.derivative_matrix(n)
+    out = np.empty((2, len(cube), n))
+    for k in range(4):
+        on = np.flatnonzero(side == k)
+        c, end = cube[on], (0, n - 1, n - 1, 0)[k]
+        along = (c[:, end, :] if k in (0, 2) else c[:, :, end]) @ d.T
+        across = np.einsum("j,rji->ri", d[end], c) if k in (0, 2) else np.einsum("i,rji->rj", d[end], c)
+        pair = (along, across) if k in (0, 2) else (across, along)
+        for p in range(2):
+            out[p, on] = pair[p] if k in (0, 1) else pair[p][:, ::-1]
+    out[:, flip] = out[:, flip, ::-1]
+    return out[0], out[1]
+
+
+def wall_gradients(fields: dict, frame, side) -> Column:
+    """Struct ``(<name>_dx, <name>_dy, ...)`` on a side, in traversal order: all fields in one kernel.
+
+    ``frame`` is a :func:`wall_frame`: the metric is read, not worked out again for every field and step.
+    """
+    names = list(fields)
+    parts = [f"{k}_{d}" for k in names for d in ("dx", "dy")]
+    out = pa.struct([(k, _LIST) for k in parts])
+
+    @F.arrow_udf("struct<" + ",".join(f"{k}:array<double>" for k in parts) + ">")
+    def apply(*cols: pa.Array) -> pa.Array:
+        values, (ps, pm, *metric) = cols[: len(names)], cols[len(names) :]
+        sd, flip = ps.to_numpy(zero_copy_only=False).astype(int), pm.to_numpy(zero_copy_only=False).astype(bool)
+
+        def make(*args):
+            mats, rows = args[:-1], args[-1]
+            take = pa.array(rows)
+            n = side_of(mats[0].shape[1])
+            rx, ry, sx, sy = (flat(m.take(take)).reshape(len(rows), n) for m in metric)
+            got = {}
+            for k, m in zip(names, mats):
+                f_r, f_s = _side_derivatives(_square(m), sd[rows], flip[rows])
+                got |= {f"{k}_dx": f_r * rx + f_s * sx, f"{k}_dy": f_r * ry + f_s * sy}
+            return _struct(got)
+
+        return map_matrices(make, list(values), out)
+
+    frame = _c(frame)
+    return apply(*[_c(fields[k]) for k in names], _c(side), frame.getField("mirrored"), *[frame.getField(k) for k in WALL_METRIC])
+
+
 def edge_gradient(f, x, y, side) -> Column:
     """Struct ``(v, dx, dy)``: a field and its physical gradient along a side, in traversal order."""
 

@@ -10,7 +10,7 @@ import math
 import re
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quadfield.functions import kernels
@@ -69,18 +69,20 @@ def wall_nodes(boundary_edges: DataFrame, mesh: DataFrame, fields: DataFrame, u=
     edges = boundary_edges.select("case", "boundary", "chain", "seq", "pos", "elem", "side", "orient")
     # what only depends on the mesh is computed once for each edge, before it meets the steps
     moving = ["step"] if "step" in mesh.columns else []
-    walls = edges.join(mesh.select("case", *moving, "elem", "x", "y"), ["case", "elem"]).withColumn("_f", kernels.edge_frame("x", "y", "side"))
+    walls = edges.join(mesh.select("case", *moving, "elem", "x", "y"), ["case", "elem"]).withColumn("_f", kernels.wall_frame("x", "y", "side"))
+    if not needed & {"x", "y", "rx", "ry", "sx", "sy"}:
+        walls = walls.drop("x", "y")
     rows = walls.join(fields.select("case", "elem", *extra, *stored), ["case", *moving, "elem"])
     if needed & {"rx", "ry", "sx", "sy"}:
         rows = with_metric(rows)
     head = ["case", "boundary", *extra, "chain", "seq", "pos", "elem", "side"]
     vectors = ["u", "v"] + (["w"] if w is not None else [])
     scalars = ["p", "rho", "mu"]
-    kernel_cols = [c("_f")] + [kernels.edge_gradient(specs[k].array_column(), "x", "y", "side").alias(f"_g{k}") for k in vectors]
+    gradients = kernels.wall_gradients({k: specs[k].array_column() for k in vectors}, "_f", "side").alias("_g")
     varying = [k for k in scalars if not isinstance(specs[k], Constant)]
-    rows = rows.select(*head, *kernel_cols, *[side_values(specs[k].array_column(), "side", c("orient")).alias(f"_{k}") for k in varying])
+    rows = rows.select(*head, c("_f"), gradients, *[side_values(specs[k].array_column(), "side", c("orient")).alias(f"_{k}") for k in varying])
     arrays = [c(f"_f.{k}").alias(k) for k in kernels.EDGE_PARTS]
-    arrays += [c(f"_g{k}.{d}").alias(f"{k}_{d}") for k in vectors for d in ("dx", "dy")] + [c(f"_{k}").alias(k) for k in varying]
+    arrays += [c(f"_g.{k}_{d}").alias(f"{k}_{d}") for k in vectors for d in ("dx", "dy")] + [c(f"_{k}").alias(k) for k in varying]
     names = list(kernels.EDGE_PARTS) + [f"{k}_{d}" for k in vectors for d in ("dx", "dy")] + varying
     z = rows.select(*head, F.posexplode(F.arrays_zip(*arrays)).alias("node", "_z")).select(*head, "node", *[c(f"_z.{k}").alias(k) for k in names])
     for k in scalars:
@@ -131,6 +133,28 @@ def force_totals(parts: DataFrame, name: str = "total") -> DataFrame:
     return parts.groupBy(*keys).agg(F.lit(name).alias("boundary"), *[F.sum(k).alias(k) for k in add], F.min_by("rho_ref", order).alias("rho_ref"), F.min_by("q", order).alias("q"))
 
 
+def forces_with_total(nodes: DataFrame, U_ref: float = 1.0, rho_ref: float | None = None, name: str = "total") -> DataFrame:
+    """Rows of :func:`integrate` and of :func:`force_totals` from one aggregation over grouping sets.
+
+    Each (case, step) has a row per boundary and one for all of them; the latter has the reference values of the first boundary, read from
+    the few rows of its step.  A total is there for a single boundary too.
+    """
+    if rho_ref is not None and not 0.5 * float(rho_ref) * float(U_ref) ** 2 > 0:
+        raise ValueError("rho_ref and U_ref give a dynamic pressure that is not above zero")
+    c = F.col
+    add = [k for k in ("fpx", "fpy", "fvx", "fvy", "fvz") if k in nodes.columns]
+    keys = ["case", *[k for k in ("step", "time") if k in nodes.columns]]
+    every, group = [c(k) for k in keys], c("boundary")
+    sums = nodes.groupingSets([[*every, group], every], *every, group).agg(
+        F.grouping("boundary").alias("_all"), F.sum("w").alias("length"), *[F.sum(c("w") * c(k)).alias(k) for k in add], F.sum(c("w") * c("rho")).alias("_rho"),
+    )
+    own = c("_rho") / c("length") if rho_ref is None else F.lit(float(rho_ref))
+    first = Window.partitionBy(*keys).orderBy("_all", F.length("boundary"), "boundary")
+    out = sums.withColumn("rho_ref", F.first(own).over(first.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    out = out.withColumn("rho_ref", F.when(c("_all") == 1, c("rho_ref")).otherwise(own)).withColumn("q", _pressure_scale(c("rho_ref"), U_ref))
+    return out.select(*keys, F.when(c("_all") == 1, F.lit(name)).otherwise(group).alias("boundary"), "length", *add, "rho_ref", "q")
+
+
 def force_axes(parts: DataFrame, axes=None, L_ref: float = 1.0) -> DataFrame:
     """One row per projection axis: direction, pressure, viscous, total and coefficient."""
     if not L_ref > 0:

@@ -80,6 +80,15 @@ def force_total(spark, folder):
     return f.select(F.col("case").alias("supplier"), "step", rounded("length").alias("length"), *[rounded(k, 4).alias(k) for k in ("fpx", "fpy", "fvx", "fvy")], rounded("q", 5).alias("q"))
 
 
+@plan("force_rollup", _BLOCK_FORCE + """ SELECT c AS supplier, step, boundary, round(length, 6) AS length, round(fpx, 4) + 0.0 AS fpx, round(fpy, 4) + 0.0 AS fpy, round(fvx, 4) + 0.0 AS fvx, round(fvy, 4) + 0.0 AS fvy, round(rho, 6) AS rho_ref, round(q, 5) AS q FROM q
+UNION ALL SELECT c, step, 'total', round(sum(length), 6), round(sum(fpx), 4) + 0.0, round(sum(fpy), 4) + 0.0, round(sum(fvx), 4) + 0.0, round(sum(fvy), 4) + 0.0, round(max(CASE WHEN boundary = 'B1' THEN rho END), 6), round(max(CASE WHEN boundary = 'B1' THEN q END), 5) FROM q GROUP BY c, step""")
+def force_rollup(spark, folder):
+    """Every boundary and the total of each step from one pass over the wall nodes."""
+    mesh, walls = _block_walls(spark, folder)
+    f = fc.forces_with_total(fc.wall_nodes(walls, mesh, block_flow(spark, folder, mesh), rho="dens", mu=MU), U_ref=3.0)
+    return f.select(F.col("case").alias("supplier"), "step", "boundary", rounded("length").alias("length"), *[rounded(k, 4).alias(k) for k in ("fpx", "fpy", "fvx", "fvy")], rounded("rho_ref").alias("rho_ref"), rounded("q", 5).alias("q"))
+
+
 @plan("force_table", _BLOCK_FORCE + """, p AS (SELECT c, step, boundary, length, fpx, fpy, fvx, fvy, fvz, q FROM q UNION ALL
 SELECT c, step, 'total', sum(length), sum(fpx), sum(fpy), sum(fvx), sum(fvy), sum(fvz), max(CASE WHEN boundary = 'B1' THEN q END) FROM q GROUP BY c, step),
 t AS (SELECT *, 'x' AS axis, 1.0 AS dir_x, 0.0 AS dir_y, fpx AS p, fvx AS v FROM p UNION ALL SELECT *, 'y', 0.0, 1.0, fpy, fvy FROM p UNION ALL SELECT *, 'z', 0.0, 0.0, 0.0, fvz FROM p)
