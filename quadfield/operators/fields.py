@@ -143,14 +143,20 @@ def _finite(name: str) -> Column:
     return F.filter(name, lambda v: ieee.is_finite(v))
 
 
+def finite_ends(name: str) -> tuple[Column, Column]:
+    """Smallest and largest finite value of an element's array; NULL if there is none."""
+    # one bad node is rare: the filtered array is only built for elements that need it
+    clean = F.when(F.exists(name, lambda v: ~ieee.is_finite(v)), _finite(name)).otherwise(F.col(name))
+    return F.array_min(clean), F.array_max(clean)
+
+
 def field_range(df: DataFrame, names: list[str]) -> DataFrame:
     """Finite minimum and maximum per field and (case, step); (0, 1) when nothing is finite."""
     keys = keys_of(df)
-    # one bad node is rare: the filtered array is only built for elements that need it
     per = []
     for c in names:
-        clean = F.when(F.exists(c, lambda v: ~ieee.is_finite(v)), _finite(c)).otherwise(F.col(c))
-        per += [F.array_min(clean).alias(f"_lo_{c}"), F.array_max(clean).alias(f"_hi_{c}")]
+        lo, hi = finite_ends(c)
+        per += [lo.alias(f"_lo_{c}"), hi.alias(f"_hi_{c}")]
     wide = df.select(*keys, *per).groupBy(*keys).agg(*[f(F.col(f"{p}{c}")).alias(f"{p}{c}") for c in names for f, p in ((F.min, "_lo_"), (F.max, "_hi_"))])
     rows = F.array(*[F.struct(F.lit(c).alias("field"), F.coalesce(F.col(f"_lo_{c}"), F.lit(0.0)).alias("lo"), F.coalesce(F.col(f"_hi_{c}"), F.lit(1.0)).alias("hi")) for c in names])
     return wide.select(*keys, F.inline(rows))

@@ -141,6 +141,17 @@ def stored_case(spark, folder):
     return back.groupBy(F.col("step").cast("long").alias("step")).agg(rounded(F.min(F.array_min("f")), 4).alias("lo"), rounded(F.max(F.array_max("f")), 4).alias("hi"))
 
 
+@plan("series_ranges_stored", f"WITH {STEPS_SQL}, {nodes_sql()}, s AS (SELECT step, (SELECT count(*) FROM embeddings) AS nelv, min(f * scale) AS lo, max(f * scale) AS hi, min(f) AS lo2, max(f) AS hi2 FROM nd, st GROUP BY step) SELECT step, step * 0.5 AS time, nelv, 'f' AS field, round(lo, 4) + 0.0 AS lo, round(hi, 4) + 0.0 AS hi FROM s UNION ALL SELECT step, step * 0.5, nelv, 'g', round(-hi2, 4) + 0.0, round(-lo2, 4) + 0.0 FROM s")
+def series_ranges_stored(spark, folder):
+    """Times and ranges of every step of a stored case, answered from the table written beside it."""
+    out = _scratch(spark, "case")
+    data = each_day(cell_mesh(spark, folder).select("case", "elem", "f"), day_steps(spark, folder), "elem")
+    data = data.select("case", "step", "time", "elem", F.zip_with("f", F.array_repeat("scale", F.size("f")), lambda v, s: v * s).alias("f"), F.transform("f", lambda v: -v).alias("g"))
+    cases.write_case(data, out, float32=True, ranges=True)
+    r = cases.series_ranges(spark, out)
+    return r.select(F.col("step").cast("long").alias("step"), "time", "nelv", "field", rounded("lo", 4).alias("lo"), rounded("hi", 4).alias("hi"))
+
+
 @plan("case_summary", f"WITH {STEPS_SQL}, {nodes_sql(True)} SELECT count(DISTINCT elem) AS nelv, 7 AS \"order\", (SELECT count(*) FROM st) AS steps, round(min(x), 6) + 0.0 AS xmin, round(max(x), 6) AS xmax, round(min(y), 6) + 0.0 AS ymin, round(max(y), 6) AS ymax FROM nd")
 def case_summary(spark, folder):
     mesh = cell_mesh(spark, folder, WAVE)

@@ -6,11 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadfield.operators.clustering import clustered
-from quadfield.operators.fields import domain_bounds, field_range
+from quadfield.operators.fields import domain_bounds, field_range, finite_ends
 from quadfield.operators.layout import KEYS, field_names, visible, with_bbox, with_metric
 
 #: target size of a Parquet row group of a stored mesh
 GROUP_BYTES = 8 << 20
+#: columns of the finite ends of an element's field, and the folder of a step's ranges beside the data (readers of the data skip it)
+ENDS = ("_lo_", "_hi_")
+RANGES = "_ranges"
 
 
 def ordered_columns(df: DataFrame) -> list[str]:
@@ -21,11 +24,41 @@ def ordered_columns(df: DataFrame) -> list[str]:
     return rest + lead + [k for k in names if k not in lead]
 
 
-def write_case(df: DataFrame, path: str, float32: bool = False, mode: str = "overwrite") -> None:
-    """Element rows to Parquet, partitioned by case and step so that a step is one folder."""
-    cols = [F.col(c).cast("array<float>").alias(c) if float32 and t == "array<double>" else F.col(c) for c, t in ((c, dict(df.dtypes)[c]) for c in ordered_columns(df))]
+def write_case(df: DataFrame, path: str, float32: bool = False, mode: str = "overwrite", ranges: bool = False) -> None:
+    """Element rows to Parquet, partitioned by case and step so that a step is one folder.
+
+    ``ranges`` stores with each element the finite ends of its fields, and beside the data a small table of every step's ranges,
+    made from these ends without reading an array again.
+    """
+    kinds, names = dict(df.dtypes), field_names(df)
+    cols = [F.col(c).cast("array<float>").alias(c) if float32 and kinds[c] == "array<double>" else F.col(c) for c in ordered_columns(df)]
     parts = [k for k in ("case", "step") if k in df.columns]
-    df.select(*cols).write.mode(mode).partitionBy(*parts).parquet(path)
+    rows = df.select(*cols)
+    if ranges:
+        rows = rows.withColumns({f"{end}{k}": f for k in names if kinds[k].startswith("array") for end, f in zip(ENDS, finite_ends(k))})
+    rows.write.mode(mode).partitionBy(*parts).parquet(path)
+    if ranges:
+        write_ranges(df.sparkSession, path)
+
+
+def write_ranges(spark: SparkSession, path: str) -> None:
+    """(Re)writes the table of ranges of a case that was written with ``ranges``; reads narrow columns only."""
+    df, c = spark.read.parquet(path), F.col
+    names = [k.removeprefix(ENDS[0]) for k in df.columns if k.startswith(ENDS[0])]
+    keys = [k for k in ("case", "step") if k in df.columns]
+    when = [F.min("time").alias("time")] if "time" in df.columns else []
+    sums = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("nelv"), *when, *[f(f"{end}{k}").alias(f"{end}{k}") for k in names for f, end in zip((F.min, F.max), ENDS)])
+    fields = F.array(*[F.struct(F.lit(k).alias("field"), c(f"{ENDS[0]}{k}").cast("double").alias("lo"), c(f"{ENDS[1]}{k}").cast("double").alias("hi")) for k in names])
+    sums.select(*keys, "nelv", *(["time"] if when else []), F.inline(fields)).write.mode("overwrite").parquet(f"{path.rstrip('/')}/{RANGES}")
+
+
+def series_ranges(spark: SparkSession, path: str) -> DataFrame:
+    """(case, step, [time], nelv, field, lo, hi) of a stored case, without a scan of its fields; (0, 1) where nothing is finite.
+
+    Needs a case that was written with ``ranges``.
+    """
+    found = spark.read.parquet(f"{path.rstrip('/')}/{RANGES}")
+    return found.withColumns({"lo": F.coalesce("lo", F.lit(0.0)), "hi": F.coalesce("hi", F.lit(1.0))})
 
 
 def write_mesh(mesh: DataFrame, path: str, mode: str = "overwrite", group_bytes: int = GROUP_BYTES, partitions: int | None = None) -> None:
@@ -60,6 +93,7 @@ def window_of(spark: SparkSession, path: str, across: tuple[float, float], up: t
 
 def read_case(spark: SparkSession, path: str, float64: bool = True) -> DataFrame:
     df = spark.read.parquet(path)
+    df = df.drop(*[k for k in df.columns if k.startswith(ENDS)])
     if not float64:
         return df
     return df.select(*[F.col(c).cast("array<double>").alias(c) if t == "array<float>" else F.col(c) for c, t in df.dtypes])
