@@ -180,25 +180,29 @@ class Memory:
         self.rows: dict[str, int] = {}
         self.table = np.zeros((1 << 12, p.shape[1]))
 
-    def total(self, words: list[str]) -> np.ndarray:
-        rows = self.rows
-        new = [w for w in dict.fromkeys(words) if w not in rows]
-        more = likelihoods(new, self.known, self.p) if new else None
-        if new and len(rows) + len(new) <= _WORDS:
-            first = len(rows)
-            while first + len(new) > len(self.table):
+    def totals(self, texts: list[list[str]]) -> np.ndarray:
+        """Sums over the words of each text (none of them empty); new words of all texts share their lattices."""
+        rows, every = self.rows, [w for words in texts for w in words]
+        new = [w for w in dict.fromkeys(every) if w not in rows]
+        first, extra = len(rows), {}
+        if new:
+            more, room = likelihoods(new, self.known, self.p), max(0, _WORDS - first)
+            while first + min(room, len(new)) > len(self.table):
                 self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-            self.table[first : first + len(new)] = more
-            rows.update(zip(new, range(first, first + len(new))))
-            new = []
-        if not new:
-            return self.table[np.fromiter(map(rows.__getitem__, words), np.int64, len(words))].sum(axis=0)
-        extra = dict(zip(new, range(len(new))))
-        held = self.table[[rows[w] for w in words if w in rows]].sum(axis=0)
-        return held + more[[extra[w] for w in words if w in extra]].sum(axis=0)
+            self.table[first : first + len(new[:room])] = more[:room]
+            rows.update(zip(new[:room], range(first, first + room)))
+            extra = dict(zip(new[room:], range(len(rows), len(rows) + len(new))))
+        if extra:
+            table = np.concatenate([self.table[: len(rows)], more[room:]])
+            at = np.fromiter((rows[w] if w in rows else extra[w] for w in every), np.int64, len(every))
+        else:
+            table, at = self.table, np.fromiter(map(rows.__getitem__, every), np.int64, len(every))
+        sizes = np.array([len(words) for words in texts])
+        return np.add.reduceat(table[at], np.cumsum(sizes) - sizes, axis=0)
 
 
 _WORDS = 1 << 18
+_STEP = 1 << 18  # words looked up together
 _KEPT: dict = {}
 
 
@@ -218,18 +222,30 @@ def predict(docs: DataFrame, fitted: tuple[list[str], np.ndarray], vocabulary: s
     def run(batches):
         memory = _memory(vocabulary, p)
         for b in batches:
-            pred, score = [], []
-            for text in b.column(1).to_pylist():
-                words = words_of(text)
-                if not words or not langs:
-                    pred.append("und")
-                    score.append(0.0)
-                    continue
-                total = memory.total(words)
-                post = np.exp(total - total.max())
-                pred.append(langs[int(total.argmax())])
-                score.append(float(post.max() / post.sum()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "lang_pred", "score"])
+            pred, score = ["und"] * b.num_rows, np.zeros(b.num_rows)
+            held, at, size = [], [], 0
+
+            def settle():
+                total = memory.totals(held)
+                post = np.exp(total - total.max(axis=1, keepdims=True))
+                score[at] = post.max(axis=1) / post.sum(axis=1)
+                for k, best in zip(at, total.argmax(axis=1)):
+                    pred[k] = langs[int(best)]
+                held.clear()
+                at.clear()
+
+            for k, text in enumerate(b.column(1)):
+                words = words_of(text.as_py()) if langs else []
+                if words:
+                    held.append(words)
+                    at.append(k)
+                    size += len(words)
+                if size >= _STEP:
+                    settle()
+                    size = 0
+            if held:
+                settle()
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pred, pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
 
