@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from quadfield import basis
 from quadfield.functions import kernels
 from quadfield.operators import locate
 from quadfield.operators.fields import field_range
+from quadfield.operators.scans import shared_folder
 from quadfield.plans.registry import plan, rounded
 from quadfield.plans.tables import (
     CASE, HEIGHT_SQL, HX, HY, N, POINT_KEYS, STEPS_SQL, WAVE, WIDE, cell_mesh, day_steps, each_day, height, points_sql, probe_points, table,
 )
+from quadfield.sources import cases
 from quadfield.sources.generators import analytic_field
 
 KEYS = POINT_KEYS
+BUCKETS = 16
 
 
 def poly_mesh(spark, folder, wave: float = 0.0):
@@ -115,6 +120,16 @@ def point_series(spark, folder):
     return out.groupBy("step", "flag").agg(F.count("elem").alias("points"), rounded(F.avg("q"), 5).alias("mean_q"))
 
 
+@plan("point_series_stored", f"WITH {points_sql()}, {STEPS_SQL} SELECT step, flag, count(*) AS points, round(avg((x * x + 3 * y) * scale), 5) AS mean_q FROM pt, st GROUP BY step, flag")
+def point_series_stored(spark, folder):
+    """Steps stored in buckets by element: located points go to the buckets, the steps' arrays stay where they are."""
+    mesh = poly_mesh(spark, folder)
+    name = f"steps_{uuid.uuid4().hex}"
+    fields = cases.write_by_element(_stepped(spark, folder, mesh, "q"), name, f"{shared_folder(spark)}/{name}", BUCKETS)
+    out = locate.sample(probe_points(spark, folder), mesh, fields, ["q"], [*KEYS, "flag"])
+    return out.groupBy("step", "flag").agg(F.count("elem").alias("points"), rounded(F.avg("q"), 5).alias("mean_q"))
+
+
 @plan("point_series_outside", f"""WITH {points_sql(-0.5, 3.0)}, {STEPS_SQL} SELECT step, flag, count(*) AS points, count(*) FILTER (WHERE x BETWEEN 0 AND 2) AS inside,
 round(avg(CASE WHEN x BETWEEN 0 AND 2 THEN (x * x + 3 * y) * scale END), 5) AS mean_q FROM pt, st GROUP BY step, flag""")
 def point_series_outside(spark, folder):

@@ -41,6 +41,18 @@ def write_case(df: DataFrame, path: str, float32: bool = False, mode: str = "ove
         write_ranges(df.sparkSession, path)
 
 
+def write_by_element(df: DataFrame, name: str, path: str, buckets: int, mode: str = "overwrite") -> DataFrame:
+    """Element rows as a table ``name`` (data in ``path``) in buckets by (case, elem), each sorted by them; returns the table.
+
+    All steps of an element are in one bucket: mesh, fields and located points that are bucketed alike meet without a shuffle, and
+    anything else is shuffled to the buckets, never the stored arrays.  ``buckets`` should be a multiple of the cores, with files of
+    some hundred megabytes.  Written through one shuffle, so a bucket is one file.
+    """
+    spread = df.select(*[F.col(c) for c in ordered_columns(df)]).repartition(buckets, "case", "elem")
+    spread.write.mode(mode).option("path", path).bucketBy(buckets, "case", "elem").sortBy("case", "elem").saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
 def write_ranges(spark: SparkSession, path: str) -> None:
     """(Re)writes the table of ranges of a case that was written with ``ranges``; reads narrow columns only."""
     df, c = spark.read.parquet(path), F.col
