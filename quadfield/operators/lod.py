@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quadfield import basis
 from quadfield.functions import kernels
+from quadfield.functions.arrow_lists import row_groups
 from quadfield.operators.boundary import side_values
 from quadfield.operators.layout import keys_of, visible, with_bbox
 
 #: power-of-two levels of an interactive view (fixed values)
 LEVELS = (2, 4, 8, 16, 32, 64)
+#: size of the vertex batches that leave a task's kernel
+BATCH_BYTES = 8 << 20
 
 
 def _extent(sx: float, sy: float) -> Column:
@@ -42,12 +48,37 @@ def lod_elements(df: DataFrame, xlim, ylim, level: Column) -> DataFrame:
     return visible(out, xlim, ylim).withColumn("m", level)
 
 
-def lod_vertices(elements: DataFrame, names: list[str]) -> DataFrame:
-    """Vertex table ``(case, [step], elem, m, a, x, y, values)`` on ``(m + 1)^2`` points per element."""
+def lod_vertices(elements: DataFrame, names: list[str], batch_bytes: int = BATCH_BYTES) -> DataFrame:
+    """Vertex table ``(case, [step], elem, m, a, x, y, values)`` on ``(m + 1)^2`` points per element.
+
+    An element at a high level is hundreds of times its stored size, so vertices leave the kernel in batches of about
+    ``batch_bytes`` (one element at least), whatever the levels: no row ever holds an oversampled array.
+    """
     keys = keys_of(elements, ("case", "step", "elem"))
     cols = ["x", "y", *[k for k in names if k not in ("x", "y")]]
-    fine = elements.select(*keys, "m", *[kernels.resample_levels(k, F.col("m") + 1).alias(k) for k in cols])
-    return fine.select(*keys, "m", F.posexplode(F.arrays_zip(*cols)).alias("a", "_v")).select(*keys, "m", "a", *[F.col(f"_v.{k}").alias(k) for k in cols])
+    source = elements.where("m is not null").select(*keys, "m", *cols)
+    kinds = {f.name: f.dataType for f in source.schema.fields}
+    schema = T.StructType([T.StructField(k, kinds[k]) for k in [*keys, "m"]] + [T.StructField("a", T.IntegerType())] + [T.StructField(k, T.DoubleType()) for k in cols])
+
+    def run(batches):
+        for b in batches:
+            col = {name: b.column(k) for k, name in enumerate(b.schema.names)}
+            levels = col["m"].to_numpy(zero_copy_only=False)
+            for rows, mats in row_groups([col[k] for k in cols]):
+                rows = np.arange(b.num_rows) if rows is None else rows
+                n = int(round(mats[0].shape[1] ** 0.5))
+                for m in np.unique(levels[rows]).tolist():
+                    own = np.flatnonzero(levels[rows] == m)
+                    size, fine = (m + 1) ** 2, basis.resample_matrix(n, m + 1, "uniform")
+                    per = max(1, batch_bytes // (8 * (len(keys) + 2 + len(cols)) * size))
+                    for at in range(0, len(own), per):
+                        part = own[at : at + per]
+                        take = pa.array(np.repeat(rows[part], size))
+                        values = [pa.array((fine @ mat[part].reshape(-1, n, n) @ fine.T).ravel()) for mat in mats]
+                        place = pa.array(np.tile(np.arange(size, dtype=np.int32), len(part)))
+                        yield pa.RecordBatch.from_arrays([*[col[k].take(take) for k in [*keys, "m"]], place, *values], names=[*keys, "m", "a", *cols])
+
+    return source.mapInArrow(run, schema)
 
 
 def lod_triangles(elements: DataFrame) -> DataFrame:

@@ -10,22 +10,27 @@ from quadfield.operators import lod
 from quadfield.operators.layout import visible, with_bbox
 from quadfield.operators.scans import shared_folder
 from quadfield.plans.registry import plan, rounded
-from quadfield.plans.tables import WAVE, cell_mesh, nodes_sql
+from quadfield.plans.tables import HEIGHT_SQL, WAVE, cell_mesh, height, nodes_sql
 from quadfield.sources import cases
 from quadfield.sources.generators import analytic_field
 
-XLIM, YLIM = (0.413, 1.307), (0.213, 0.777)
+#: the window: data units across, shares of the box's height up, so that it grows with the box
+XLIM, YSHARE = (0.413, 1.307), (0.21321, 0.77731)
 SCALE = (310.0, 190.0)
 
 _BOX = f"WITH {nodes_sql(True)}, b AS (SELECT elem, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM nd GROUP BY elem)"
-_SEEN = f"x1 >= {XLIM[0]} AND x0 <= {XLIM[1]} AND y1 >= {YLIM[0]} AND y0 <= {YLIM[1]}"
+_SEEN = f"x1 >= {XLIM[0]} AND x0 <= {XLIM[1]} AND y1 >= {YSHARE[0]} * {HEIGHT_SQL} AND y0 <= {YSHARE[1]} * {HEIGHT_SQL}"
 _LEVEL = f"least(64, greatest(2, ceil(greatest((x1 - x0) * {SCALE[0]}, (y1 - y0) * {SCALE[1]}) / 3)))::INT"
 _POWER = "(list_value(2, 4, 8, 16, 32, 64))[(least(5, greatest(0, ceil(log2(greatest(greatest(x1 - x0, y1 - y0) * 900 / 6.0, 1))) - 1)) + 1)::INT]"
 
 
+def _up(spark, folder):
+    return tuple(height(spark, folder) * s for s in YSHARE)
+
+
 @plan("visible_elements", f"{_BOX} SELECT elem FROM b WHERE {_SEEN}")
 def visible_elements(spark, folder):
-    return visible(with_bbox(cell_mesh(spark, folder, WAVE)), XLIM, YLIM).select("elem")
+    return visible(with_bbox(cell_mesh(spark, folder, WAVE)), XLIM, _up(spark, folder)).select("elem")
 
 
 ACROSS, UP = (0.3137, 0.6241), (0.4113, 0.5527)
@@ -50,7 +55,7 @@ def lod_level(spark, folder):
 def _view(spark, folder):
     # polynomial data on the straight box, so that every vertex has a closed form
     mesh = analytic_field(cell_mesh(spark, folder), "q", lambda x, y: x * x * y + 3 * y)
-    return lod.lod_elements(mesh, XLIM, YLIM, lod.lod_level(SCALE))
+    return lod.lod_elements(mesh, XLIM, _up(spark, folder), lod.lod_level(SCALE))
 
 
 _FLAT = f"WITH {nodes_sql()}, b AS (SELECT elem, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM nd GROUP BY elem), s AS (SELECT *, {_LEVEL} AS m FROM b WHERE {_SEEN})"
