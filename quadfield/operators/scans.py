@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -32,18 +33,57 @@ def checkpointed(df: DataFrame) -> DataFrame:
     Survives lost executors and cuts the lineage; unlike an in-memory copy the table
     has an exact size, so Spark broadcasts it in later joins only if it is small.  The
     folder is the one the cluster names in ``spark.checkpoint.dir``; only a local session
-    without one gets a temporary folder.
+    without one gets a temporary folder.  Tables stay until :func:`release` or the end of a :func:`scratch` block.
     """
     path = f"{shared_folder(df.sparkSession)}/quadfield-{uuid.uuid4().hex}"
+    _tables(df.sparkSession).append(path)  # noted first: a write that fails leaves files too
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_TABLES: dict[str, list[str]] = {}
+
+
+def _tables(spark: SparkSession) -> list[str]:
+    """Intermediate tables of the application that are still there, oldest first."""
+    return _TABLES.setdefault(spark.sparkContext.applicationId, [])
+
+
+def release(spark: SparkSession, after: int = 0) -> int:
+    """Removes the intermediate tables written since there were ``after`` of them; returns how many.
+
+    Call it when the results that read them have been written or collected: a DataFrame built on a removed table can't run again.
+    """
+    held, removed = _tables(spark), 0
+    while len(held) > after:
+        path = held.pop()
+        there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
+        removed += 1
+    return removed
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Intermediate tables made inside the block are removed at its end, also after an error; blocks may be nested.
+
+    Write or collect what is wanted of them before the block ends::
+
+        with scratch(spark):
+            detect_boundaries(mesh).write.parquet(path)
+    """
+    before = len(_tables(spark))
+    try:
+        yield
+    finally:
+        release(spark, before)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder for intermediate tables that every executor can reach."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
         folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", folder)
