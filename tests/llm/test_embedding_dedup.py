@@ -51,7 +51,7 @@ def around(rng, center, count, noise):
     return [(center + noise * rng.standard_normal(len(center)) / math.sqrt(len(center))).tolist() for _ in range(count)]
 
 
-SMALL = {"window": 128, "piece": 256, "most": 4}
+SMALL = {"window": 128, "piece": 256, "most": 4, "passes": 2}
 
 
 def test_groups_of_all_sizes(spark):
@@ -126,14 +126,14 @@ def test_odd_rows(spark):
         (10, [1e-300 * x for x in e], 0), (11, [1e300 * x for x in e], 0), (12, [*e, 0.0], 0), (13, [*e, 0.0], 0), (8, e, 0), (None, e, 0), (None, [0.0, 1.0], 5), (None, None, None), (-3, [0.0, 2.0], 6), (14, [-1.0, -2.0, -2.0], 0),
         (15, [3.0], 7), (16, [4.0], 7), (17, [-4.0], 7),
     ]
-    assert result(spark, rows) == brute(rows)
+    assert result(spark, rows, passes=2) == brute(rows)
 
 
 def test_threshold(spark):
     """A pair with a cosine of exactly 0.93 links, one just below it doesn't."""
     s = math.sqrt(1 - 0.93**2)
     rows = [(1, [1.0, 0.0], 0), (2, [0.93 + 1e-12, s], 0), (3, [1.0, 0.0], 1), (4, [0.93 - 1e-9, s], 1), (5, [100.0, 0.0, 0.0, 0.0, 0.0], 2), (6, [93.0, 36.0, 7.0, 2.0, math.sqrt(2.0)], 2)]
-    got = {r[0]: r[1] for r in result(spark, rows)}
+    got = {r[0]: r[1] for r in result(spark, rows, passes=1)}
     assert got[1] == got[2] == 1 and got[3] == got[4] == 0
 
 
@@ -148,7 +148,7 @@ def test_same_vector_many_times(spark):
 @pytest.mark.parametrize("n", [0, 1])
 def test_few_rows(spark, n):
     rows = [(7, [1.0, 2.0], 3)][:n]
-    assert result(spark, rows) == brute(rows)
+    assert result(spark, rows, passes=2) == brute(rows)
 
 
 def test_recall_on_the_tables(spark):
