@@ -7,7 +7,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no tables")
 
 #: analyses that finish quickly; compare.py covers all of them
 QUICK = ["box_nodes", "calc_ieee_edge", "grad_phys", "modal_decay", "probe_mean", "probe_outside", "point_series", "line_crossings", "boundary_edges", "force_total", "step_nearest", "roundtrip_f32", "surface_triangles",
-         "roundtrip_parts", "metafile_case", "directory_case", "probe_repeats", "point_series_outside", "select_fields", "calc_unary", "mesh_maps", "saved_sets"]
+         "roundtrip_parts", "metafile_case", "directory_case", "probe_repeats", "point_series_outside", "select_fields", "calc_unary", "mesh_maps", "saved_sets", "visible_stored", "roundtrip_padded", "series_ranges_stored", "force_rollup"]
 
 
 @pytest.mark.parametrize("name", QUICK)
