@@ -9,7 +9,7 @@ from quadfield.functions import expressions as ex
 from quadfield.functions import ieee, kernels
 from quadfield.operators import fields, layout, resampling
 from quadfield.plans.registry import plan, rounded
-from quadfield.plans.tables import BLOCK_SQL, BOX_X, BOX_Y, N, N_BOX, WAVE, block_mesh, cell_mesh, nodes_sql, table, values
+from quadfield.plans.tables import BLOCK_SQL, BOX_X, BOX_Y, HEIGHT_SQL, N, N_BOX, WAVE, block_mesh, cell_mesh, height, nodes_sql, table, values
 from quadfield.sources import generators
 
 D = values("d", basis.derivative_matrix(N))
@@ -56,10 +56,15 @@ def elem_corners(spark, folder):
     return c.select("elem", *[rounded(f"{k}{q}").alias(f"{k}{q}") for q in range(4) for k in ("x", "y")])
 
 
-@plan("nodes_in_window", f"WITH {nodes_sql(True)} SELECT elem, count(*) AS nodes, round(sum(f), 6) + 0.0 AS total FROM nd WHERE x BETWEEN 0.31 AND 1.27 AND y BETWEEN 0.22 AND 0.71 GROUP BY elem")
+def _up(spark, folder, *shares):
+    """Ends of a window that grows with the box."""
+    return tuple(height(spark, folder) * s for s in shares)
+
+
+@plan("nodes_in_window", f"WITH {nodes_sql(True)} SELECT elem, count(*) AS nodes, round(sum(f), 6) + 0.0 AS total FROM nd WHERE x BETWEEN 0.31 AND 1.27 AND y BETWEEN 0.22131 * {HEIGHT_SQL} AND 0.71317 * {HEIGHT_SQL} GROUP BY elem")
 def nodes_in_window(spark, folder):
     nd = layout.to_nodes(cell_mesh(spark, folder, WAVE).select("elem", "x", "y", "f"))
-    inside = layout.nodes_in_window(nd, "f", (0.31, 1.27), (0.22, 0.71))
+    inside = layout.nodes_in_window(nd, "f", (0.31, 1.27), _up(spark, folder, 0.22131, 0.71317))
     return inside.groupBy("elem").agg(F.count(F.lit(1)).alias("nodes"), rounded(F.sum("f")).alias("total"))
 
 
@@ -71,13 +76,13 @@ def field_range(spark, folder):
     return fields.field_range(df, ["f", "g"]).select("field", rounded("lo").alias("lo"), rounded("hi").alias("hi"))
 
 
-@plan("view_range", f"""WITH {nodes_sql(True)}, r AS (SELECT min(f) AS lo, max(f) AS hi, count(*) AS nodes FROM nd WHERE x BETWEEN 0.4 AND 0.9 AND y BETWEEN 0.3 AND 0.6)
+@plan("view_range", f"""WITH {nodes_sql(True)}, r AS (SELECT min(f) AS lo, max(f) AS hi, count(*) AS nodes FROM nd WHERE x BETWEEN 0.4 AND 0.9 AND y BETWEEN 0.30113 * {HEIGHT_SQL} AND 0.60331 * {HEIGHT_SQL})
 SELECT 'plain' AS kind, round(lo, 6) AS lo, round(hi, 6) AS hi, nodes FROM r UNION ALL
 SELECT 'symmetric', round(-greatest(abs(lo), abs(hi)), 6), round(greatest(abs(lo), abs(hi)), 6), nodes FROM r UNION ALL
 SELECT 'flat', 1.5, 2.5, nodes FROM r""")
 def view_range(spark, folder):
     df = fields.with_fields(cell_mesh(spark, folder, WAVE), {"two": ex.constant(2.0)})
-    win = ((0.4, 0.9), (0.3, 0.6))
+    win = ((0.4, 0.9), _up(spark, folder, 0.30113, 0.60331))
     kinds = [("plain", "f", False), ("symmetric", "f", True), ("flat", "two", False)]
     out = None
     for kind, name, sym in kinds:
