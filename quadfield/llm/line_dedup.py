@@ -2,7 +2,8 @@
 
 A document is the sequence of its non-blank lines (split at ``\\n``).  A run of consecutive lines with at least ``min_chars``
 characters in all is a repeated run if the same lines also start at an earlier place (smaller doc_id, or same document and
-smaller line number).  Lines covered by the later copy of a repeated run are deleted; the first copy stays.
+smaller line number).  A single line of at least ``min_line`` characters is one, too, if it stands at ``frequent`` places or more.
+Lines covered by the later copy of a repeated run are deleted; the first copy stays.
 
 * A start of a repeated run has a repeated shortest qualifying run, so each suffix is sorted by its first ``need`` lines, the
   fewest that reach ``min_chars``.
@@ -15,6 +16,9 @@ smaller line number).  Lines covered by the later copy of a repeated run are del
   adjoining later copies is carried on, within its interval: the next start has no copy, so less than ``min_chars`` characters
   can follow.  Each longer prefix in turn has its smallest place, and a later copy of it is covered.
 * A suffix that meets a line without a second occurrence within its ``need`` lines has no copy and leaves the sort at once.
+* Frequent lines are the large intervals of the order by one line; they need no further doubling.
+* Texts are shuffled only where lines may go: a bitmap of at most ``_BITS`` bits, set by the documents with deletions, tells most
+  others apart.  A bit that is set by chance costs a row in the join and changes nothing.
 
 Documents are told apart by (doc_id, text hash).  Null texts stay null; empty texts, blank lines and documents without repeated
 runs stay as they are; rows with equal doc_id and equal text are one document and are treated alike.  A null doc_id sorts first and
@@ -30,12 +34,16 @@ from pyspark.sql import functions as F
 from quadfield.llm.common import row_key, staged, totals_before
 
 MIN_CHARS = 100
+#: A line of so many characters goes from its later places if it has so many places or more.
+MIN_LINE, FREQUENT = 20, 8
+#: Bits of the bitmap of documents with deletions: 8 MB at any size of the corpus.
+_BITS, _WORD = 1 << 26, 1 << 15
 _PARTS = 1024
 _DOC = ["doc_id", "__key"]
 
 
 def lines(docs: DataFrame, min_chars: int) -> DataFrame:
-    """(doc_id, __key, no, pos, id, id2, need): all lines by number ``no``, after one shuffle by document.
+    """(doc_id, __key, no, pos, id, id2, chars, need): all lines by number ``no``, after one shuffle by document.
 
     ``pos`` counts non-blank lines; a blank line has the ``pos`` of the one before it and no ``id``.  ``need`` is the number of
     non-blank lines from here until ``min_chars`` characters are reached, null if the document ends before.
@@ -53,14 +61,14 @@ def lines(docs: DataFrame, min_chars: int) -> DataFrame:
     down = Window.partitionBy(*_DOC).orderBy(F.desc("e.at"), "e.kind", F.desc("no")).rowsBetween(Window.unboundedPreceding, 0)
     found = both.withColumn("last", F.min("e.end").over(down)).filter("e.kind = 2")
     full = F.col("chars").isNotNull()
-    return found.select(*_DOC, "no", "pos", F.when(full, F.col("id")).alias("id"), F.when(full, F.col("id2")).alias("id2"), F.when(full, F.col("last") - F.col("pos") + 1).alias("need"))
+    return found.select(*_DOC, "no", "pos", F.when(full, F.col("id")).alias("id"), F.when(full, F.col("id2")).alias("id2"), "chars", F.when(full, F.col("last") - F.col("pos") + 1).alias("need"))
 
 
 def _first_ranks(seq: DataFrame) -> DataFrame:
     """Lines that occur more than once, ranked by the number of such lines with a smaller ID."""
     groups = seq.groupBy("id", "id2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").withColumn("part", F.shiftright("id", 54))
-    ranks = totals_before(groups, [], "part", ["id", "id2"], "n", "rank").select("id", "id2", "rank")
-    return seq.join(ranks, ["id", "id2"]).select(*_DOC, "pos", "need", "rank")
+    ranks = totals_before(groups, [], "part", ["id", "id2"], "n", "rank").select("id", "id2", "rank", "n")
+    return seq.join(ranks, ["id", "id2"]).select(*_DOC, "pos", "need", "rank", "chars", "n")
 
 
 def _doubled(suffixes: DataFrame, h: int, size: int) -> DataFrame:
@@ -105,10 +113,19 @@ def _longer_runs(members: DataFrame, singles: DataFrame, min_chars: int) -> Data
     return later.select(*_DOC, "pos", (F.col("need") + F.col("more")).alias("need"))
 
 
-def repeated_runs(numbered: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+def _frequent_lines(singles: DataFrame, min_line: int, frequent: int) -> DataFrame:
+    """(doc_id, __key, pos, need): the later places of lines that stand at ``frequent`` places or more."""
+    often = singles.filter((F.col("n") >= frequent) & (F.col("chars") >= min_line)).select(*_DOC, "pos", "rank")
+    place = F.struct(*_DOC, "pos")
+    firsts = often.groupBy("rank").agg(F.min(place).alias("first"))
+    return often.join(firsts, "rank").filter(place > F.col("first")).select(*_DOC, "pos", F.lit(1).cast("long").alias("need"))
+
+
+def repeated_runs(numbered: DataFrame, min_chars: int = MIN_CHARS, min_line: int = MIN_LINE, frequent: int = FREQUENT) -> DataFrame:
     """(doc_id, __key, pos, need): later copies whose union is that of all later copies; ``numbered`` is the staged ``lines``."""
-    singles = levels = staged(_first_ranks(numbered.filter("id IS NOT NULL").select(*_DOC, "pos", "id", "id2", "need")))
-    nothing = levels.select(*_DOC, "pos", "need").limit(0)
+    singles = staged(_first_ranks(numbered.filter("id IS NOT NULL").select(*_DOC, "pos", "id", "id2", "need", "chars")))
+    levels = singles.select(*_DOC, "pos", "need", "rank")
+    common = _frequent_lines(singles, min_line, frequent)
     top, size = levels.agg(F.max("need"), F.count(F.lit(1))).first()
     h, classes = 1, None
     while top is not None and h <= top:
@@ -126,19 +143,19 @@ def repeated_runs(numbered: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
             top = levels.agg(F.max("need")).first()[0]
         h *= 2
     if classes is None:
-        return nothing
+        return common
     classes = staged(classes)
     place = F.struct(*_DOC, "pos")
     key = ["h", "need", "rank", "tail"]
     intervals = staged(classes.groupBy(*key).agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"))
     members = staged(classes.join(intervals, key).select(*_DOC, "pos", *key, (place > F.col("first")).alias("later")))
-    return members.filter("later").select(*_DOC, "pos", "need").unionByName(_longer_runs(members, singles, min_chars))
+    return members.filter("later").select(*_DOC, "pos", "need").unionByName(_longer_runs(members, singles, min_chars)).unionByName(common)
 
 
-def deleted_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+def deleted_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_line: int = MIN_LINE, frequent: int = FREQUENT) -> DataFrame:
     """(doc_id, __key, __gone): for documents with deletions a flag for each line, true where it goes."""
     numbered = staged(lines(docs, min_chars))
-    runs = repeated_runs(numbered, min_chars).select(*_DOC, "pos", "need", F.lit(-1).alias("no"), F.lit(False).alias("full"))
+    runs = repeated_runs(numbered, min_chars, min_line, frequent).select(*_DOC, "pos", "need", F.lit(-1).alias("no"), F.lit(False).alias("full"))
     rows = numbered.select(*_DOC, "pos", F.lit(None).cast("long").alias("need"), "no", F.col("id").isNotNull().alias("full")).unionByName(runs)
     along = Window.partitionBy(*_DOC).orderBy("pos", "no").rowsBetween(Window.unboundedPreceding, 0)
     reach = rows.withColumn("end", F.max(F.col("pos") + F.col("need")).over(along)).filter("no >= 0")
@@ -147,15 +164,32 @@ def deleted_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     return staged(listed.select(*_DOC, F.col("ls.gone").alias("__gone")))
 
 
-def delete_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+def _place(doc, key):
+    """(word, position) of a document in the bitmap."""
+    bit = F.pmod(F.xxhash64(doc, key), F.lit(_BITS))
+    return F.shiftright(bit, 15).cast("int"), F.pmod(bit, F.lit(_WORD)).cast("int")
+
+
+def delete_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_line: int = MIN_LINE, frequent: int = FREQUENT) -> DataFrame:
     """The documents with ``text`` rid of later copies, and ``__lines_removed`` (0 where nothing went)."""
-    gone = deleted_lines(docs, min_chars).select(F.col("doc_id").alias("__doc"), F.col("__key").alias("__k"), "__gone")
-    hit = docs.join(gone, docs.doc_id.eqNullSafe(F.col("__doc")) & (row_key(docs) == F.col("__k")), "left")
+    gone = deleted_lines(docs, min_chars, min_line, frequent).select(F.col("doc_id").alias("__doc"), F.col("__key").alias("__k"), "__gone")
+    word, at = _place(F.col("__doc"), F.col("__k"))
+    bitmap = gone.groupBy(word.alias("__word")).agg(F.bitmap_construct_agg(at).alias("__bits"))
+    keyed = docs.withColumn("__key", row_key(docs))
+    word, at = _place(F.col("doc_id"), F.col("__key"))
+    keyed = keyed.withColumns({"__word": word, "__at": at}).join(F.broadcast(bitmap), "__word", "left")
+    byte = F.conv(F.hex(F.substring("__bits", F.shiftright("__at", 3) + 1, 1)), 16, 10).cast("int")
+    maybe = F.coalesce(F.bit_get(byte, F.pmod("__at", F.lit(8))) == 1, F.lit(False))
+    keyed = keyed.withColumn("__maybe", maybe).drop("__word", "__at", "__bits")
+    untouched = keyed.filter(~F.col("__maybe")).select(*docs.columns, F.lit(0).cast("long").alias("__lines_removed"))
+    keyed = keyed.filter("__maybe")
+    hit = keyed.join(gone, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("__key") == F.col("__k")), "left")
     # nulls are left out of the joined text
     kept = F.array_join(F.zip_with(F.split("text", "\n", -1), F.col("__gone"), lambda x, g: F.when(~g, x)), "\n")
     text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(kept)
     removed = F.when(F.col("__gone").isNull(), F.lit(0)).otherwise(F.size(F.filter("__gone", lambda g: g)))
-    return hit.withColumn("__lines_removed", removed.cast("long")).withColumn("text", text).drop("__doc", "__k", "__gone")
+    touched = hit.withColumn("__lines_removed", removed.cast("long")).withColumn("text", text)
+    return untouched.unionByName(touched.select(*docs.columns, "__lines_removed"))
 
 
 def digest(docs: DataFrame) -> DataFrame:
@@ -177,7 +211,9 @@ WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_
      stops AS (SELECT p.doc_id, p.pos, p.other, p.place, min(x.pos) FILTER (y.line IS DISTINCT FROM x.line) AS stop
                FROM pairs p JOIN f x ON x.doc_id = p.doc_id AND x.pos >= p.pos LEFT JOIN f y ON y.doc_id = p.other AND y.pos = p.place + x.pos - p.pos GROUP BY ALL),
      later AS (SELECT doc_id, pos, max(coalesce(stop, 1000000000)) AS stop FROM stops GROUP BY ALL),
-     gone AS (SELECT DISTINCT f.doc_id, f.no FROM later JOIN f ON f.doc_id = later.doc_id AND f.pos >= later.pos AND f.pos < later.stop)
+     often AS (SELECT doc_id, no, count(*) OVER (PARTITION BY line) AS n, row_number() OVER (PARTITION BY line ORDER BY doc_id, no) AS k FROM f WHERE length(line) >= {MIN_LINE}),
+     gone AS (SELECT f.doc_id, f.no FROM later JOIN f ON f.doc_id = later.doc_id AND f.pos >= later.pos AND f.pos < later.stop
+              UNION SELECT doc_id, no FROM often WHERE n >= {FREQUENT} AND k > 1)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_lines, coalesce(g.n, 0) AS n_removed, sha256(coalesce(k.body, '')) AS kept_sha256
 FROM documents d
 LEFT JOIN (SELECT doc_id, count(*) AS n FROM l GROUP BY doc_id) n USING (doc_id)

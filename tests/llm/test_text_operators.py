@@ -1,5 +1,6 @@
 """Operators on documents against brute force, and their results on odd input."""
 
+import collections
 import hashlib
 import re
 import zlib
@@ -78,14 +79,17 @@ def test_exact_directory(docs):
     assert all(len(v) <= 3 or v[0].depth == 6 for v in full.values())
 
 
-def gone_lines(corpus, least):
-    """Line numbers that go: in any run of at least ``least`` characters that starts at an earlier place as well."""
+def gone_lines(corpus, least, min_line=line_dedup.MIN_LINE, frequent=line_dedup.FREQUENT):
+    """Line numbers that go: in any run of at least ``least`` characters that starts at an earlier place as well, or of a frequent line."""
     places, gone = {}, {}
+    count = collections.Counter(x for _, t, *_ in corpus for x in (t or "").split("\n"))
     for k, t, *_ in sorted(corpus):
         ls = (t or "").split("\n")
         full = [i for i, x in enumerate(ls) if x.strip(" ")]
         seq = [ls[i] for i in full]
         for a, line in enumerate(seq):
+            if line in places and len(line) >= min_line and count[line] >= frequent:
+                gone.setdefault(k, set()).add(full[a])
             for other, s in places.get(line, ()):
                 n = 0
                 while a + n < len(seq) and s + n < len(other) and other[s + n] == seq[a + n]:
