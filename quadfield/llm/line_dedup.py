@@ -38,6 +38,8 @@ MIN_CHARS = 100
 MIN_LINE, FREQUENT = 20, 8
 #: Bits of the bitmap of documents with deletions: 8 MB at any size of the corpus.
 _BITS, _WORD = 1 << 26, 1 << 15
+#: Places of one frequent line that meet its first place in one group of the join.
+_SHARE = 4096
 _PARTS = 1024
 _DOC = ["doc_id", "__key"]
 
@@ -115,10 +117,14 @@ def _longer_runs(members: DataFrame, singles: DataFrame, min_chars: int) -> Data
 
 def _frequent_lines(singles: DataFrame, min_line: int, frequent: int) -> DataFrame:
     """(doc_id, __key, pos, need): the later places of lines that stand at ``frequent`` places or more."""
-    often = singles.filter((F.col("n") >= frequent) & (F.col("chars") >= min_line)).select(*_DOC, "pos", "rank")
+    shares = F.ceil(F.col("n") / _SHARE)
+    often = singles.filter((F.col("n") >= frequent) & (F.col("chars") >= min_line))
+    often = often.select(*_DOC, "pos", "rank", "n", F.pmod(F.xxhash64(*_DOC, "pos"), shares).alias("share"))
     place = F.struct(*_DOC, "pos")
-    firsts = often.groupBy("rank").agg(F.min(place).alias("first"))
-    return often.join(firsts, "rank").filter(place > F.col("first")).select(*_DOC, "pos", F.lit(1).cast("long").alias("need"))
+    firsts = often.groupBy("rank", "n").agg(F.min(place).alias("first"))
+    # a line's first place is there once for each share of its places, so their number bounds a group, not the line's
+    firsts = firsts.select("rank", "first", F.explode(F.sequence(F.lit(0).cast("long"), shares - 1)).alias("share"))
+    return often.join(firsts, ["rank", "share"]).filter(place > F.col("first")).select(*_DOC, "pos", F.lit(1).cast("long").alias("need"))
 
 
 def repeated_runs(numbered: DataFrame, min_chars: int = MIN_CHARS, min_line: int = MIN_LINE, frequent: int = FREQUENT) -> DataFrame:
