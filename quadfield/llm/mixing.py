@@ -109,10 +109,31 @@ def select_epochs(docs: DataFrame, spend: float = SPEND, max_epochs: int = MAX_E
 
 
 def mix(docs: DataFrame, **settings) -> DataFrame:
-    """The documents of the mixture with all their columns, one row for each time a document is taken."""
-    taken = select_epochs(docs, **settings).groupBy("doc_id", "__key").agg(F.count_distinct("epoch").alias("__times")).withColumnRenamed("doc_id", "__doc").withColumnRenamed("__key", "__k")
-    hit = docs.join(taken, docs.doc_id.eqNullSafe(F.col("__doc")) & (row_key(docs) == F.col("__k")))
-    return hit.withColumn("__n", F.explode(F.sequence(F.lit(1).cast("long"), "__times"))).drop("__doc", "__k", "__times", "__n")
+    """The documents of the mixture with all their columns, one row for each time a document is taken.
+
+    Rows that agree in doc_id, text and leaf can't be told apart by the selection: what was taken of them is dealt among them, as
+    evenly as it goes.  They are numbered along stored row ids in parts, so their number may be of any size.
+    """
+    own = ["__doc", "__k", "__domain", "__language", "__origin"]
+    taken = select_epochs(docs, **settings).groupBy("doc_id", "__key", *_LEVELS).agg(F.count(F.lit(1)).alias("__taken")).toDF(*own, "__taken")
+    keyed = docs.withColumn("__key", row_key(docs))
+    leaf = _leaves(keyed, settings.get("domain")).drop("tokens")
+    rows = leaf.groupBy(*leaf.columns).agg(F.count(F.lit(1)).alias("__rows")).filter("__rows > 1").toDF(*own, "__rows")
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in own]
+    taken = staged(taken.alias("a").join(rows.alias("b"), same, "left").select("a.*", F.coalesce("__rows", F.lit(1)).alias("__rows")))
+    domain = settings.get("domain")
+    domain = domain_of(F.col("source")) if domain is None else domain
+    match = F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("__key") == F.col("__k")) & (F.coalesce(domain, F.lit("?")) == F.col("__domain"))
+    match = match & (F.coalesce("lang", F.lit("?")) == F.col("__language")) & (F.coalesce("source", F.lit("?")) == F.col("__origin"))
+    alone = keyed.join(taken.filter("__rows = 1"), match).select(*docs.columns, F.col("__taken").alias("__times"))
+    several = taken.filter("__rows > 1")
+    if not several.isEmpty():
+        several = keyed.join(several, match).select(*docs.columns, *own, "__taken", "__rows")
+        several = staged(several.withColumns({"__one": F.lit(1), "__id": F.monotonically_increasing_id()})).withColumn("__part", F.pmod("__id", F.lit(4096)))
+        several = totals_before(several, own, "__part", ["__id"], "__one", "__no")
+        times = F.expr("__taken DIV __rows") + F.when(F.col("__no") < F.col("__taken") % F.col("__rows"), 1).otherwise(0)
+        alone = alone.unionByName(several.select(*docs.columns, times.cast("long").alias("__times")).filter("__times > 0"))
+    return alone.withColumn("__n", F.explode(F.sequence(F.lit(1).cast("long"), "__times"))).select(*docs.columns)
 
 
 def digest(docs: DataFrame) -> DataFrame:
