@@ -112,6 +112,21 @@ def pack(df: DataFrame, by: list[str], lists: list[str], chunk: int = CHUNK) ->
     return df.select(*by, *lists).mapInArrow(run_pack, schema)
 
 
+def join_in_shares(many: DataFrame, one: DataFrame, keys: list[str], hot: DataFrame | None, spread: list[str]) -> DataFrame:
+    """Inner join on ``keys`` in which the rows of ``many`` under a hot key are dealt into shares.
+
+    ``hot`` has the columns ``keys`` and ``shares``, one row per hot key, or is None; ``spread`` names columns of ``many`` whose
+    hash deals its rows.  The rows of ``one`` under a hot key are there once for each share.  All other keys meet as in a plain
+    join, so a bucketed or otherwise partitioned ``one`` keeps its layout.  Doesn't rely on adaptive execution.
+    """
+    if hot is None:
+        return many.join(one, keys)
+    cold = many.join(hot, keys, "left_anti").join(one, keys)
+    dealt = many.join(hot, keys).withColumn("_share", F.pmod(F.xxhash64(*spread), F.col("shares"))).drop("shares")
+    copies = one.join(hot, keys).withColumn("_share", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1))).drop("shares")
+    return cold.unionByName(dealt.join(copies, [*keys, "_share"]).drop("_share"))
+
+
 def repeat_index(list_col: pa.Array) -> np.ndarray:
     """Row number of every entry of a list column."""
     size = np.diff(list_col.offsets.to_numpy(zero_copy_only=False))

@@ -88,3 +88,29 @@ def test_one_element_holds_most_points(spark, box):
         assert got.join(at, "pid").agg(F.max(error)).first()[0] < 1e-9
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_hot_element_is_dealt_into_shares(spark, box):
+    """Nine tenths of the points in one element, adaptive execution off, no broadcasts: no task holds more than a few shares."""
+    rows = [("b", k, 2.005 + (k % 89) / 90, 1.005 + (k % 97) / 98) if k % 10 else ("b", k, 0.3 + k % 5, 3.3) for k in range(6000)]
+    points = spark.createDataFrame(rows, "case string, pid long, x double, y double").repartition(12)
+    before = {c: spark.conf.get(c) for c in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        located = locate.locate(points, box, ["pid"])
+        largest, values = {}, {}
+        for share in (256, 1 << 15):
+            got = locate.sample_located(located, steps_of(box), ["q"], ["pid"], share=share)
+            got = got.select("pid", "step", "q", F.spark_partition_id().alias("task")).collect()
+            tasks = {}
+            for r in got:
+                tasks[r.task] = tasks.get(r.task, 0) + 1
+            largest[share] = max(tasks.values())
+            values[share] = sorted((r.pid, r.step, r.q) for r in got)
+            assert len(got) == 18000
+        assert values[256] == values[1 << 15]
+        assert largest[1 << 15] >= 16200 and largest[256] <= 7000
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
