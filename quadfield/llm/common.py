@@ -21,7 +21,7 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
 
 def staged(df: DataFrame) -> DataFrame:
     """The rows written as Parquet to the shared folder and read again: cuts the lineage and survives lost executors."""
-    return checkpointed(df)
+    return checkpointed(df, compact=True)
 
 
 def row_key(df: DataFrame, text: str = "text") -> Column:

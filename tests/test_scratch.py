@@ -52,3 +52,11 @@ def test_a_write_that_fails(spark, folder):
 def test_release_by_hand(spark, folder):
     a = checkpointed(spark.range(3))
     assert a.count() == 3 and release(spark) >= 1 and os.listdir(folder) == [] and release(spark) == 0
+
+
+def test_sizes_of_regular_tables(spark):
+    """Repeating values don't make a table look small to the choice of broadcasts; compact tables may."""
+    rows = spark.range(200_000).selectExpr("id % 3 AS case", "array_repeat(cast(id % 5 AS double), 10) AS x")
+    size = lambda df: int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    with scratch(spark):
+        assert size(checkpointed(rows)) >= 200_000 * 8 * 11 > 10 * size(checkpointed(rows, compact=True))
