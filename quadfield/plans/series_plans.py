@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 from quadfield.operators import timeseries as ts
 from quadfield.operators.layout import to_nodes
 from quadfield.operators.locate import sample_lines
-from quadfield.operators.scans import shared_folder
+from quadfield.operators.scans import checkpointed, shared_folder
 from quadfield.plans.probe_plans import poly_mesh
 from quadfield.plans.registry import plan, rounded
-from quadfield.plans.tables import CASE, HEIGHT_SQL, STEPS_SQL, WAVE, cell_mesh, day_steps, each_day, height, nodes_sql, table
+from quadfield.plans.tables import CASE, HEIGHT_SQL, STEPS_SQL, WAVE, cell_mesh, day_steps, each_day, height, nodes_sql, spread, table
 from quadfield.sources import cases, exports, fieldfiles, probe_sets
 
 
@@ -160,6 +160,11 @@ def case_summary(spark, folder):
     return info.select("nelv", "order", "steps", *[rounded(k).alias(k) for k in ("xmin", "xmax", "ymin", "ymax")])
 
 
+def _save_sets(docs, out):
+    """A file for each document, all in one folder; tasks put their files in place themselves, the driver moves none."""
+    docs.write.options(**{"maxRecordsPerFile": 1, "mapreduce.fileoutputcommitter.algorithm.version": 2}).text(out)
+
+
 @plan("saved_probes", f"""WITH h AS (SELECT {HEIGHT_SQL} AS h), ln AS (SELECT s_suppkey, k, 0.0113 * (s_suppkey % 50) + k * 0.5003 AS x0, h * 0.1371 AS y0, 1.9171 AS x1, h * 0.8329 AS y1, NOT (k = 1 AND s_suppkey % 2 = 1) AS visible FROM supplier, h, (SELECT unnest([0, 1]) AS k)),
 p AS (SELECT *, idx / 20.0 AS t FROM ln, (SELECT unnest(range(21)) AS idx) WHERE visible)
 SELECT s_suppkey AS supplier, k + 1 AS line, count(*) AS points, round(avg((x0 + t * (x1 - x0)) * (x0 + t * (x1 - x0)) + 3 * (y0 + t * (y1 - y0))), 6) AS mean_q FROM p GROUP BY 1, 2""")
@@ -170,8 +175,8 @@ def saved_probes(spark, folder):
     h = height(spark, folder)
     line = lambda n: F.struct(F.lit(n + 1).alias("id"), (0.0113 * (k % 50) + n * 0.5003).alias("x0"), (h * 0.1371).alias("y0"), F.lit(1.9171).alias("x1"), (h * 0.8329).alias("y1"), F.when((F.lit(n) == 1) & (k % 2 == 1), F.lit(False)).alias("visible"))
     doc = F.struct(F.lit(1).alias("probe_session"), F.struct(F.concat(F.lit("case"), k.cast("string")).alias("path")).alias("dataset"), F.array(line(0), line(1)).alias("lines"))
-    table(spark, folder, "supplier").select(F.to_json(doc).alias("value"), k.alias("supplier")).repartition("supplier").write.partitionBy("supplier").text(out)
-    sets = probe_sets.read_probe_sets(spark, out)
+    _save_sets(spread(table(spark, folder, "supplier"), "s_suppkey").select(F.to_json(doc).alias("value")), out)
+    sets = checkpointed(probe_sets.read_probe_sets(spark, out))  # the files are opened once
     lines = probe_sets.probe_lines(sets).where("visible")
     lines = lines.select(F.lit(CASE).alias("case"), F.concat(F.regexp_extract("dataset", r"case(\d+)$", 1), F.lit(":"), "line").alias("line"), "x0", "y0", "x1", "y1")
     s = sample_lines(lines, poly_mesh(spark, folder), None, ["q"], 21)
@@ -203,8 +208,8 @@ def saved_sets(spark, folder):
         F.struct(F.when(k % 2 == 1, F.array(F.lit("B1"), F.lit("B2"))).otherwise(F.array(F.lit("B1"))).alias("selection"), F.create_map(F.lit("mu"), F.lit("0.1")).alias("config")).alias("forces"),
         F.struct(pinned.alias("pinned")).alias("probe"),
     )
-    table(spark, folder, "supplier").select(F.to_json(doc).alias("value"), k.alias("supplier")).repartition("supplier").write.partitionBy("supplier").text(out)
-    sets = probe_sets.read_probe_sets(spark, out)
+    _save_sets(spread(table(spark, folder, "supplier"), "s_suppkey").select(F.to_json(doc).alias("value")), out)
+    sets = checkpointed(probe_sets.read_probe_sets(spark, out))  # the files are opened once
     one = sets.select("set", F.regexp_extract("dataset", r"case(\d+)$", 1).cast("long").alias("supplier"))
     d = probe_sets.definitions(sets).groupBy("set").agg(F.count(F.lit(1)).alias("defs"), F.max_by("expr", "seq").alias("last_expr"))
     b = probe_sets.probe_boundaries(sets).where("closed and boundary = 'B1'").groupBy("set").agg(F.count(F.lit(1)).alias("edges"), rounded(F.sum("elem").cast("double"), 3).alias("elems"))

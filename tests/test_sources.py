@@ -207,3 +207,13 @@ def test_levels_of_detail(spark):
     assert j.agg(F.sum(area), F.min(area)).first()[0] == pytest.approx(3 * 0.25)
     assert lod.edge_polylines(view).count() == 3 * 4 * 9
     assert [r.m for r in with_bbox(m).select(lod.lod_level((30.0, 10.0), fixed=7).alias("m"), lod.contour_level((1.0, 1.0)).alias("c")).limit(1).collect()] == [7]
+
+
+def test_saved_sets_lie_in_one_folder(spark, tmp_path):
+    """A file for each saved set, none of them in a folder of its own."""
+    from quadfield.plans.series_plans import _save_sets
+
+    _save_sets(spark.range(40).selectExpr("concat('set ', id) AS value"), str(tmp_path / "sets"))
+    files = [p for p in (tmp_path / "sets").iterdir() if p.suffix == ".txt"]
+    assert sorted(p.read_text().strip() for p in files) == sorted(f"set {k}" for k in range(40))
+    assert not any(p.is_dir() for p in (tmp_path / "sets").iterdir())
