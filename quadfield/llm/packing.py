@@ -174,12 +174,25 @@ class Bins:
             self._register(b, single, double)
         return single, double
 
+    def _by_size(self, b: int) -> dict[int, list[int]]:
+        """Size -> up to two pieces of the bin.  Different sizes add up to the capacity at most, so there are about sqrt(2 * capacity)."""
+        own: dict[int, list[int]] = {}
+        for i in self.items[b]:
+            same = own.setdefault(self.sizes[i], [])
+            if len(same) < 2:
+                same.append(i)
+        return own
+
     def _register(self, b: int, single: dict, double: dict) -> None:
-        g, own = self.gap[b], self.items[b][:24]
-        for k, i in enumerate(own):
-            single.setdefault((g, self.sizes[i]), []).append(b)
-            for j in own[k + 1 :]:
-                double.setdefault((g, self.sizes[i] + self.sizes[j]), []).append(b)
+        """Every size in the bin, and every size of two of its pieces."""
+        g, own = self.gap[b], self._by_size(b)
+        sizes = list(own)
+        sums = set()
+        for k, s in enumerate(sizes):
+            single.setdefault((g, s), []).append(b)
+            sums.update(s + t for t in sizes[k + (len(own[s]) < 2) :])
+        for two in sums:
+            double.setdefault((g, two), []).append(b)
 
     def _partner(self, found: dict, a: int, size: int, two: bool):
         """A bin whose gap g and piece(s) of ``size - g`` let the piece in exactly: (bin, pieces), or None."""
@@ -191,20 +204,22 @@ class Bins:
             while candidates:
                 b = candidates[-1]
                 if b != a and self.gap[b] == g:
-                    own = self.items[b][:24]
-                    for k, i in enumerate(own):
-                        if not two and self.sizes[i] == size - g:
-                            return b, [i]
-                        if two:
-                            for j in own[k + 1 :]:
-                                if self.sizes[i] + self.sizes[j] == size - g:
-                                    return b, [i, j]
+                    own, wanted = self._by_size(b), size - g
+                    if not two and wanted in own:
+                        return b, own[wanted][:1]
+                    if two:
+                        for s, first in own.items():
+                            other = own.get(wanted - s, [])
+                            if wanted - s != s and other:
+                                return b, [first[0], other[0]]
+                            if wanted - s == s and len(first) == 2:
+                                return b, list(first)
                 candidates.pop()
         return None
 
-    def improve(self, rounds: int = 4) -> None:
-        """Local search on the bins that aren't full; every step lets the sum of squared fills grow."""
-        for _ in range(rounds):
+    def improve(self) -> None:
+        """Local search on the bins that aren't full, until no step is left; every step lets the sum of squared fills grow."""
+        while True:
             under = sorted((b for b in range(len(self.items)) if self.gap[b] and self.items[b]), key=lambda b: -self.gap[b])
             single, double = self._swap_index(under)
             changed = 0
