@@ -96,7 +96,8 @@ def external_edges(mesh: DataFrame, tol: float | None = None) -> DataFrame:
     pair = _tau(F.least("chord", "p_chord"), F.greatest("mag", "p_mag"), tol)
     near = lambda u, v: F.hypot(c(f"x{u}") - c(f"p_x{v}"), c(f"y{u}") - c(f"p_y{v}")) <= pair
     theta = (c("eid") != c("p_eid")) & (F.hypot(c("mx") - c("p_mx"), c("my") - c("p_my")) <= pair) & ((near(0, 1) & near(1, 0)) | (near(0, 0) & near(1, 1)))
-    s, q = single.alias("s"), p.alias("q")
+    # Spark's estimates leave out the copies for neighbouring cells: neither side is broadcast
+    s, q = single.alias("s"), p.hint("merge").alias("q")
     keys = [c(f"s.{k}") == c(f"q.{k}") for k in ("case", "lvl", "_cx", "_cy")]
     on = keys[0] & keys[1] & keys[2] & keys[3] & theta
     return s.join(q, on, "left_anti").select("case", F.floor(c("eid") / 4).alias("elem"), (c("eid") % 4).cast("int").alias("side"), "eid", "mirrored", *_GEOM)
@@ -137,7 +138,8 @@ def successors(edges: DataFrame, tol: float | None = None, keys: list[str] | Non
     ends = ends.withColumn("_cy", F.explode(F.sequence(_cell(c("y1") - c("_w"), size(c("lvl"))), _cell(c("y1") + c("_w"), size(c("lvl"))))))
     ends = ends.select(*keys, "lvl", "_cx", "_cy", "eid", "x1", "y1", "tx1", "ty1", "chord")
     gap = F.hypot(c("x1") - c("n_x"), c("y1") - c("n_y"))
-    pairs = ends.join(starts, [*keys, "lvl", "_cx", "_cy"]).where((c("eid") != c("n_eid")) & (gap <= _tau(F.least("chord", "n_chord"), F.hypot("x1", "y1"), tol)))
+    # Spark's estimates leave out the copies for neighbouring cells: neither side is broadcast
+    pairs = ends.hint("merge").join(starts, [*keys, "lvl", "_cx", "_cy"]).where((c("eid") != c("n_eid")) & (gap <= _tau(F.least("chord", "n_chord"), F.hypot("x1", "y1"), tol)))
     pairs = pairs.select(*keys, "eid", "n_eid", turn_degrees(c("tx1"), c("ty1"), c("n_tx"), c("n_ty")).alias("turn"), gap.alias("gap"))
     chosen = pairs.groupBy(*keys, "eid").agg(F.min(F.struct("turn", "gap", "n_eid")).alias("_m"))
     return (
