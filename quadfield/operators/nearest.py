@@ -24,15 +24,20 @@ from quadfield.operators.spatial import CELL, pack, probe_points, register_boxes
 
 # fixed values of the search: coarse points per edge, refinement rounds and steps
 COARSE, ROUNDS, STEPS = 16, 3, 24
+ON_END = 1e-9  # a foot so near to a line's end, in segments, is on it
 
 
 def _segment_distance(px, py, x, y):
-    """Distance of each point to its polyline ``(pairs, m)``."""
+    """Distance of each point to its polyline ``(pairs, m)``, and whether its foot lies past the line's ends (or on its first point)."""
     ax, ay, bx, by = x[:, :-1], y[:, :-1], x[:, 1:], y[:, 1:]
     ux, uy = bx - ax, by - ay
     sq = ux * ux + uy * uy
-    t = np.clip(((px[:, None] - ax) * ux + (py[:, None] - ay) * uy) / np.where(sq > 0, sq, 1.0), 0.0, 1.0)
-    return np.hypot(px[:, None] - ax - t * ux, py[:, None] - ay - t * uy).min(axis=1)
+    along = ((px[:, None] - ax) * ux + (py[:, None] - ay) * uy) / np.where(sq > 0, sq, 1.0)
+    t = np.clip(along, 0.0, 1.0)
+    dist = np.hypot(px[:, None] - ax - t * ux, py[:, None] - ay - t * uy)
+    k, rows = dist.argmin(axis=1), np.arange(len(px))
+    past = ((k == 0) & (along[rows, k] <= ON_END)) | ((k == dist.shape[1] - 1) & (along[rows, k] > 1 + ON_END))
+    return dist[rows, k], past
 
 
 def _closest(px, py, xe, ye):
@@ -87,20 +92,20 @@ def _solve(batches, keys, snap, limit):
                 if snap:
                     every = np.hypot(qx[:, None] - X[e], qy[:, None] - Y[e])
                     node = every.argmin(axis=1)
-                    rank = every[np.arange(len(e)), node]
+                    rank, past = every[np.arange(len(e)), node], np.zeros(len(e), bool)
                 else:
-                    rank = _segment_distance(qx, qy, X[e] @ sketch.T, Y[e] @ sketch.T)
+                    rank, past = _segment_distance(qx, qy, X[e] @ sketch.T, Y[e] @ sketch.T)
                 near = np.nonzero(rank < limit)[0]
                 if not len(near):
                     continue
-                e, qx, qy, rank = e[near], qx[near], qy[near], rank[near]
+                e, qx, qy, rank, past = e[near], qx[near], qy[near], rank[near], past[near]
                 node = node[near] if snap else None
                 t, dist, at = _points_on(qx, qy, X[e], Y[e], NX[e], NY[e], node)
                 node = np.full(len(e), -1) if node is None else node
                 at_row = pa.array(e)
                 sel = pa.array(a + near)
                 out = [part["case"].take(at_row)] + [payload[k].take(sel) for k in keys] + [part["elem"].take(at_row), part["side"].take(at_row), pa.array(node.astype(np.int32)), pa.array(t)]
-                yield pa.RecordBatch.from_arrays(out + [pa.array(v) for v in (*at, dist, rank)], names=["case", *keys, "elem", "side", "node", "t", "wx", "wy", "nx", "ny", "dist", "_rank"])
+                yield pa.RecordBatch.from_arrays(out + [pa.array(v) for v in (*at, dist, rank, past)], names=["case", *keys, "elem", "side", "node", "t", "wx", "wy", "nx", "ny", "dist", "_rank", "_past"])
 
 
 def _wall_curves(edges: DataFrame, mesh: DataFrame) -> DataFrame:
@@ -115,8 +120,9 @@ def nearest_wall(points: DataFrame, edges: DataFrame, mesh: DataFrame, max_dist:
     """Closest wall point within ``max_dist`` of each point ``(case, x, y, <keys>)``.
 
     ``edges(case, elem, side)`` are the allowed edges.  The nearest edge is found on its
-    16-point polyline and the point then refined on the exact curve; ``snap`` takes the
-    nearest node instead.  Result: ``elem side node t wx wy nx ny dist``, ``node`` -1
+    16-point polyline and the point then refined on the exact curve; of edges equally near to
+    12 digits that takes the one which has the point's foot between its first point and its last
+    (last included), then the lowest.  ``snap`` takes the nearest node instead.  Result: ``elem side node t wx wy nx ny dist``, ``node`` -1
     unless snapping, ``t`` in the index order of the side.  Points farther away are left out;
     rows that agree in keys and place stay as many rows as they were.
     """
@@ -135,11 +141,11 @@ def nearest_wall(points: DataFrame, edges: DataFrame, mesh: DataFrame, max_dist:
     schema = T.StructType(
         [T.StructField("case", kinds["case"])] + [T.StructField(k, kinds[k]) for k in keys]
         + [T.StructField("elem", T.LongType()), T.StructField("side", T.IntegerType()), T.StructField("node", T.IntegerType())]
-        + [T.StructField(k, num) for k in ("t", "wx", "wy", "nx", "ny", "dist", "_rank")]
+        + [T.StructField(k, num) for k in ("t", "wx", "wy", "nx", "ny", "dist", "_rank")] + [T.StructField("_past", T.BooleanType())]
     )
     found = packed.join(boxes, ["case", *CELL]).drop(*CELL).mapInArrow(lambda it: _solve(it, keys, snap, float(max_dist)), schema)
-    # distance first, then the lowest edge
-    order = F.when(c("_times") == 0, F.struct(F.round("_rank", 12), c("elem") * 4 + c("side")))
+    # distance first, then the edge that holds the foot, then the lowest edge
+    order = F.when(c("_times") == 0, F.struct(F.round("_rank", 12), "_past", c("elem") * 4 + c("side")))
     picked = ["elem", "side", "node", "t", "wx", "wy", "nx", "ny", "dist"]
     # a blank row for each point counts the rows that agree in keys and place
     both = found.withColumn("_times", F.lit(0)).unionByName(points.select("case", *keys, F.lit(1).alias("_times")), allowMissingColumns=True)
@@ -194,7 +200,7 @@ def _pruned(found: DataFrame) -> DataFrame:
 def _nearest_stream(batches, keys, snap):
     """One row per point: a group's points come first, then its candidate edges in any number of batches."""
     names = ["case", *keys, "elem", "side", "node", "t", "wx", "wy", "nx", "ny", "dist"]
-    held = None  # the running group: its points, and for each the best rank, edge id, and place among the edges seen
+    held = None  # the running group: its points, and for each the best rank, whether its foot is past the ends, edge id, and place among the edges seen
 
     done, waiting = [], 0  # settled points of many groups, refined together
 
@@ -232,13 +238,15 @@ def _nearest_stream(batches, keys, snap):
             part = [m[order] for m in mats]
             px, py = np.tile(g["x"], len(order)), np.tile(g["y"], len(order))
             u, v = (np.repeat(m if snap else m @ sketch.T, points, axis=0) for m in part[:2])
-            rank = np.hypot(px[:, None] - u, py[:, None] - v).min(axis=1) if snap else _segment_distance(px, py, u, v)
-            rank = np.round(rank, 12).reshape(len(order), points)
-            best = rank.argmin(axis=0)
-            low, own = rank[best, np.arange(points)], ids[order][best]
-            better = (low < g["rank"]) | ((low == g["rank"]) & (own < g["id"]))
+            rank, past = (np.hypot(px[:, None] - u, py[:, None] - v).min(axis=1), np.zeros(len(px), bool)) if snap else _segment_distance(px, py, u, v)
+            rank, past = np.round(rank, 12).reshape(len(order), points), past.reshape(len(order), points)
+            # equally near: the edge that holds the foot, then the lowest
+            best = np.where(rank == rank.min(axis=0), past, 2).argmin(axis=0)
+            at = np.arange(points)
+            low, out, own = rank[best, at], past[best, at], ids[order][best]
+            better = (low < g["rank"]) | ((low == g["rank"]) & ((out < g["past"]) | ((out == g["past"]) & (own < g["id"]))))
             if better.any():
-                g["rank"][better], g["id"][better], g["row"][better], g["pool"][better] = low[better], own[better], best[better], len(g["seen"])
+                g["rank"][better], g["past"][better], g["id"][better], g["row"][better], g["pool"][better] = low[better], out[better], own[better], best[better], len(g["seen"])
                 g["seen"].append(part)
 
     for b in batches:
@@ -254,7 +262,7 @@ def _nearest_stream(batches, keys, snap):
                     yield from refine()
                 x, y = (np.array(col[k][lo].values.to_numpy(zero_copy_only=False), float) for k in ("_px", "_py"))
                 held = {
-                    "case": col["case"][lo], "x": x, "y": y, "rank": np.full(len(x), np.inf), "seen": [], **{k: np.full(len(x), -1, np.int64) for k in ("id", "row", "pool")},
+                    "case": col["case"][lo], "x": x, "y": y, "rank": np.full(len(x), np.inf), "past": np.ones(len(x), bool), "seen": [], **{k: np.full(len(x), -1, np.int64) for k in ("id", "row", "pool")},
                     "payload": {k: col[f"_k_{k}"][lo].values for k in keys},
                 }
                 continue
