@@ -13,6 +13,7 @@ pieces and one rest.  An empty table gives an empty result.  Any other columns o
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -27,20 +28,46 @@ from quadfield.llm.common import staged
 
 CAPACITY, END, BLOCK = 2048, 0, 1 << 15
 VOCABULARY = "word_bpe_49k.json"
-_WORDS, _RUNS = 1 << 18, 1 << 19
-_PLAIN = re.compile(r"(?:[A-Za-zÀ-ÖØ-öø-ÿ]|[!-&(-/:-@\[-`{-~])+")
+_WORDS = 1 << 18
+_PLAIN = re.compile(r"(?:[A-Za-zÀ-ÖØ-öø-ÿ ]|[!-&(-/:-@\[-`{-~])+")
 _RUN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[!-&(-/:-@\[-`{-~]+")
 #: White space to Python's ``split`` but not to the tokenizer.
 _ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
 
 
+def _ranked(path: str):
+    """(encoder that merges by rank, id of a lone blank) of a byte-level vocabulary with word ends; (None, -1) if it can't stand for it.
+
+    The end of a word becomes a byte 0 behind it.  Single bytes come first, bytes at a word's end next and merges in their order, so ids
+    serve as ranks.
+    """
+    import tiktoken
+
+    from quadfield.llm.token_alignment import byte_letters
+
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    suffix, vocab, letters = model.get("end_of_word_suffix"), model["vocab"], byte_letters()
+    merges = [m if isinstance(m, list) else m.split(" ") for m in model.get("merges", [])]
+    ends = lambda t: bool(suffix) and t.endswith(suffix)
+    stem = lambda t: t[: -len(suffix)] if ends(t) else t
+    made = [vocab.get(a + b, -1) for a, b in merges]
+    single = [i for t, i in vocab.items() if len(stem(t)) == 1]
+    if not suffix or made != sorted(set(made)) or len(single) != 512 or max(single) >= min(made) or len(single) + len(made) != len(vocab):
+        return None, -1
+    ranks = {bytes(letters[c] for c in stem(t)) + b"\0" * ends(t): i for t, i in vocab.items()}
+    if len(ranks) != len(vocab) or any(0 in t[:-1] and len(t) > 2 for t in ranks):
+        return None, -1
+    return tiktoken.Encoding("words", pat_str="[^ \\x00]+\\x00| ", mergeable_ranks=ranks, special_tokens={}), ranks[b" "]
+
+
 class WordIds:
     """Token ids of texts as little-endian 32-bit integers.
 
-    The tokenizer works word by word, so words between white space are encoded once and remembered.  Words of Latin letters and
-    ASCII marks (whose lower case and normal form go by single characters) are put together from their runs of letters and marks,
-    which the tokenizer separates in any case: far fewer different ones.  Both memories take
-    what comes first, up to a bound.
+    The tokenizer works word by word, so words between white space are encoded once and remembered, up to a bound, by what comes
+    first.  Words of Latin letters and ASCII marks (whose lower case and normal form go by single characters) fall into runs of
+    letters and of marks, which the tokenizer separates in any case; the runs of all new words of a text are merged at once by
+    rank.  Other words go through the tokenizer itself.
     """
 
     def __init__(self, vocabulary: str = VOCABULARY):
@@ -48,37 +75,30 @@ class WordIds:
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks run side by side already
-        self.encoder = Tokenizer.from_file(public_tokenizers.path(vocabulary) if "/" not in vocabulary else vocabulary)
+        path = public_tokenizers.path(vocabulary) if "/" not in vocabulary else vocabulary
+        self.encoder = Tokenizer.from_file(path)
+        self.ranked, self.blank = _ranked(path)
         self.words: dict[str, bytes] = {}
-        self.runs: dict[str, bytes] = {}
 
     def _encode(self, text: str) -> bytes:
         return np.array(self.encoder.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _encoded(self, new: list[str]) -> dict[str, bytes]:
-        """Ids of words that aren't known; their runs are remembered while there is room."""
-        parts, out = {}, {}
-        for w in new:
-            if _PLAIN.fullmatch(w) and "<|" not in w:
-                parts[w] = _RUN.findall(w.lower())
-            else:
-                out[w] = self._encode(w)
-        runs = self.runs
-        fresh = list({r for p in parts.values() for r in p if r not in runs})
-        if fresh and len(runs) + len(fresh) > _RUNS:
-            runs = {r: runs[r] for p in parts.values() for r in p if r in runs}  # no room: for this text only
-        for at in range(0, len(fresh), 1024):
-            part = fresh[at : at + 1024]
-            e = self.encoder.encode(" ".join(part), add_special_tokens=False)
-            # the ids of a run end where the place in the joined text passes its blank
-            ends = np.cumsum([len(r) + 1 for r in part])
-            cuts = np.searchsorted([s for s, _ in e.offsets], ends)
-            raw, lo = np.array(e.ids, "<u4").tobytes(), 0
-            for r, hi in zip(part, (4 * cuts).tolist()):
-                runs[r] = raw[lo:hi]
-                lo = hi
-        for w, p in parts.items():
-            out[w] = b"".join([runs[r] for r in p])
+        """Ids of words that aren't known."""
+        text = " ".join(new)
+        plain = new if self.ranked else []
+        if "<|" in text or not _PLAIN.fullmatch(text):
+            plain = [w for w in plain if _PLAIN.fullmatch(w) and "<|" not in w]
+            text = " ".join(plain)
+        out = {}
+        if plain:
+            # each blank gives one id that no run has, so words end there
+            ids = np.array(self.ranked.encode_ordinary(_RUN.sub("\\g<0>\0", text.lower())), "<u4")
+            cuts = np.flatnonzero(ids == self.blank)
+            raw = ids.tobytes()
+            out = {w: raw[lo:hi] for w, lo, hi in zip(plain, [0, *(4 * cuts + 4).tolist()], [*(4 * cuts).tolist(), len(raw)])}
+        if len(plain) < len(new):
+            out |= {w: self._encode(w) for w in new if w not in out}
         return out
 
     def __call__(self, text: str) -> bytes:
