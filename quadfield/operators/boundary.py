@@ -7,6 +7,9 @@ and oriented so that the domain lies on their left (mirrored elements reversed).
 Vertices are matched with a tolerance relative to the edge lengths, so both joins
 bucket on a grid whose cell follows the tolerance of the edge: a bucket holds only
 edges that nearly coincide, whatever the grading of the mesh.
+
+All tables here grow with the mesh, and coordinates of regular meshes shrink to a hundredth
+in files and exchanges, by which Spark chooses what to broadcast: the joins ask for a merge.
 """
 
 from __future__ import annotations
@@ -210,7 +213,7 @@ def rank_chains(edges: DataFrame, links: DataFrame, keys: list[str] | None = Non
     """
     keys = list(keys or ["case"])
     c = F.col
-    rows = edges.select(*keys, "eid", *[k for k in ("x0", "y0") if k in edges.columns]).join(links.select(*keys, "eid", "prev"), [*keys, "eid"], "left")
+    rows = edges.select(*keys, "eid", *[k for k in ("x0", "y0") if k in edges.columns]).join(links.select(*keys, "eid", "prev").hint("merge"), [*keys, "eid"], "left")
     rows = with_curve(rows, "x0", "y0") if "x0" in edges.columns else rows.withColumn("_curve", c("eid"))
     order = [*keys, "_curve"]
     dealt = (rows.repartitionByRange(partitions, *order) if partitions else rows.repartitionByRange(*order)).select(*keys, c("eid").cast("long").alias("eid"), c("prev").cast("long").alias("prev"))
@@ -235,7 +238,7 @@ def _ranked_lists(local: DataFrame, keys: list[str]) -> DataFrame:
     lists = local.where("off = 0 and not loop")
     tails = local.where("off = n - 1 and not loop").select(*keys, c("eid").alias("prev"), c("h").alias("ptr"), c("n").alias("back"))
     zero = F.lit(0).cast("long")
-    state = lists.join(tails, [*keys, "prev"], "left").select(
+    state = lists.join(tails.hint("merge"), [*keys, "prev"], "left").select(
         *keys, "h", "n", c("low").alias("own_low"), "low_off", "ptr", "back", F.when(c("ptr").isNull(), c("h")).alias("head"), zero.alias("dist"), "low", zero.alias("low_dist"), F.lit(True).alias("changed"),
     )
 
@@ -244,7 +247,7 @@ def _ranked_lists(local: DataFrame, keys: list[str]) -> DataFrame:
         moved = c("ptr").isNotNull()
         fell = moved & c("f_ptr").isNull()
         lower = moved & (c("f_low") < c("low"))
-        return state.join(far, [*keys, "ptr"], "left").select(
+        return state.join(far.hint("merge"), [*keys, "ptr"], "left").select(
             *keys, "h", "n", "own_low", "low_off", F.when(moved, c("f_ptr")).alias("ptr"), F.when(moved & ~fell, c("back") + c("f_back")).otherwise(c("back")).alias("back"),
             F.when(fell, c("f_head")).otherwise(c("head")).alias("head"), F.when(fell, c("back") + c("f_dist")).otherwise(c("dist")).alias("dist"),
             F.when(lower, c("f_low")).otherwise(c("low")).alias("low"), F.when(lower, c("back") + c("f_low_dist")).otherwise(c("low_dist")).alias("low_dist"), (fell | lower).alias("changed"),
@@ -256,8 +259,8 @@ def _ranked_lists(local: DataFrame, keys: list[str]) -> DataFrame:
         if state.where("changed").isEmpty():
             break
     around = state.where("ptr is not null").groupBy(*keys, "low").agg(F.sum("n").alias("length"), F.max(F.when(c("own_low") == c("low"), c("low_off"))).alias("first"))
-    ranked = state.join(around, [*keys, "low"], "left")
-    rest = local.where("prev is not null").select(*keys, "eid", "h", "off").join(ranked.select(*keys, "h", "ptr", "head", "dist", "low", "low_dist", "length", "first"), [*keys, "h"])
+    ranked = state.join(around.hint("merge"), [*keys, "low"], "left")
+    rest = local.where("prev is not null").select(*keys, "eid", "h", "off").join(ranked.select(*keys, "h", "ptr", "head", "dist", "low", "low_dist", "length", "first").hint("merge"), [*keys, "h"])
     loop = c("ptr").isNotNull()
     return rest.select(
         *keys, "eid", F.when(loop, c("low")).otherwise(c("head")).alias("head"),
@@ -275,7 +278,7 @@ def chain_edges(edges: DataFrame, tol: float | None = None, keys: list[str] | No
     links = checkpointed(successors(edges, tol, keys))
     ranked = rank_chains(edges, links, keys)
     after = links.select(*keys, F.col("prev").alias("eid"), "turn")
-    return checkpointed(edges.join(ranked, [*keys, "eid"]).join(after, [*keys, "eid"], "left"))
+    return checkpointed(edges.join(ranked.hint("merge"), [*keys, "eid"]).join(after.hint("merge"), [*keys, "eid"], "left"))
 
 
 _LOOPS_LAST = 1 << 60
@@ -293,16 +296,16 @@ def split_chains(chains: DataFrame, angle: float = 90.0, prefix: str = "B") -> D
     cut = c("turn").isNull() | (c("turn") >= angle - ANGLE_TOL)
     e = chains.withColumn("_cut", cut.cast("long"))
     per = e.groupBy("case", "head").agg(F.count(F.lit(1)).alias("_len"), F.max(F.when(cut, c("pos"))).alias("_last"), F.max("_cut").alias("_any"), F.first("closed").alias("_loop"))
-    e = e.join(per.drop("_loop"), ["case", "head"]).withColumn(
+    e = e.join(per.drop("_loop").hint("merge"), ["case", "head"]).withColumn(
         "_at", F.when(c("closed") & (c("_any") == 1), F.pmod(c("pos") - c("_last") - 1, c("_len"))).otherwise(c("pos"))
     )
     e = checkpointed(running_sum(e, ["case", "head"], "_at", "_cut", "_g"))
     first = e.groupBy("case", "head", "_g").agg(F.min("_at").alias("_start"))
     count = first.groupBy("case", "head").agg(F.count(F.lit(1)).alias("_pieces"))
-    order = per.join(count, ["case", "head"]).withColumn("_order", c("head") + F.when(c("_loop"), F.lit(_LOOPS_LAST)).otherwise(F.lit(0)))
+    order = per.join(count.hint("merge"), ["case", "head"]).withColumn("_order", c("head") + F.when(c("_loop"), F.lit(_LOOPS_LAST)).otherwise(F.lit(0)))
     offset = running_sum(order, ["case"], "_order", "_pieces", "_before").select("case", "head", "_before")
-    named = first.join(offset, ["case", "head"]).withColumn("number", (c("_before") + c("_g") + 1).cast("int"))
-    return e.join(named, ["case", "head", "_g"]).select(
+    named = first.join(offset.hint("merge"), ["case", "head"]).withColumn("number", (c("_before") + c("_g") + 1).cast("int"))
+    return e.join(named.hint("merge"), ["case", "head", "_g"]).select(
         "case", F.concat(F.lit(prefix), c("number").cast("string")).alias("boundary"), "number", F.lit(0).alias("chain"),
         (c("_at") - c("_start")).alias("seq"), (c("_at") - c("_start")).alias("pos"), "elem", "side", "eid", (c("closed") & (c("_any") == 0)).alias("closed"),
         F.when(c("mirrored"), F.lit(-1)).otherwise(F.lit(1)).alias("orient"),
@@ -326,14 +329,14 @@ def boundary_from_edges(mesh: DataFrame, picks: DataFrame, tol: float | None = N
     keys = ["case", "boundary"]
     given = c("seq") if "seq" in picks.columns else c("elem") * 4 + c("side")
     wanted = picks.select(*keys, "elem", "side", given.cast("long").alias("given"))
-    touched = mesh.join(wanted.select("case", "elem").distinct(), ["case", "elem"], "left_semi")
-    edges = checkpointed(edge_table(touched).join(wanted, ["case", "elem", "side"]))
+    touched = mesh.join(wanted.select("case", "elem").distinct().hint("merge"), ["case", "elem"], "left_semi")
+    edges = checkpointed(edge_table(touched).join(wanted.hint("merge"), ["case", "elem", "side"]))
     chains = chain_edges(edges, tol, keys)
     per = chains.groupBy(*keys, "head").agg(F.count(F.lit(1)).alias("_len"), F.first("closed").alias("_loop"))
     per = per.withColumns({"_order": c("head") + F.when(c("_loop"), F.lit(_LOOPS_LAST)).otherwise(F.lit(0)), "_one": F.lit(1)})
     per = running_sum(running_sum(per, keys, "_order", "_len", "_before"), keys, "_order", "_one", "chain")
     several = per.groupBy(*keys).agg(F.count(F.lit(1)).alias("_chains"))
-    return chains.join(per.select(*keys, "head", "_before", "chain"), [*keys, "head"]).join(several, keys).select(
+    return chains.join(per.select(*keys, "head", "_before", "chain").hint("merge"), [*keys, "head"]).join(several.hint("merge"), keys).select(
         *keys, c("chain").cast("int").alias("chain"), (c("_before") + c("pos")).alias("seq"), "pos", "given", "elem", "side", "eid",
         (c("closed") & (c("_chains") == 1)).alias("closed"), F.when(c("mirrored"), F.lit(-1)).otherwise(F.lit(1)).alias("orient"),
     )
@@ -344,7 +347,7 @@ def edit_boundary(boundary_edges: DataFrame, add: DataFrame | None = None, remov
     cols = ["case", "boundary", "elem", "side"]
     out = boundary_edges.select(*cols)
     if remove is not None:
-        out = out.join(remove.select(*cols), cols, "left_anti")
+        out = out.join(remove.select(*cols).hint("merge"), cols, "left_anti")
     if add is not None:
         out = out.unionByName(add.select(*cols))
     return out.distinct()
@@ -352,8 +355,8 @@ def edit_boundary(boundary_edges: DataFrame, add: DataFrame | None = None, remov
 
 def runs_with_edges(boundary_edges: DataFrame, picked: DataFrame) -> DataFrame:
     """All edges of the boundaries that contain one of the ``picked(case, elem, side)`` edges."""
-    hit = boundary_edges.join(picked.select("case", "elem", "side"), ["case", "elem", "side"], "left_semi").select("case", "boundary").distinct()
-    return boundary_edges.join(hit, ["case", "boundary"], "left_semi")
+    hit = boundary_edges.join(picked.select("case", "elem", "side").hint("merge"), ["case", "elem", "side"], "left_semi").select("case", "boundary").distinct()
+    return boundary_edges.join(hit.hint("merge"), ["case", "boundary"], "left_semi")
 
 
 def boundary_census(boundary_edges: DataFrame) -> DataFrame:
@@ -376,7 +379,7 @@ def side_values(f: str | Column, side: str | Column = "side", orient: Column | N
 
 def wall_elements(boundary_edges: DataFrame, mesh: DataFrame, columns: list[str]) -> DataFrame:
     """Boundary edges with columns of their element; only those elements are kept of the mesh."""
-    return boundary_edges.join(mesh.select("case", "elem", *columns), ["case", "elem"])
+    return boundary_edges.join(mesh.select("case", "elem", *columns).hint("merge"), ["case", "elem"])
 
 
 def boundary_nodes(boundary_edges: DataFrame, mesh: DataFrame, names: list[str] = (), merge: bool = False) -> DataFrame:
@@ -410,7 +413,7 @@ def boundary_polyline(boundary_edges: DataFrame, mesh: DataFrame, m: int) -> Dat
     e = e.select("case", "boundary", "seq", "closed", kernels.resample_edge(c("_f.x"), m).alias("px"), kernels.resample_edge(c("_f.y"), m).alias("py"))
     tail = e.select("case", "boundary", (c("seq") + 1).alias("seq"), F.get("px", F.lit(m - 1)).alias("_ex"), F.get("py", F.lit(m - 1)).alias("_ey"))
     close = lambda a, b: F.abs(a - b) <= 1e-8 + 1e-5 * F.abs(b)
-    j = e.join(tail, ["case", "boundary", "seq"], "left")
+    j = e.join(tail.hint("merge"), ["case", "boundary", "seq"], "left")
     same = F.coalesce(close(F.get("px", F.lit(0)), c("_ex")) & close(F.get("py", F.lit(0)), c("_ey")), F.lit(False))
     pts = j.withColumn("_same", same).select("case", "boundary", "seq", "_same", F.posexplode(F.arrays_zip("px", "py")).alias("k", "_p"))
     pts = pts.where("not _same or k > 0").select("case", "boundary", "seq", "k", c("_p.px").alias("x"), c("_p.py").alias("y"))
@@ -438,7 +441,7 @@ def normal_segments(seeds: DataFrame, mesh: DataFrame, traversal: bool = False)
     ``traversal`` is true (they differ on mirrored elements).
     """
     c = F.col
-    s = seeds.join(mesh.select("case", "elem", c("x").alias("_x"), c("y").alias("_y")), ["case", "elem"])
+    s = seeds.join(mesh.select("case", "elem", c("x").alias("_x"), c("y").alias("_y")).hint("merge"), ["case", "elem"])
     if "t" in seeds.columns:
         t = c("t")
         if traversal:
