@@ -74,7 +74,6 @@ def external_edges(mesh: DataFrame, tol: float | None = None) -> DataFrame:
 
     smallest = F.lit(2.0 ** -40) * (1.0 + c("mag"))  # collapsed edges have no tolerance of their own
     e = measured(edge_table(mesh)).withColumn("lvl", F.floor(F.log2(F.greatest(c("tau"), smallest))).cast("int"))
-    # stated here so that both uses of the groups below share one exchange
     e = e.where(c("case").isNotNull() & c("lvl").isNotNull())
     fine = _pow2(c("lvl") - 2)
     a = F.struct(_cell(c("x0"), fine).alias("u"), _cell(c("y0"), fine).alias("v"))
@@ -84,7 +83,7 @@ def external_edges(mesh: DataFrame, tol: float | None = None) -> DataFrame:
     e = e.withColumns({"_k": F.least("_a", "_b"), "_l": F.greatest("_a", "_b")})
     by = ["case", "lvl", c("_k.u").alias("_1"), c("_k.v").alias("_2"), c("_l.u").alias("_3"), c("_l.v").alias("_4"), "_x"]
     reps = e.groupBy(*by).agg(F.count(F.lit(1)).alias("copies"), F.min("eid").alias("eid"), *[F.min_by(k, "eid").alias(k) for k in ("mirrored", *_GEOM)])
-    reps = measured(reps.drop("_1", "_2", "_3", "_4", "_x"))
+    reps = checkpointed(measured(reps.drop("_1", "_2", "_3", "_4", "_x")))  # read twice, with different columns
 
     size = lambda L: _pow2(L + 4)
     single = reps.where("copies = 1").withColumns({"_cx": _cell(c("mx"), size(c("lvl"))), "_cy": _cell(c("my"), size(c("lvl")))})
@@ -215,6 +214,7 @@ def rank_chains(edges: DataFrame, links: DataFrame, keys: list[str] | None = Non
     c = F.col
     rows = edges.select(*keys, "eid", *[k for k in ("x0", "y0") if k in edges.columns]).join(links.select(*keys, "eid", "prev").hint("merge"), [*keys, "eid"], "left")
     rows = with_curve(rows, "x0", "y0") if "x0" in edges.columns else rows.withColumn("_curve", c("eid"))
+    rows = checkpointed(rows.select(*keys, "eid", "prev", "_curve"))  # dealing by ranges reads them twice
     order = [*keys, "_curve"]
     dealt = (rows.repartitionByRange(partitions, *order) if partitions else rows.repartitionByRange(*order)).select(*keys, c("eid").cast("long").alias("eid"), c("prev").cast("long").alias("prev"))
     kinds = {f.name: f.dataType for f in dealt.schema.fields}
