@@ -214,7 +214,8 @@ def rank_chains(edges: DataFrame, links: DataFrame, keys: list[str] | None = Non
     c = F.col
     rows = edges.select(*keys, "eid", *[k for k in ("x0", "y0") if k in edges.columns]).join(links.select(*keys, "eid", "prev").hint("merge"), [*keys, "eid"], "left")
     rows = with_curve(rows, "x0", "y0") if "x0" in edges.columns else rows.withColumn("_curve", c("eid"))
-    rows = checkpointed(rows.select(*keys, "eid", "prev", "_curve"))  # dealing by ranges reads them twice
+    rows = rows.select(*keys, "eid", "prev", "_curve")
+    rows = rows if partitions == 1 else checkpointed(rows)  # dealing by ranges reads them twice
     order = [*keys, "_curve"]
     dealt = (rows.repartitionByRange(partitions, *order) if partitions else rows.repartitionByRange(*order)).select(*keys, c("eid").cast("long").alias("eid"), c("prev").cast("long").alias("prev"))
     kinds = {f.name: f.dataType for f in dealt.schema.fields}
