@@ -304,6 +304,8 @@ def nearest_wall_any(points: DataFrame, edges: DataFrame, mesh: DataFrame, keys:
     # groups of at most CHUNK points of one cell about as wide as a usual edge
     width = 2.0 ** (usual - 1)
     cells = finite.select("case", F.floor(c("x") / width).cast("long").alias("_cx"), F.floor(c("y") / width).cast("long").alias("_cy"), c("x").alias("_px"), c("y").alias("_py"), *[c(k).alias(f"_k_{k}") for k in keys])
+    # points of a cell come together first: full groups are few, and all that is written on the way down is by group
+    cells = cells.hint("rebalance", "case", "_cx", "_cy").sortWithinPartitions("case", "_cx", "_cy")
     packs = pack(cells, ["case", "_cx", "_cy"], ["_px", "_py", *[f"_k_{k}" for k in keys]]).drop("_cx", "_cy")
     packs = checkpointed(packs.withColumn("_g", F.monotonically_increasing_id()))
     group = packs.select("case", "_g", F.array_min("_px").alias("_gx0"), F.array_max("_px").alias("_gx1"), F.array_min("_py").alias("_gy0"), F.array_max("_py").alias("_gy1"))
